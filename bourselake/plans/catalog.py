@@ -31,6 +31,7 @@ def load() -> None:
     """Import every catalogue module once."""
     from bourselake.plans import (  # noqa: F401
         catalog_merge,
+        catalog_quality,
         catalog_screen,
         catalog_series,
     )
