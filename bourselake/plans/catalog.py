@@ -34,6 +34,7 @@ def load() -> None:
         catalog_quality,
         catalog_screen,
         catalog_series,
+        catalog_valuation,
     )
 
 
