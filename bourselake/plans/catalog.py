@@ -30,10 +30,14 @@ def query(name: str, views: str = "", sql: str | None = None):
 def load() -> None:
     """Import every catalogue module once."""
     from bourselake.plans import (  # noqa: F401
+        catalog_access,
         catalog_merge,
         catalog_quality,
+        catalog_scalars,
         catalog_screen,
         catalog_series,
+        catalog_sources,
+        catalog_streaming,
         catalog_valuation,
     )
 
