@@ -14,13 +14,16 @@ _PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _LEADING_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 
+_SPACE = " \t\n\r\f\v\u00a0"
+
+
 def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(_SPACE))
 
 
 def num_or_null(text: Column) -> Column:
     """The number written in a text cell, or null where the cell holds none."""
-    cleaned = _strip(F.regexp_replace(text, ",", ""))
+    cleaned = _strip(F.replace(text, F.lit(","), F.lit("")))
     return F.when(cleaned.rlike(_PLAIN_NUMBER), cleaned.try_cast("double"))
 
 
@@ -52,7 +55,7 @@ def clean_num(text: Column) -> Column:
 
 def leading_number(text: Column) -> Column:
     """The number a text starts with (commas dropped), or null."""
-    head = F.regexp_extract(F.regexp_replace(text, ",", ""), _LEADING_NUMBER, 1)
+    head = F.regexp_extract(F.replace(text, F.lit(","), F.lit("")), _LEADING_NUMBER, 1)
     return F.when(head != "", head.try_cast("double"))
 
 
@@ -60,21 +63,19 @@ def to_fixed(value: Column, digits: int = 2) -> Column:
     """Round to ``digits`` decimals on the exact binary value of the double.
 
     ``F.round`` goes through the shortest decimal text, so 1.005 becomes 1.01. The exact value of that double is
-    below 1.005 and must give 1.0. The product with the power of ten is kept exactly as ``p + e``
-    (a two-term product), and ``e`` decides a tie. All steps are double arithmetic, so the expression stays in
-    generated code and needs no decimal objects.
+    below 1.005 and must give 1.0. Only where the product with the power of ten lands on a half does its
+    rounding error matter: the value splits into a float and a rest, both multiply without error, and the sign of the
+    error decides. All steps are double arithmetic, so the expression stays in generated code and needs no decimals.
+    The input is read several times; name a costly one first. Exact while value times 10^digits stays below 2^53.
     """
     scale = F.lit(float(10**digits))
     x = F.abs(value)
-    wide = x * F.lit(134217729.0)
-    high = wide - (wide - x)
-    low = x - high
     p = x * scale
-    e = (high * scale - p) + low * scale
-    whole = F.floor(p).cast("double")
-    part = p - whole
-    up = (part > 0.5) | ((part == 0.5) & (e >= 0))
-    return F.signum(value) * ((whole + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / scale)
+    whole = F.floor(p)
+    high = x.cast("float").cast("double")
+    error = (high * scale - p) + (x - high) * scale
+    at_half = F.when(error >= 0, whole + 1).otherwise(whole).cast("double")
+    return F.signum(value) * F.when(p - whole == 0.5, at_half).otherwise(F.rint(p)) / scale
 
 
 def rounded(value: Column, digits: int | None) -> Column:

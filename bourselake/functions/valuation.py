@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bourselake.functions.numbers import ratio_or_null, to_fixed
+from bourselake.functions.numbers import ratio_or_null, rounded, to_fixed
 
 # Published model constants and the thresholds results depend on.
 GRAHAM_FACTOR = 22.5
@@ -39,8 +39,8 @@ FAIR_BAND_PCT = 15.0
 STRONG_BUY_MOS, ACCUMULATE_MOS, HOLD_MOS = 20.0, 5.0, -15.0
 
 
-def graham_number(eps: Column, nav: Column) -> Column:
-    return F.when((eps > 0) & (nav > 0), to_fixed(F.sqrt(GRAHAM_FACTOR * eps * nav)))
+def graham_number(eps: Column, nav: Column, digits: int | None = 2) -> Column:
+    return F.when((eps > 0) & (nav > 0), rounded(F.sqrt(GRAHAM_FACTOR * eps * nav), digits))
 
 
 def margin_of_safety(value: Column, price: Column) -> Column:
@@ -55,36 +55,44 @@ def bond_spread(yield_pct: Column, bond_pct: float = BOND_YIELD_PCT) -> Column:
     return to_fixed(yield_pct - bond_pct)
 
 
-def mean_reversion_target(multiple: Column, per_share: Column) -> Column:
-    return F.when(per_share > 0, to_fixed(multiple * per_share))
+def mean_reversion_target(multiple: Column, per_share: Column, digits: int | None = 2) -> Column:
+    return F.when(per_share > 0, rounded(multiple * per_share, digits))
 
 
 def upside_pct(target: Column, price: Column) -> Column:
     return F.when(price > 0, to_fixed((target - price) / price * 100.0))
 
 
-def peter_lynch(eps: Column, growth_pct: Column) -> Column:
-    return F.when((eps > 0) & (growth_pct > 0), to_fixed(eps * F.least(growth_pct, F.lit(LYNCH_MAX_GROWTH))))
+def peter_lynch(eps: Column, growth_pct: Column, digits: int | None = 2) -> Column:
+    return F.when((eps > 0) & (growth_pct > 0), rounded(eps * F.least(growth_pct, F.lit(LYNCH_MAX_GROWTH)), digits))
 
 
 def cost_of_equity(beta: Column, macro: Macro = Macro()) -> Column:
     return F.lit(macro.risk_free) + F.coalesce(beta, F.lit(1.0)) * macro.equity_premium
 
 
-def ddm_value(dps: Column, roe_pct: Column, payout: Column, beta: Column, macro: Macro = Macro()) -> Column:
+def ddm_value(dps: Column, roe_pct: Column, payout: Column, beta: Column, macro: Macro = Macro(), digits: int | None = 2) -> Column:
     """Gordon growth; growth is retained return on equity, held below the cost of equity."""
     ke = cost_of_equity(beta, macro)
     g = F.least(F.greatest(roe_pct / 100.0 * (F.lit(1.0) - payout), F.lit(0.0)), ke - DDM_MIN_SPREAD)
-    return F.when((dps > 0) & roe_pct.isNotNull() & payout.isNotNull(), to_fixed(dps * (F.lit(1.0) + g) / (ke - g)))
+    return F.when((dps > 0) & roe_pct.isNotNull() & payout.isNotNull(), rounded(dps * (F.lit(1.0) + g) / (ke - g), digits))
 
 
-def dcf_value(fcf_per_share: Column, growth_pct: Column, macro: Macro = Macro()) -> Column:
+def power_sum(q: Column, n: int) -> Column:
+    """q + q^2 + ... + q^n by nested multiplication, which stays in generated code."""
+    total = q
+    for _ in range(n - 1):
+        total = q * (F.lit(1.0) + total)
+    return total
+
+
+def dcf_value(fcf_per_share: Column, growth_pct: Column, macro: Macro = Macro(), digits: int | None = 2) -> Column:
     """Ten years of growing free cash flow plus a terminal value; null without positive cash flow or known growth."""
     k = macro.risk_free + macro.equity_premium
     q = (F.lit(1.0) + growth_pct / 100.0) / (1.0 + k)
-    stage = F.aggregate(F.sequence(F.lit(1), F.lit(DCF_YEARS)), F.lit(0.0), lambda acc, t: acc + F.pow(q, t.cast("double")))
+    stage = power_sum(q, DCF_YEARS)
     tail = F.pow(q, F.lit(float(DCF_YEARS))) * ((1.0 + macro.terminal_growth) / (k - macro.terminal_growth))
-    return F.when((fcf_per_share > 0) & growth_pct.isNotNull(), to_fixed(fcf_per_share * (stage + tail)))
+    return F.when((fcf_per_share > 0) & growth_pct.isNotNull(), rounded(fcf_per_share * (stage + tail), digits))
 
 
 def total_debt(short_loan: Column, long_loan: Column) -> Column:
@@ -239,7 +247,7 @@ def category_quality(category: Column) -> Column:
 def grown_sum(base: Column, growth_pct: Column, years: int) -> Column:
     """Sum of ``base`` grown for 1..years; unknown growth counts as none."""
     g = F.lit(1.0) + F.coalesce(growth_pct, F.lit(0.0)) / 100.0
-    return base * F.aggregate(F.sequence(F.lit(1), F.lit(years)), F.lit(0.0), lambda acc, t: acc + F.pow(g, t.cast("double")))
+    return base * power_sum(g, years)
 
 
 def timing_verdict(decision: Column, zone: Column) -> Column:

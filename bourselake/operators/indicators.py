@@ -37,7 +37,8 @@ def sma_column(n: int) -> Column:
 
 def sma(prices: DataFrame, periods: tuple[int, ...] = (20, 50, 200), digits: int | None = 4) -> DataFrame:
     base = long_enough(prices.select("symbol", "date", "close"))
-    return base.select("symbol", "date", *[num.rounded(sma_column(n), digits).alias(f"sma_{n}") for n in periods])
+    raw = base.select("symbol", "date", *[sma_column(n).alias(f"sma_{n}") for n in periods])
+    return raw.select("symbol", "date", *[num.rounded(F.col(f"sma_{n}"), digits).alias(f"sma_{n}") for n in periods])
 
 
 def bollinger(prices: DataFrame, n: int = 20, width: float = 2.0, digits: int | None = 4) -> DataFrame:

@@ -21,15 +21,18 @@ c = F.col
 
 
 GROWTH_FIELDS = {"eps_basic": "eps", "nav_per_share": "navps", "dps": "dps", "free_cash_flow_mn": "fcf"}
-# What the year-on-year signals compare.
-_METRICS = {
-    "cap": c("paid_up_capital_mn"),
-    "roa": num.ratio_or_null(c("net_income_mn"), c("total_assets_mn")),
-    "lev": num.ratio_or_null(c("short_term_loan_mn") + c("long_term_loan_mn"), c("total_assets_mn")),
-    "cr": num.ratio_or_null(c("current_assets_mn"), c("current_liabilities_mn")),
-    "gm": num.ratio_or_null(c("gross_profit_mn"), c("revenue_mn")),
-    "at": num.ratio_or_null(c("revenue_mn"), c("total_assets_mn")),
-}
+
+
+def yearly_metrics() -> dict[str, Column]:
+    """What the year-on-year signals compare."""
+    return {
+        "cap": c("paid_up_capital_mn"),
+        "roa": num.ratio_or_null(c("net_income_mn"), c("total_assets_mn")),
+        "lev": num.ratio_or_null(c("short_term_loan_mn") + c("long_term_loan_mn"), c("total_assets_mn")),
+        "cr": num.ratio_or_null(c("current_assets_mn"), c("current_liabilities_mn")),
+        "gm": num.ratio_or_null(c("gross_profit_mn"), c("revenue_mn")),
+        "at": num.ratio_or_null(c("revenue_mn"), c("total_assets_mn")),
+    }
 
 
 def statement_facts(statements: DataFrame, years: int = 5) -> DataFrame:
@@ -42,16 +45,17 @@ def statement_facts(statements: DataFrame, years: int = 5) -> DataFrame:
     newest_first = W.partitionBy("symbol").orderBy(F.desc("fiscal_year"))
     so_far = newest_first.rowsBetween(W.unboundedPreceding, 0)
     seen = lambda f: F.sum((F.coalesce(c(f) > 0, F.lit(False))).cast("int")).over(so_far)
-    s = statements.withColumns({f"m_{n}": e for n, e in _METRICS.items()})
+    metrics = yearly_metrics()
+    s = statements.withColumns({f"m_{n}": e for n, e in metrics.items()})
     s = s.withColumns(
-        {f"p_{n}": F.lead(f"m_{n}").over(newest_first) for n in _METRICS}
+        {f"p_{n}": F.lead(f"m_{n}").over(newest_first) for n in metrics}
         | {
             "_rn": F.row_number().over(newest_first), "_rn_pe": seen("pe_ratio"), "_rn_pb": seen("pb_ratio"),
             "_unbroken": F.min(F.coalesce(c("eps_basic") > 0, F.lit(False)).cast("int")).over(so_far),
         }
     )
     aggs = [F.max_by(x, "fiscal_year").alias(x) for x in statements.columns if x not in ("symbol", "fiscal_year")]
-    aggs += [F.max_by(x, "fiscal_year").alias(x) for x in (*[f"m_{n}" for n in _METRICS], *[f"p_{n}" for n in _METRICS])]
+    aggs += [F.max_by(x, "fiscal_year").alias(x) for x in (*[f"m_{n}" for n in metrics], *[f"p_{n}" for n in metrics])]
     aggs += [F.max("fiscal_year").alias("fiscal_year"), F.sum("_unbroken").alias("profit_streak_years")]
     for f, n in GROWTH_FIELDS.items():
         y = F.when(c(f) > 0, c("fiscal_year"))
@@ -104,23 +108,23 @@ def growth_rates(facts: DataFrame) -> DataFrame:
     return facts.select("symbol", *names).filter(F.coalesce(*names).isNotNull())
 
 
-def lynch_value() -> Column:
-    return v.peter_lynch(c("eps_basic"), c("eps_cagr"))
+def lynch_value(digits: int | None = 2) -> Column:
+    return v.peter_lynch(c("eps_basic"), c("eps_cagr"), digits)
 
 
 def peter_lynch(facts: DataFrame) -> DataFrame:
     return facts.select("symbol", lynch_value().alias("peter_lynch_fair_value"))
 
 
-def ddm_fair_value(macro: v.Macro = v.Macro()) -> Column:
+def ddm_fair_value(macro: v.Macro = v.Macro(), digits: int | None = 2) -> Column:
     payout = F.when((c("eps_basic") > 0) & c("dps").isNotNull(), F.least(c("dps") / c("eps_basic"), F.lit(1.0)))
-    return v.ddm_value(c("dps"), c("roe"), payout, c("beta"), macro)
+    return v.ddm_value(c("dps"), c("roe"), payout, c("beta"), macro, digits)
 
 
 def ddm(facts: DataFrame, beta: DataFrame, macro: v.Macro = v.Macro()) -> DataFrame:
     j = facts.join(beta.select("symbol", "beta"), "symbol", "left")
-    ke = num.to_fixed(v.cost_of_equity(c("beta"), macro) * 100.0)
-    return j.select("symbol", ke.alias("cost_of_equity_pct"), ddm_fair_value(macro).alias("ddm_fair_value"))
+    raw = j.select("symbol", (v.cost_of_equity(c("beta"), macro) * 100.0).alias("ke"), ddm_fair_value(macro, None).alias("value"))
+    return raw.select("symbol", num.to_fixed(c("ke")).alias("cost_of_equity_pct"), num.to_fixed(c("value")).alias("ddm_fair_value"))
 
 
 def fcf_per_share() -> Column:
@@ -128,8 +132,9 @@ def fcf_per_share() -> Column:
 
 
 def dcf(facts: DataFrame, macro: v.Macro = v.Macro()) -> DataFrame:
-    value = v.dcf_value(fcf_per_share(), c("fcf_cagr"), macro)
-    return facts.select("symbol", fcf_per_share().alias("fcf_per_share"), value.alias("dcf_intrinsic_value"))
+    raw = facts.select("symbol", fcf_per_share().alias("fcf_per_share"), "fcf_cagr")
+    raw = raw.withColumn("value", v.dcf_value(c("fcf_per_share"), c("fcf_cagr"), macro, None))
+    return raw.select("symbol", "fcf_per_share", num.to_fixed(c("value")).alias("dcf_intrinsic_value"))
 
 
 def leverage_ratio() -> Column:
@@ -241,11 +246,11 @@ def smart_money(shareholding: DataFrame, block_trades: DataFrame) -> DataFrame:
     )
 
 
-def blended_target(*models: Column) -> Column:
-    """Mean of the models that gave a value."""
-    known = F.array_compact(F.array(*models))
-    total = F.aggregate(known, F.lit(0.0), lambda a, x: a + x)
-    return F.when(F.size(known) > 0, num.to_fixed(total / F.size(known)))
+def mean_of_known(*models: Column) -> Column:
+    """Mean of the values that are known, unrounded."""
+    total = reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0.0)) for x in models])
+    known = reduce(lambda a, b: a + b, [x.isNotNull().cast("int") for x in models])
+    return F.when(known > 0, total / known)
 
 
 MODELS = ("graham_number", "peter_lynch_fair_value", "ddm_fair_value", "dcf_intrinsic_value", "pb_target")
@@ -253,13 +258,15 @@ MODELS = ("graham_number", "peter_lynch_fair_value", "ddm_fair_value", "dcf_intr
 
 def with_models(facts: DataFrame, risk: DataFrame, macro: v.Macro = v.Macro()) -> DataFrame:
     """Facts and risk figures of a symbol plus every intrinsic value, their mean and the margin to the latest close."""
-    out = facts.join(risk, "symbol", "left").withColumns(
-        {
-            "graham_number": v.graham_number(c("eps_basic"), c("nav_per_share")), "peter_lynch_fair_value": lynch_value(),
-            "ddm_fair_value": ddm_fair_value(macro), "dcf_intrinsic_value": v.dcf_value(fcf_per_share(), c("fcf_cagr"), macro), "pb_target": pb_target(),
-        }
-    )
-    out = out.withColumn("blended_target", blended_target(*[c(m) for m in MODELS]))
+    # Raw values first, then rounding: a rounded expression reads its input several times.
+    raw = {
+        "graham_number": v.graham_number(c("eps_basic"), c("nav_per_share"), None), "peter_lynch_fair_value": lynch_value(None),
+        "ddm_fair_value": ddm_fair_value(macro, None), "dcf_intrinsic_value": v.dcf_value(fcf_per_share(), c("fcf_cagr"), macro, None),
+        "pb_target": v.mean_reversion_target(num.to_fixed(c("pb_m")), c("nav_per_share"), None),
+    }
+    out = facts.join(risk, "symbol", "left").withColumns(raw)
+    out = out.withColumns({n: num.to_fixed(c(n)) for n in MODELS})
+    out = out.withColumn("_blend", mean_of_known(*[c(m) for m in MODELS])).withColumn("blended_target", num.to_fixed(c("_blend"))).drop("_blend")
     return out.withColumn("margin_of_safety_pct", v.margin_of_safety(c("blended_target"), c("ltp")))
 
 
@@ -282,17 +289,19 @@ def decide(inputs: DataFrame) -> DataFrame:
     """The decision columns over a frame that already holds every input."""
     low_debt = F.coalesce(c("debt_to_equity") < v.LOW_LEVERAGE, F.lit(False))
     safe = F.coalesce(c("zone").isin("SAFE", "NOT_APPLICABLE"), F.lit(False))
-    storm = low_debt & safe
-    fortress = storm & F.coalesce(c("moat_rating") == "Wide", F.lit(False)) & (c("profit_streak_years") >= 5) & (c("dividend_status") == "SAFE_ORGANIC")
-    div = {n: num.to_fixed(v.grown_sum(c("dps"), c("dps_cagr"), n)) for n in (3, 5, 10)}
-    fair5 = num.to_fixed(c("blended_target") * F.pow(F.lit(1.0) + F.coalesce("eps_cagr", F.lit(0.0)) / 100.0, F.lit(5.0)))
-    end = fair5 + F.coalesce(div[5], F.lit(0.0))
-    expected = F.when((c("ltp") > 0) & (end > 0), num.to_fixed((F.pow(end / c("ltp"), F.lit(0.2)) - 1.0) * 100.0))
-    return inputs.select(
+    # Sums and powers are named first and rounded afterwards, so each is worked out once.
+    raw = {f"_d{n}": v.grown_sum(c("dps"), c("dps_cagr"), n) for n in (3, 5, 10)}
+    raw["_f5"] = c("blended_target") * F.pow(F.lit(1.0) + F.coalesce("eps_cagr", F.lit(0.0)) / 100.0, F.lit(5.0))
+    d = inputs.withColumns(raw).withColumns({n: num.to_fixed(c(n)) for n in raw} | {"_storm": low_debt & safe})
+    d = d.withColumn("_end", c("_f5") + F.coalesce("_d5", F.lit(0.0)))
+    d = d.withColumn("_ret", F.when((c("ltp") > 0) & (c("_end") > 0), (F.pow(c("_end") / c("ltp"), F.lit(0.2)) - 1.0) * 100.0))
+    lasting = F.coalesce(c("moat_rating") == "Wide", F.lit(False)) & (c("profit_streak_years") >= 5) & (c("dividend_status") == "SAFE_ORGANIC")
+    return d.select(
         "symbol", v.decision_verdict(c("margin_of_safety_pct"), c("zone"), c("eps_basic"), c("debt_to_equity")).alias("verdict"),
-        v.entry_price(c("blended_target")).alias("suggested_entry_price"), F.coalesce(fortress, F.lit(False)).alias("can_buy_and_forget"), storm.alias("is_storm_proof"),
-        "profit_streak_years", F.coalesce(c("eps_basic") > 0, F.lit(False)).alias("is_profit_making"), v.category_quality(c("category")).alias("category_quality"),
-        div[3].alias("projected_dividends_3y"), div[10].alias("projected_dividends_10y"), fair5.alias("projected_fair_value_5y"), expected.alias("expected_annual_return_pct"),
+        v.entry_price(c("blended_target")).alias("suggested_entry_price"), F.coalesce(c("_storm") & lasting, F.lit(False)).alias("can_buy_and_forget"),
+        c("_storm").alias("is_storm_proof"), "profit_streak_years", F.coalesce(c("eps_basic") > 0, F.lit(False)).alias("is_profit_making"),
+        v.category_quality(c("category")).alias("category_quality"), c("_d3").alias("projected_dividends_3y"), c("_d10").alias("projected_dividends_10y"),
+        c("_f5").alias("projected_fair_value_5y"), num.to_fixed(c("_ret")).alias("expected_annual_return_pct"),
     )
 
 

@@ -177,16 +177,18 @@ class Marts:
         )
         sup = self.table("supplier").select(F.col("s_suppkey").alias("key"), "s_acctbal")
         k, y = F.col("key"), F.col("fiscal_year")
-        f = (
-            s.join(sup, "key", "left")
-            .withColumn("revenue_mn", F.col("ext").cast(NUM) / 1e8)
-            .withColumn("gross_profit_mn", F.col("gross").cast(NUM) / 1e10)
-            .withColumn("operating_profit_mn", F.col("oper").cast(NUM) / 1e10)
-            .withColumn("net_income_mn", F.col("net").cast(NUM) / 1e8)
-            .withColumn("paid_up_capital_mn", num.positive_or_null(F.col("s_acctbal")))
-            .withColumn("total_assets_mn", F.col("revenue_mn") * 3.0)
-            .withColumn("total_liabilities_mn", F.col("gross_profit_mn") * 2.0)
-            .withColumn("eps_basic", F.col("net_income_mn") * 20.0)
+        mn = lambda c, scale: (F.col(c).cast(NUM) / scale).alias
+        f = s.join(sup, "key", "left").select(
+            "key", "fiscal_year", "dq", "q",
+            mn("ext", 1e8)("revenue_mn"), mn("gross", 1e10)("gross_profit_mn"), mn("oper", 1e10)("operating_profit_mn"), mn("net", 1e8)("net_income_mn"),
+            num.positive_or_null(F.col("s_acctbal")).alias("paid_up_capital_mn"),
+        )
+        f = f.withColumns(
+            {
+                "total_assets_mn": F.col("revenue_mn") * 3.0,
+                "total_liabilities_mn": F.col("gross_profit_mn") * 2.0,
+                "eps_basic": F.col("net_income_mn") * 20.0,
+            }
         )
         dps = (
             F.when((k + y) % 5 == 0, F.lit(None))

@@ -21,11 +21,12 @@ HOLDER_DAY = r"(?i)Share Holding Percentage\s*\[as on ([^\]]+?)(?:\s*\(year ende
 
 
 def text_of(html: Column) -> Column:
-    """Visible text: tags dropped, common entities decoded, white space collapsed."""
+    """Visible text: tags dropped, common entities decoded, white space collapsed. Plain cells skip all of it."""
     t = F.regexp_replace(html, r"<[^>]+>", " ")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         t = F.replace(t, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    t = F.trim(F.regexp_replace(t, r"\s+", " "))
+    return F.when(html.rlike(r"[<&\s]"), t).otherwise(html)
 
 
 def cells_of(row: Column) -> Column:
