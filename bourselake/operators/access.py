@@ -116,7 +116,8 @@ def payment_settlement(payments: DataFrame, callbacks: DataFrame) -> DataFrame:
     A settled payment is left alone, so access is granted once however often a callback arrives. A payment succeeds when
     any of its callbacks verifies: valid state, same transaction and the recorded amount after rounding.
     """
-    c = callbacks.select("txn", "val_id", F.col("status").alias("gateway"), "amount", "tran_id")
+    # Repeated callbacks collapse before the join.
+    c = callbacks.select("txn", "val_id", F.col("status").alias("gateway"), "amount", "tran_id").distinct()
     known = payments.select("txn", F.col("amount_bdt").alias("recorded"))
     ok = (
         F.col("val_id").isNotNull() & F.col("gateway").isin(*VALID_GATEWAY_STATES)

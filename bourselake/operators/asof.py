@@ -1,34 +1,39 @@
 """As-of joins: the last value on or before a day, and the first value on or after it.
 
-Each of them is one union and one window per symbol. Price history holds one row per symbol and calendar day, so the
-window is bounded by the calendar however many trades a symbol has.
+The answer depends on (symbol, day) alone, so targets first collapse to their distinct days: however many targets a
+symbol has, the window over its days and sessions is bounded by the calendar. The answers join back on (symbol, day).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def _days_and_sessions(targets: DataFrame, prices: DataFrame, by: str, target_date: str, value: Column, session_first: bool) -> DataFrame:
+    """Distinct target days and sessions of every symbol in one frame; ``kind`` orders a session against a target day."""
+    days = targets.select(F.col(by).alias("_by"), F.col(target_date).alias("_day")).filter(F.col("_day").isNotNull()).distinct()
+    sessions = prices.select(F.col(by).alias("_by"), F.col("date").alias("_day"), F.lit(0 if session_first else 1).alias("_kind"), value.alias("_val"))
+    wanted = days.withColumn("_kind", F.lit(1 if session_first else 0)).withColumn("_val", F.lit(None).cast(sessions.schema["_val"].dataType))
+    return sessions.unionByName(wanted)
+
+
+def _join_back(targets: DataFrame, answers: DataFrame, by: str, target_date: str) -> DataFrame:
+    same = (F.col(by) == F.col("_by")) & (F.col(target_date) == F.col("_day"))
+    return targets.join(answers, same, "left").drop("_by", "_day")
+
+
 def asof_backward(
     targets: DataFrame, prices: DataFrame, *, target_date: str, value: str = "close", by: str = "symbol", out: str = "asof_value"
 ) -> DataFrame:
     """``targets`` plus the last ``value`` of ``prices`` dated on or before ``target_date``; null where there is none."""
-    cols = [F.col(c) for c in targets.columns]
-    left = targets.select(
-        F.col(by).alias("_by"), F.col(target_date).alias("_day"), F.lit(1).alias("_kind"), F.struct(*cols).alias("_row"),
-        F.lit(None).cast(prices.schema[value].dataType).alias("_val"),
-    )
-    right = prices.select(
-        F.col(by).alias("_by"), F.col("date").alias("_day"), F.lit(0).alias("_kind"),
-        F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.col(value).alias("_val"),
-    )
+    both = _days_and_sessions(targets, prices, by, target_date, F.col(value), True)
     w = W.partitionBy("_by").orderBy("_day", "_kind").rowsBetween(W.unboundedPreceding, 0)
-    seen = left.unionByName(right).withColumn("_last", F.last("_val", ignorenulls=True).over(w))
-    return seen.filter(F.col("_kind") == 1).select("_row.*", F.col("_last").alias(out))
+    seen = both.withColumn(out, F.last("_val", ignorenulls=True).over(w))
+    return _join_back(targets, seen.filter(F.col("_kind") == 1).select("_by", "_day", out), by, target_date)
 
 
 def closes_at(prices: DataFrame, days: dict[str, object], *, by: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -44,17 +49,9 @@ def asof_forward(
     prices: DataFrame, targets: DataFrame, *, target_date: str, max_gap_days: int = 45, by: str = "symbol"
 ) -> DataFrame:
     """Per target row, the first price row dated on or after it, kept only within ``max_gap_days``."""
-    cols = [F.col(c) for c in targets.columns]
-    left = targets.select(
-        F.col(by).alias("_by"), F.col(target_date).alias("_day"), F.lit(0).alias("_kind"), F.struct(*cols).alias("_row"),
-        F.lit(None).cast("struct<date:date,close:double>").alias("_val"),
-    )
-    right = prices.select(
-        F.col(by).alias("_by"), F.col("date").alias("_day"), F.lit(1).alias("_kind"),
-        F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.struct("date", "close").alias("_val"),
-    )
+    both = _days_and_sessions(targets, prices, by, target_date, F.struct("date", "close"), False)
     w = W.partitionBy("_by").orderBy("_day", "_kind").rowsBetween(0, W.unboundedFollowing)
-    seen = left.unionByName(right).withColumn("_next", F.first("_val", ignorenulls=True).over(w))
-    hit = seen.filter(F.col("_kind") == 0).select("_row.*", F.col("_next.date").alias("start_date"), F.col("_next.close").alias("start_close"))
-    near = F.datediff("start_date", target_date) <= max_gap_days
-    return hit.withColumn("start_close", F.when(near, F.col("start_close"))).withColumn("start_date", F.when(near, F.col("start_date")))
+    seen = both.withColumn("_next", F.first("_val", ignorenulls=True).over(w)).filter(F.col("_kind") == 0)
+    near = F.datediff(F.col("_next.date"), "_day") <= max_gap_days
+    answers = seen.select("_by", "_day", F.when(near, F.col("_next.date")).alias("start_date"), F.when(near, F.col("_next.close")).alias("start_close"))
+    return _join_back(targets, answers, by, target_date)

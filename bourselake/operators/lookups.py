@@ -152,7 +152,9 @@ def peers_by_sector(statements: DataFrame, roster: DataFrame) -> DataFrame:
 
 
 def with_index_level(prices: DataFrame, index: DataFrame) -> DataFrame:
-    """Price timeline with the index level of the same day; a missing day stays null."""
+    """Price timeline with the index level of the same day; a missing day stays null.
+
+    The index has one row per calendar day, which bounds what is broadcast."""
     return prices.select("symbol", "date", F.col("close").alias("price"), "volume", "pe").join(
-        index.select("date", "index_value"), "date", "left"
+        F.broadcast(index.select("date", "index_value")), "date", "left"
     )

@@ -91,26 +91,25 @@ def pe_sample(daily: DataFrame, statements: DataFrame, *, upper: float = 120.0)
 
 
 def percentile_floor(sample: DataFrame, value: str = "pe", key: str = "symbol", digits: int | None = 2) -> DataFrame:
-    """Quartiles taken at the zero-based position floor(n * p) of the sorted sample."""
+    """Quartiles taken at the zero-based position floor(n * p) of the sorted sample.
+
+    Equal values collapse to counts on the map side first, so copies of a record never meet in a window.
+    """
+    counts = sample.groupBy(key, value).agg(F.count(F.lit(1)).alias("c"))
     w = W.partitionBy(key)
-    ranked = sample.select(
-        key, value, F.row_number().over(w.orderBy(value)).alias("rn"), F.count(F.lit(1)).over(w).alias("n")
-    )
-    at = lambda p: F.max(F.when(F.col("rn") == F.floor(F.col("n") * F.lit(p)) + 1, F.col(value)))
-    return ranked.groupBy(key).agg(
-        num.rounded(at(0.25), digits).alias("p25"), num.rounded(at(0.5), digits).alias("median"),
-        num.rounded(at(0.75), digits).alias("p75"), F.max("n").alias("sample_size"),
-    )
+    up_to = w.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    ranked = counts.select(key, value, F.sum("c").over(up_to).alias("upto"), F.sum("c").over(w).alias("n"))
+    at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.col("n") * F.lit(p)), F.col(value)))
+    q = ranked.groupBy(key).agg(at(0.25).alias("p25"), at(0.5).alias("median"), at(0.75).alias("p75"), F.max("n").alias("sample_size"))
+    return q.select(key, *[num.rounded(F.col(c), digits).alias(c) for c in ("p25", "median", "p75")], "sample_size")
 
 
 def pe_percentile_rank(sample: DataFrame, current: DataFrame) -> DataFrame:
     """Share of the sample below the current P/E, in whole percent."""
-    below = F.count_if(F.col("pe") < F.col("current_pe"))
-    return (
-        sample.join(current.select("symbol", "current_pe").filter(F.col("current_pe").isNotNull()), "symbol")
-        .groupBy("symbol")
-        .agg(F.floor(below.cast("double") / F.count(F.lit(1)) * 100.0 + 0.5).alias("pe_percentile_rank"))
-    )
+    counts = sample.groupBy("symbol", "pe").agg(F.count(F.lit(1)).alias("c"))
+    j = counts.join(current.select("symbol", "current_pe").filter(F.col("current_pe").isNotNull()), "symbol")
+    below = F.coalesce(F.sum(F.when(F.col("pe") < F.col("current_pe"), F.col("c"))), F.lit(0))
+    return j.groupBy("symbol").agg(F.floor(below.cast("double") / F.sum("c") * 100.0 + 0.5).alias("pe_percentile_rank"))
 
 
 def liquidity_profile(prices: DataFrame, sessions: int = 90, digits: int | None = 2) -> DataFrame:

@@ -432,29 +432,33 @@ def overlay_live(base: DataFrame, live: DataFrame, *, band_pct: float = 25.0, di
     """Latest ticks over the stored screen.
 
     ``base``: symbol, ltp, ycp, change, change_percent, eps, daily_pe. ``live``: symbol, ltp, ycp, change, change_percent.
+    """
+    t = live.select("symbol", *[F.col(c).alias(f"l_{c}") for c in ("ltp", "ycp", "change", "change_percent")])
+    return overlay_rules(base.join(t, "symbol", "left"), base.columns, band_pct=band_pct, digits=digits)
+
+
+def overlay_rules(joined: DataFrame, base_columns: list[str], *, band_pct: float = 25.0, digits: int | None = 2) -> DataFrame:
+    """Stored row and tick (``l_`` columns) side by side to one row; works on a stream as well.
+
     An unknown previous close is worked out from the tick's own change, else taken from the base, else left unknown.
     A change outside the band is rebuilt from the tick's own change, and dropped where the tick has none.
     """
-    t = live.select("symbol", *[F.col(c).alias(f"l_{c}") for c in ("ltp", "ycp", "change", "change_percent")])
-    j = base.join(t, "symbol", "left").withColumn("_has", F.coalesce(F.col("l_ltp") != 0, F.lit(False)))
     own = F.col("l_change")
     back = num.rounded(F.col("l_ltp") - own, digits)
-    j = j.withColumn("_ycp", F.coalesce("l_ycp", back, "ycp"))
-    derived = num.rounded(F.col("l_ltp") - F.col("_ycp"), digits)
-    j = j.withColumn("_chg", F.coalesce(own, derived))
+    j = joined.withColumns({"_has": F.coalesce(F.col("l_ltp") != 0, F.lit(False)), "_back": back})
+    j = j.withColumn("_ycp", F.coalesce("l_ycp", "_back", "ycp"))
+    j = j.withColumn("_chg", F.coalesce(own, num.rounded(F.col("l_ltp") - F.col("_ycp"), digits)))
     pct = F.when(own.isNotNull() | F.col("_ycp").isNull(), F.col("l_change_percent")).otherwise(
         F.when(F.col("_ycp") > 0, num.rounded(F.col("_chg") / F.col("_ycp") * 100.0, digits))
     )
-    j = j.withColumn("_pct", pct)
-    wild = F.coalesce(F.abs(F.col("_pct")) > band_pct, F.lit(False))
-    j = j.withColumn("_wild", wild)
+    j = j.withColumn("_pct", pct).withColumn("_wild", F.coalesce(F.abs(F.col("_pct")) > band_pct, F.lit(False)))
     fixed = lambda kept, ok: F.when(F.col("_wild"), kept).otherwise(ok)
     new = {
         "ltp": F.col("l_ltp"),
-        "ycp": fixed(back, F.col("_ycp")),
+        "ycp": fixed(F.col("_back"), F.col("_ycp")),
         "change": fixed(own, F.col("_chg")),
         "change_percent": fixed(F.when(own.isNotNull(), F.col("l_change_percent")), F.col("_pct")),
         "daily_pe": F.when(F.col("eps") > 0, num.rounded(F.col("l_ltp") / F.col("eps"), digits)).otherwise(F.col("daily_pe")),
     }
-    kept = [c for c in base.columns if c not in new]
+    kept = [c for c in base_columns if c not in new]
     return j.select(*kept, *[F.when(F.col("_has"), v).otherwise(F.col(c)).alias(c) for c, v in new.items()], F.col("_has").alias("is_live"))

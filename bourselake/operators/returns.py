@@ -65,11 +65,11 @@ def performance_summary(prices: DataFrame, as_of: dt.date, risk_free: float = 0.
 def risk_metrics(prices: DataFrame, index: DataFrame, *, risk_free_pct: float = 11.5, min_pairs: int = 30, digits: int | None = 2) -> DataFrame:
     """Volatility, beta against the index and a Sharpe-style ratio over the whole series.
 
-    The index has at most one row per calendar day; whether that join broadcasts is left to Spark's size check.
+    The index is keyed by day: a century is 36 525 rows of two numbers, so broadcasting it is safe at any data size.
     Beta uses only days on which both series have a return.
     """
     w = W.partitionBy("symbol").orderBy("date")
-    p = prices.select("symbol", "date", "close").join(index.select("date", "index_value"), "date", "left")
+    p = prices.select("symbol", "date", "close").join(F.broadcast(index.select("date", "index_value")), "date", "left")
     p = p.select(
         "symbol", "date", "close", "index_value", F.lag("close").over(w).alias("p0"), F.lag("index_value").over(w).alias("i0")
     )

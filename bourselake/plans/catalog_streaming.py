@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bourselake.operators import merge
 from bourselake.plans.catalog import query
 from bourselake.plans.catalog_merge import _F, _J2, _J2_BATCH, _J7_GUARD, _J8, _J8_CHANGED, _K, _cols, _daily_batch, merge_sql
+from bourselake.plans.oracle import fx
 from bourselake.streaming import ticks
 
 
@@ -34,13 +35,23 @@ def tick_breadth(m):
     return b.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
 
 
+def tick_screen(m):
+    """Stored screen of the tick symbols: previous close, and earnings as a tenth of it for every other symbol."""
+    null = F.lit(None).cast("double")
+    even = F.right("symbol", F.lit(1)).cast("int") % 2 == 0
+    return m.tick_base.select("symbol", null.alias("ltp"), "ycp", null.alias("change"), null.alias("change_percent"), F.when(even, F.col("ycp") / 10.0).alias("eps"), null.alias("daily_pe"))
+
+
 @query(
     "o4_live_overlay", "ticks tick_base",
-    """SELECT event_id, symbol, ltp, ycp, round(CAST(ltp - ycp AS DECIMAL(18,6)), 2)::DOUBLE AS change FROM ticks LEFT JOIN (SELECT symbol, ycp FROM tick_base) USING (symbol) WHERE ltp > 0""",
+    f"""WITH j AS (SELECT t.event_id, t.symbol, t.ltp, b.ycp, CASE WHEN CAST(right(t.symbol, 1) AS INTEGER) % 2 = 0 THEN b.ycp / 10.0::DOUBLE END AS eps, {fx("(t.ltp - b.ycp)")} AS chg FROM ticks t LEFT JOIN tick_base b USING (symbol) WHERE t.ltp > 0),
+        k AS (SELECT *, CASE WHEN ycp > 0 THEN {fx("(chg / ycp * 100.0::DOUBLE)")} END AS pct FROM j)
+        SELECT event_id, symbol, ltp, CASE WHEN coalesce(abs(pct) > 25, false) THEN NULL ELSE ycp END AS ycp, CASE WHEN coalesce(abs(pct) > 25, false) THEN NULL ELSE chg END AS change,
+          CASE WHEN coalesce(abs(pct) > 25, false) THEN NULL ELSE pct END AS change_percent, CASE WHEN eps > 0 THEN {fx("(ltp / eps)")} END AS daily_pe FROM k""",
 )
 def _(m):
-    o = ticks.overlay_stream(_ticks(m), m.tick_base)
-    return o.select("event_id", "symbol", "ltp", "ycp", F.round((F.col("ltp") - F.col("ycp")).cast("decimal(18,6)"), 2).cast("double").alias("change"))
+    o = ticks.overlay_stream(_ticks(m), tick_screen(m))
+    return o.select("event_id", "symbol", "ltp", "ycp", "change", "change_percent", "daily_pe")
 
 
 @query("o5_settlement_batch", "prices prices_incoming", merge_sql("prices", f"SELECT * FROM ({_J2_BATCH}) WHERE seq = 1", _K, _J2, tiered=True))

@@ -103,9 +103,11 @@ def test_breadth_stream_emits_closed_windows(spark, m, sf_dir, tmp_path):
 
 
 def test_overlay_stream(spark, m, sf_dir, tmp_path):
-    s = ticks.overlay_stream(stream(spark, sf_dir), m.tick_base)
+    from bourselake.plans.catalog_streaming import tick_screen
+
+    s = ticks.overlay_stream(stream(spark, sf_dir), tick_screen(m))
     ticks.write_available(s, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert same(spark.read.parquet(str(tmp_path / "out")), ticks.overlay_stream(ticks.gate(m.ticks), m.tick_base))
+    assert same(spark.read.parquet(str(tmp_path / "out")), ticks.overlay_stream(ticks.gate(m.ticks), tick_screen(m)))
 
 
 def test_settlement_micro_batches(spark, m, tmp_path):
