@@ -11,6 +11,7 @@ from bourselake.functions import numbers as num
 from bourselake.functions.provenance import tier_of
 from bourselake.operators.asof import closes_at
 from bourselake.operators.lookups import newest_per_key
+from bourselake.operators.skew import salted_join
 
 
 def market_breadth(prices: DataFrame) -> DataFrame:
@@ -130,7 +131,7 @@ def liquidity_profile(prices: DataFrame, sessions: int = 90, digits: int | None
 def sector_performance(roster: DataFrame, prices: DataFrame, *, as_of, days: int | None) -> DataFrame:
     """Return of a symbol over a window against the equal-weight mean of its sector peers, itself left out.
 
-    Peers are summed per sector with partial sums and joined back, so one large sector never sits in one task. Returns
+    Peers are summed per sector with partial sums and joined back by salt, so one large sector never sits in one task. Returns
     have two decimals; summing them as whole hundredths makes the mean independent of order.
     """
     start = F.min_by("close", "date") if days is None else None
@@ -148,7 +149,7 @@ def sector_performance(roster: DataFrame, prices: DataFrame, *, as_of, days: int
     per_sector = own.groupBy("sector").agg(F.sum(hundredths).alias("total"), F.count("stock_return").alias("n"))
     peers = F.col("n") - F.col("stock_return").isNotNull().cast("int")
     rest = F.coalesce("total", F.lit(0)) - F.coalesce(hundredths, F.lit(0))
-    return own.join(per_sector, "sector").select(
+    return salted_join(own, per_sector, "sector", "symbol").select(
         "symbol", "sector", "stock_return",
         F.when(peers > 0, num.to_fixed(rest.cast("double") / 100.0 / peers, 2)).alias("sector_avg_return"),
         peers.alias("peer_count"),

@@ -1,4 +1,4 @@
-"""Exact order statistics inside groups that may be far too large for one task."""
+"""Exact joins and order statistics for groups that may be far too large for one task."""
 
 from __future__ import annotations
 
@@ -7,6 +7,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BINS_PER_DOUBLING = 64
+SALTS = 64
+
+
+def salted_join(rows: DataFrame, totals: DataFrame, on: str, spread_by: str, salts: int = SALTS) -> DataFrame:
+    """Inner join of many rows with one row per ``on``, where a single ``on`` may hold a third of the rows.
+
+    Rows spread over ``salts`` parts by the hash of ``spread_by``, and each total is repeated once per part, so
+    the join needs neither a size guess for a broadcast nor a lucky key distribution.
+    """
+    salt = F.pmod(F.hash(spread_by), F.lit(salts))
+    repeated = totals.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", salt).join(repeated, [on, "_salt"]).drop("_salt")
 
 
 def count_above(df: DataFrame, group: list[str], value: str) -> DataFrame:
