@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Texts that mean "not disclosed" in a number cell.
@@ -83,6 +83,12 @@ def rounded(value: Column, digits: int | None) -> Column:
     return value if digits is None else to_fixed(value, digits)
 
 
+def with_rounded(df: DataFrame, raw: dict[str, Column], digits: int | None = 2) -> DataFrame:
+    """Add columns and round them in a second step, so each raw expression is worked out once and generated code stays small."""
+    named = df.withColumns(raw)
+    return named if digits is None else named.withColumns({n: to_fixed(F.col(n), digits) for n in raw})
+
+
 def ratio_or_null(top: Column, bottom: Column) -> Column:
     """``top / bottom`` where the bottom is known and not zero."""
     return F.when(bottom != 0, top / bottom)

@@ -99,10 +99,10 @@ def total_debt(short_loan: Column, long_loan: Column) -> Column:
     return short_loan + long_loan
 
 
-def debt_to_equity(short_loan: Column, long_loan: Column, paid_up: Column, reserve: Column, oci: Column) -> Column:
+def debt_to_equity(short_loan: Column, long_loan: Column, paid_up: Column, reserve: Column, oci: Column, digits: int | None = 2) -> Column:
     """Null unless every component is known; an unknown one is never read as zero."""
     equity = paid_up + reserve + oci
-    return F.when(equity > 0, to_fixed((short_loan + long_loan) / equity))
+    return F.when(equity > 0, rounded((short_loan + long_loan) / equity, digits))
 
 
 def leverage_class(ratio: Column) -> Column:
@@ -141,11 +141,11 @@ def dupont(net_income: Column, revenue: Column, assets: Column, equity: Column)
     )
 
 
-def altman_score(wc: Column, assets: Column, retained: Column, ebit: Column, equity: Column, liabilities: Column) -> Column:
+def altman_score(wc: Column, assets: Column, retained: Column, ebit: Column, equity: Column, liabilities: Column, digits: int | None = 2) -> Column:
     """Emerging-market Z'' score."""
     a, b, c, d = ALTMAN_WEIGHTS
     z = a * (wc / assets) + b * (retained / assets) + c * (ebit / assets) + d * (equity / liabilities)
-    return F.when((assets > 0) & (liabilities > 0), to_fixed(z))
+    return F.when((assets > 0) & (liabilities > 0), rounded(z, digits))
 
 
 def altman_zone(score: Column, sector: Column, financial: Iterable[str] = FINANCIAL_SECTORS) -> Column:
@@ -157,8 +157,8 @@ def altman_zone(score: Column, sector: Column, financial: Iterable[str] = FINANC
     )
 
 
-def payout_pct(dps: Column, eps: Column) -> Column:
-    return F.when(eps > 0, to_fixed(dps / eps * 100.0, 1))
+def payout_pct(dps: Column, eps: Column, digits: int | None = 1) -> Column:
+    return F.when(eps > 0, rounded(dps / eps * 100.0, digits))
 
 
 def dividend_status(dps: Column, eps: Column) -> Column:

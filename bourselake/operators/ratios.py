@@ -36,13 +36,14 @@ def derived_ratios(
     eps, nav, dps = F.col("eps_basic"), F.col("nav_per_share"), F.col("dps")
     shares = F.floor(F.col("paid_up_capital_mn") * 1e6 / par_value + 0.5)
     joined = statements.join(year_end_closes(statements, prices, month=month, day=day), ["symbol", "fiscal_year"], "left")
-    rated = joined.withColumns(
+    rated = num.with_rounded(
+        joined,
         {
-            "pe_ratio": F.when(eps > 0, num.rounded(y / eps, digits)),
-            "pb_ratio": F.when(nav > 0, num.rounded(y / nav, digits)),
-            "roe": F.when((nav > 0) & (eps != 0), num.rounded(eps / nav * 100.0, digits)),
-            "dividend_yield": F.when((dps > 0) & (y > 0), num.rounded(dps / y * 100.0, digits)),
-            "shares": F.when(F.col("paid_up_capital_mn") > 0, shares),
-        }
-    )
-    return rated.withColumn("market_cap_mn", num.rounded(y * F.col("shares").cast("double") / 1e6, digits))
+            "pe_ratio": F.when(eps > 0, y / eps),
+            "pb_ratio": F.when(nav > 0, y / nav),
+            "roe": F.when((nav > 0) & (eps != 0), eps / nav * 100.0),
+            "dividend_yield": F.when((dps > 0) & (y > 0), dps / y * 100.0),
+        },
+        digits,
+    ).withColumn("shares", F.when(F.col("paid_up_capital_mn") > 0, shares))
+    return num.with_rounded(rated, {"market_cap_mn": y * F.col("shares").cast("double") / 1e6}, digits)

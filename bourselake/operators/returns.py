@@ -26,14 +26,10 @@ def lookback_returns(prices: DataFrame, as_of: dt.date, digits: int | None = 2)
     last = prices.groupBy("symbol").agg(F.max_by("close", "date").alias("last_close"), F.count(F.lit(1)).alias("_n"), *[
         F.max_by("close", F.when(F.col("date") <= F.lit(d), F.col("date"))).alias(n) for n, d in days.items()
     ])
-    ret = [
-        F.when(F.col(f"price_{k}_ago") > 0, num.rounded((F.col("last_close") / F.col(f"price_{k}_ago") - 1.0) * 100.0, digits)).alias(f"return_{k}")
-        for k in LOOKBACK_DAYS
-    ]
-    growth = [
-        num.cagr_pct(F.col(f"price_{y}y_ago"), F.col("last_close"), F.lit(float(y)), digits).alias(f"cagr_{y}y") for y in (3, 5, 10)
-    ]
-    return last.filter(F.col("_n") >= 2).select("symbol", "last_close", *days, *ret, *growth)
+    last = last.filter(F.col("_n") >= 2)
+    ret = {f"return_{k}": F.when(F.col(f"price_{k}_ago") > 0, (F.col("last_close") / F.col(f"price_{k}_ago") - 1.0) * 100.0) for k in LOOKBACK_DAYS}
+    growth = {f"cagr_{y}y": num.cagr_pct(F.col(f"price_{y}y_ago"), F.col("last_close"), F.lit(float(y)), None) for y in (3, 5, 10)}
+    return num.with_rounded(last, ret | growth, digits).select("symbol", "last_close", *days, *ret, *growth)
 
 
 def log_volatility(prices: DataFrame, digits: int | None = 2) -> DataFrame:

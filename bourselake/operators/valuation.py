@@ -74,8 +74,8 @@ def statement_facts(statements: DataFrame, years: int = 5) -> DataFrame:
     grown = {}
     for n in GROWTH_FIELDS.values():
         span = (c(f"{n}_y1") - c(f"{n}_y0")).cast("double")
-        grown[f"{n}_cagr"] = F.when(span > 0, num.cagr_pct(c(f"{n}_v0"), c(f"{n}_v1"), span))
-    return facts.withColumns(grown)
+        grown[f"{n}_cagr"] = F.when(span > 0, num.cagr_pct(c(f"{n}_v0"), c(f"{n}_v1"), span, None))
+    return num.with_rounded(facts, grown)
 
 
 def latest_with_price(statements: DataFrame, prices: DataFrame) -> DataFrame:
@@ -137,8 +137,8 @@ def dcf(facts: DataFrame, macro: v.Macro = v.Macro()) -> DataFrame:
     return raw.select("symbol", "fcf_per_share", num.to_fixed(c("value")).alias("dcf_intrinsic_value"))
 
 
-def leverage_ratio() -> Column:
-    return v.debt_to_equity(c("short_term_loan_mn"), c("long_term_loan_mn"), c("paid_up_capital_mn"), c("reserve_surplus_mn"), c("oci_mn"))
+def leverage_ratio(digits: int | None = 2) -> Column:
+    return v.debt_to_equity(c("short_term_loan_mn"), c("long_term_loan_mn"), c("paid_up_capital_mn"), c("reserve_surplus_mn"), c("oci_mn"), digits)
 
 
 def leverage(latest: DataFrame) -> DataFrame:
@@ -188,8 +188,8 @@ def piotroski(facts: DataFrame) -> DataFrame:
     return facts.select("symbol", "fiscal_year", *[e.alias(n) for n, e in piotroski_columns().items()])
 
 
-def moat_column() -> Column:
-    return v.moat_rating(c("avg_roe_raw"), leverage_ratio(), c("all_profitable"), c("all_paid"))
+def moat_column(ratio: Column | None = None) -> Column:
+    return v.moat_rating(c("avg_roe_raw"), leverage_ratio() if ratio is None else ratio, c("all_profitable"), c("all_paid"))
 
 
 def moat(facts: DataFrame) -> DataFrame:
@@ -217,19 +217,23 @@ def cash_flow(statements: DataFrame) -> DataFrame:
     return statements.select("symbol", "fiscal_year", v.free_cash_flow(c("operating_cash_flow_mn"), c("capex_mn")).alias("free_cash_flow_mn"))
 
 
-def altman_columns(financial: tuple[str, ...]) -> dict[str, Column]:
+def is_financial(financial: tuple[str, ...]) -> Column:
+    return F.coalesce(c("sector").isin(*financial), F.lit(False))
+
+
+def with_altman(df: DataFrame, financial: tuple[str, ...]) -> DataFrame:
+    """Add ``altman_z`` and its ``zone`` to rows that carry the latest statement and the sector."""
     score = v.altman_score(
         c("current_assets_mn") - c("current_liabilities_mn"), c("total_assets_mn"), c("reserve_surplus_mn"), c("operating_profit_mn"),
-        c("total_assets_mn") - c("total_liabilities_mn"), c("total_liabilities_mn"),
+        c("total_assets_mn") - c("total_liabilities_mn"), c("total_liabilities_mn"), None,
     )
-    is_fin = F.coalesce(c("sector").isin(*financial), F.lit(False))
-    z = F.when(~is_fin, score)
-    return {"is_financial": is_fin, "altman_z": z, "zone": v.altman_zone(z, c("sector"), financial)}
+    z = num.with_rounded(df, {"altman_z": F.when(~is_financial(financial), score)})
+    return z.withColumn("zone", v.altman_zone(c("altman_z"), c("sector"), financial))
 
 
 def altman(latest: DataFrame, roster: DataFrame, financial: tuple[str, ...] = v.FINANCIAL_SECTORS) -> DataFrame:
     j = latest.join(roster.select("symbol", "sector"), "symbol", "left")
-    return j.select("symbol", "sector", *[e.alias(n) for n, e in altman_columns(financial).items()])
+    return with_altman(j, financial).select("symbol", "sector", is_financial(financial).alias("is_financial"), "altman_z", "zone")
 
 
 def dividend_sustainability(latest: DataFrame) -> DataFrame:
@@ -262,10 +266,9 @@ def with_models(facts: DataFrame, risk: DataFrame, macro: v.Macro = v.Macro()) -
     raw = {
         "graham_number": v.graham_number(c("eps_basic"), c("nav_per_share"), None), "peter_lynch_fair_value": lynch_value(None),
         "ddm_fair_value": ddm_fair_value(macro, None), "dcf_intrinsic_value": v.dcf_value(fcf_per_share(), c("fcf_cagr"), macro, None),
-        "pb_target": v.mean_reversion_target(num.to_fixed(c("pb_m")), c("nav_per_share"), None),
+        "pb_target": v.mean_reversion_target(c("_pb"), c("nav_per_share"), None),
     }
-    out = facts.join(risk, "symbol", "left").withColumns(raw)
-    out = out.withColumns({n: num.to_fixed(c(n)) for n in MODELS})
+    out = num.with_rounded(facts.join(risk, "symbol", "left").withColumn("_pb", num.to_fixed(c("pb_m"))), raw)
     out = out.withColumn("_blend", mean_of_known(*[c(m) for m in MODELS])).withColumn("blended_target", num.to_fixed(c("_blend"))).drop("_blend")
     return out.withColumn("margin_of_safety_pct", v.margin_of_safety(c("blended_target"), c("ltp")))
 
@@ -280,8 +283,9 @@ def decision_summary(
 ) -> DataFrame:
     """Verdict, entry price, resilience flags, streaks and projections."""
     m = with_models(latest_with_price(statements, prices), risk)
-    m = m.join(roster.select("symbol", "sector", "category"), "symbol", "left").withColumn("debt_to_equity", leverage_ratio())
-    m = m.withColumns({"moat_rating": moat_column(), "zone": altman_columns(financial)["zone"], "dividend_status": v.dividend_status(c("dps"), c("eps_basic"))})
+    m = m.join(roster.select("symbol", "sector", "category"), "symbol", "left")
+    m = with_altman(num.with_rounded(m, {"debt_to_equity": leverage_ratio(None)}), financial)
+    m = m.withColumns({"moat_rating": moat_column(c("debt_to_equity")), "dividend_status": v.dividend_status(c("dps"), c("eps_basic"))})
     return decide(m)
 
 
@@ -314,10 +318,10 @@ def technical_fusion(decisions: DataFrame, zones: DataFrame) -> DataFrame:
 def valuation_snapshot(statements: DataFrame, roster: DataFrame, prices: DataFrame, index: DataFrame, *, as_of) -> DataFrame:
     """The daily valuation table: one row per symbol."""
     out = with_models(latest_with_price(statements, prices), returns.risk_metrics(prices, index))
-    out = out.join(market.volume_velocity(prices), "symbol", "left").withColumns(
+    out = num.with_rounded(out.join(market.volume_velocity(prices), "symbol", "left"), {"leverage_ratio": leverage_ratio(None)})
+    out = num.with_rounded(out, {"payout_ratio": v.payout_pct(c("dps"), c("eps_basic"), None)}, 1).withColumns(
         {
-            "leverage_ratio": leverage_ratio(), "equity_mn": c("total_assets_mn") - c("total_liabilities_mn"), "moat_rating": moat_column(),
-            "payout_ratio": v.payout_pct(c("dps"), c("eps_basic")), "piotroski_score": piotroski_columns()["score"], "piotroski_rating": piotroski_columns()["rating"],
+            "equity_mn": c("total_assets_mn") - c("total_liabilities_mn"), "moat_rating": moat_column(c("leverage_ratio")), "piotroski_score": piotroski_columns()["score"], "piotroski_rating": piotroski_columns()["rating"],
         }
     )
     return out.select(
