@@ -389,17 +389,24 @@ def resolve_quarantine(prices: DataFrame, conflicts: DataFrame, decisions: DataF
 
 
 def upgrade_by_tier(existing: DataFrame, official: DataFrame, *, tolerance: float = 0.05, source: str = "DSE_OFFICIAL_GRAPH") -> MergeResult:
-    """Official index values replace missing days and days of unapproved sources; top-tier days are compared, never overwritten."""
-    o = official.filter(F.col("index_value").between(500, 20000)).select("date", F.col("index_value").alias("live"))
+    """Official index values replace missing days and days of unapproved sources; top-tier days are compared, never overwritten.
+
+    The replacements pass the index gate as one batch: a single value outside 500 to 20000 blocks all of them and the
+    stored rows stay as they are. One row per calendar day makes that check cheap.
+    """
+    o = official.select("date", F.col("index_value").alias("live"))
     j = existing.select("date", F.col("index_value").alias("stored"), "source").join(o, "date", "full_outer")
-    top = tier_of(F.col("source")) == 1
     untrusted = F.col("source").isNotNull() & tier_of(F.col("source")).isNull()
     take = F.col("live").isNotNull() & (F.col("stored").isNull() | untrusted)
-    rows = j.select(
-        "date", F.when(take, F.col("live")).otherwise(F.col("stored")).alias("index_value"), F.when(take, F.lit(source)).otherwise(F.col("source")).alias("source")
-    )
+    if not j.filter(take & ~F.col("live").between(500, 20000)).isEmpty():
+        rows = existing.select("date", "index_value", "source")
+    else:
+        rows = j.select(
+            "date", F.when(take, F.col("live")).otherwise(F.col("stored")).alias("index_value"), F.when(take, F.lit(source)).otherwise(F.col("source")).alias("source")
+        )
+    top = F.coalesce(tier_of(F.col("source")) == 1, F.lit(False))
     off = F.abs(F.col("stored") - F.col("live")) > tolerance
-    compared = j.filter(F.coalesce(top, F.lit(False)) & F.col("live").isNotNull())
+    compared = j.filter(top & F.col("live").isNotNull())
     mismatches = compared.filter(off).select("date", "stored", "live", "source")
     stats = compared.agg(F.count_if(~off).alias("confirmed"), F.count_if(off).alias("mismatched"))
     return MergeResult(rows, mismatches, stats)

@@ -339,9 +339,11 @@ def _j13(m):
 
 @query(
     "j13_upgrade_by_tier", "market_index",
-    f"""SELECT date, CASE WHEN l.index_value IS NOT NULL AND (o.index_value IS NULL OR o.source = 'MCAP_WEIGHTED_ESTIMATE') THEN l.index_value ELSE o.index_value END AS index_value,
-          CASE WHEN l.index_value IS NOT NULL AND (o.index_value IS NULL OR o.source = 'MCAP_WEIGHTED_ESTIMATE') THEN 'DSE_OFFICIAL_GRAPH' ELSE o.source END AS source
-        FROM {_J13_OLD} o FULL JOIN {_J13_LIVE} l USING (date)""",
+    f"""WITH j AS (SELECT date, o.index_value AS stored, l.index_value AS live, o.source, l.index_value IS NOT NULL AND (o.index_value IS NULL OR o.source = 'MCAP_WEIGHTED_ESTIMATE') AS take
+          FROM {_J13_OLD} o FULL JOIN {_J13_LIVE} l USING (date)),
+        g AS (SELECT count(*) FILTER (take AND (live < 500 OR live > 20000)) AS bad FROM j)
+        SELECT date, CASE WHEN bad = 0 AND take THEN live ELSE stored END AS index_value, CASE WHEN bad = 0 AND take THEN 'DSE_OFFICIAL_GRAPH' ELSE source END AS source
+        FROM j, g WHERE bad = 0 OR stored IS NOT NULL""",
 )
 def _(m):
     return _j13(m).rows

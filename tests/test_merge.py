@@ -110,3 +110,12 @@ def test_free_window(spark):
     df = spark.createDataFrame([(cutoff - dt.timedelta(days=1),), (cutoff,), (D,)], "date date")
     assert access.free_window_filter(df, as_of=D).count() == 2 and access.free_window_filter(df, as_of=D, entitled=True).count() == 3
     assert (PLAN_PRICES["WEEKLY"], PLAN_DAYS["HALF_YEARLY"], len(PLAN_PRICES)) == (100, 180, 4)
+
+
+def test_tier_upgrade_is_all_or_nothing(spark):
+    old = spark.createDataFrame([(D, 5000.0, "MCAP_WEIGHTED_ESTIMATE")], "date date, index_value double, source string")
+    day = D + dt.timedelta(days=1)
+    live = lambda *v: spark.createDataFrame(list(zip((D, day), v)), "date date, index_value double")
+    ok = {r.date: (r.index_value, r.source) for r in merge.upgrade_by_tier(old, live(5001.0, 5002.0)).rows.collect()}
+    assert ok == {D: (5001.0, "DSE_OFFICIAL_GRAPH"), day: (5002.0, "DSE_OFFICIAL_GRAPH")}
+    assert [tuple(r) for r in merge.upgrade_by_tier(old, live(5001.0, 99999.0)).rows.collect()] == [(D, 5000.0, "MCAP_WEIGHTED_ESTIMATE")]
