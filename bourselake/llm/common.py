@@ -105,6 +105,27 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = IS_
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
+_KIND = np.full(256, 2, dtype=np.uint8)
+_KIND[list(SPACES)] = 0
+_KIND[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = 1
+
+
+def token_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like word_bounds, for runs of letters and digits (with all bytes beyond ASCII) and runs of other signs."""
+    n = len(data)
+    if n == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    kind = _KIND[data]
+    change = np.ones(n + 1, dtype=bool)
+    change[1:n] = kind[1:] != kind[:-1]
+    change[offsets] = True
+    bounds = np.flatnonzero(change)
+    starts, ends = bounds[:-1], bounds[1:]
+    real = kind[starts] > 0
+    starts, ends = starts[real], ends[real]
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
 _powers = np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
 
 

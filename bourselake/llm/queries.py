@@ -51,3 +51,39 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bourselake.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
+@query("op4_quality_resampling")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bourselake.llm.quality import fit, resample
+
+    docs = table(spark, sf_dir, "documents")
+    return resample(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op6_best_fit_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bourselake.llm.packing import best_fit
+
+    return best_fit(table(spark, sf_dir, "documents"))
+
+
+def learnable(docs: DataFrame) -> DataFrame:
+    """Documents outside the held-out fifth; a null doc_id counts as an empty one, whose remainder is 0."""
+    return docs.filter(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 0)
+
+
+@query("op7_language_ppm")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bourselake.llm.language_id import predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    return predict(docs, train(learnable(docs))).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_substring_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bourselake.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
