@@ -21,8 +21,8 @@ SKETCH = 48
 #: Pairs whose union sketch estimates less are not verified. At a true 0.8 an estimate from 48 values has a deviation of
 #: 0.058, so a link is lost here once in some hundred thousand; sets of up to 48 shingles are compared exactly.
 LEAST_ESTIMATE = 0.54
-#: Members of an inverted list that meet in one join key.
-BLOCK = 256
+#: Members of a list in one block; two blocks are compared in one piece of work.
+BLOCK = 512
 
 _SKETCHED = pa.schema([("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
@@ -94,6 +94,85 @@ def _estimated(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.filter(likeness >= LEAST_ESTIMATE)
 
 
+def _mixed(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """The lists (value, rep, n) whose members lie in different components, with component and size of the list."""
+    placed = lists.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low < high")
+    return placed.join(mixed.select("value", "size"), "value")
+
+
+def _meeting_again(lists: DataFrame) -> DataFrame:
+    """(key, low, high, rep, component, block): cells in which members of mixed lists meet, each pair of a list in one at least.
+
+    Lists that share members form a group. A group meets as a whole, each pair once, where that takes fewer pairs than its
+    lists one by one (near copies share many lists); other groups meet list by list. Either way members are dealt into
+    blocks, and each two blocks are a cell, so no cell grows with a group.
+    """
+    lists = cut(lists)
+    chains = lists.join(lists.groupBy("value").agg(F.min("rep").alias("a")), "value").select("a", F.col("rep").alias("b"), "value", "component", "size")
+    grouped = chains.join(components(chains).select(F.col("node").alias("b"), F.col("component").alias("group")), "b")
+    sums = grouped.groupBy("group", "value").agg(F.first("size").alias("size")).groupBy("group").agg(F.sum(F.col("size").cast("double") ** 2).alias("by_list"))
+    whole = grouped.select("group", "b").distinct().groupBy("group").agg(F.count("*").cast("double").alias("members"))
+    modes = sums.join(whole, "group").select("group", "members", (F.col("members") ** 2 <= F.col("by_list")).alias("as_group"))
+    met = grouped.join(modes, "group")
+    together = F.when(F.col("as_group"), F.col("group")).otherwise(F.col("value"))
+    of = F.when(F.col("as_group"), F.col("members")).otherwise(F.col("size"))
+    met = met.select(F.struct("as_group", together.alias("of")).alias("key"), F.col("b").alias("rep"), "component", F.ceil(of / BLOCK).cast("int").alias("blocks")).distinct()
+    met = met.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    cells = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as low, greatest(x, block) as high))")
+    return met.select("key", "rep", "component", "block", F.explode(cells).alias("cell")).select("key", "cell.low", "cell.high", "rep", "component", "block")
+
+
+def _verify_cells(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Of each cell the linked pairs that lie in different components, one for each two components."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = pa.StructArray.from_arrays([batch["key"].field(0), batch["key"].field(1), batch["low"], batch["high"]], names=["g", "k", "l", "h"])
+        cells = np.stack([keys.field(i).cast(pa.int64()).to_numpy(zero_copy_only=False) for i in range(4)], 1)
+        bounds = [0, *(np.flatnonzero((cells[1:] != cells[:-1]).any(1)) + 1).tolist(), len(batch)]
+        for i, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            if x == y:
+                continue
+            part, this = batch.slice(x, y - x), tuple(cells[x])
+            if waiting and (i or waiting[0][0] != this):
+                yield _of_cell([p for _, p in waiting], size, percent)
+                waiting = []
+            waiting.append((this, part))
+    if waiting:
+        yield _of_cell([p for _, p in waiting], size, percent)
+
+
+def _of_cell(parts: list[pa.RecordBatch], size: int, percent: int, width: int = 4096) -> pa.RecordBatch:
+    cell = pa.Table.from_batches(parts)
+    rep, component, block = (cell[c].to_numpy() for c in ("rep", "component", "block"))
+    crossing = cell["low"][0].as_py() != cell["high"][0].as_py()
+    found_a, found_b = rep[:0], rep[:0]
+    apart = component[:, None] != component[None, :]
+    if crossing:
+        apart &= block[:, None] != block[None, :]
+    if apart.any():
+        sets = list(shingle_sets(cell["text"].combine_chunks(), size))
+        counts = np.array([len(x) for x in sets])
+        values, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), counts)
+        shared = times[place] > 1
+        column, row = (np.cumsum(times > 1) - 1)[place[shared]], row[shared]
+        order = np.argsort(column, kind="stable")
+        column, row = column[order], row[order]
+        same = np.zeros((len(sets), len(sets)), np.float32)
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            x, y = np.searchsorted(column, (start, start + width))
+            met = np.zeros((len(sets), width), np.float32)
+            met[row[x:y], column[x:y] - start] = 1
+            same += met @ met.T
+        union = counts[:, None] + counts[None, :] - same
+        i, j = np.nonzero(np.triu(apart & (100 * same.astype(np.int64) >= percent * union.astype(np.int64)), 1))
+        ends = np.sort(np.stack([component[i], component[j]], 1), axis=1)
+        _, one = np.unique(ends, axis=0, return_index=True)
+        found_a, found_b = rep[i[one]], rep[j[one]]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(found_a, found_b)), pa.array(np.maximum(found_a, found_b))], names=["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id long, text string; other columns are ignored).
 
@@ -103,7 +182,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     texts. A null doc_id is no node: it takes the component of an equal text, else null, and kept is then null.
 
     Equal sets fold first, so copies never meet as pairs. In each inverted list every member meets the list's smallest
-    document; only lists whose members then lie in different components compare the rest, across components, in blocks.
+    document. Only where members then lie in different components are they compared further, on their full sets, in blocks
+    of bounded size that give back no more than a link for each two components.
     Only the rarest values of a sketch are listed: two sketches that share enough values share one of those.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -125,30 +205,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
     a = reps.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a"))
     b = reps.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b"))
+    links_of = lambda pairs: _links(cut(_estimated(pairs.join(a, "a").join(b, "b"), k).select("a", "b")), docs, size, percent)
     hubs = lists.groupBy("value").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
     spokes = lists.join(hubs, "value").select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("hub.n").alias("n"), F.col("n").alias("m"))
-    spokes = spokes.filter(fits & (F.col("a") < F.col("b"))).select("a", "b").distinct()
-    spokes = _estimated(spokes.join(a, "a").join(b, "b"), k).select("a", "b")
-    first = cut(_links(cut(spokes.distinct()), docs, size, percent))
-
     several = members.filter("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b")
     several = members.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b"))
-    settled = components(first.unionByName(several))
-    placed = lists.join(settled.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low < high")
-    open_lists = placed.join(mixed.select("value", "size"), "value").join(reps.select("rep", "sketch"), "rep")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    open_lists = open_lists.withColumn("blocks", blocks).withColumn("mine", mine)
-    meets = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, mine) as low, greatest(x, mine) as high))")
-    open_lists = cut(open_lists.select("value", "rep", "n", "component", "sketch", "mine", F.explode(meets).alias("cell")))
-    other = {"rep": "other", "n": "m", "component": "apart", "mine": "theirs", "sketch": "sketch_b"}
-    other = open_lists.select("value", "cell", *(F.col(x).alias(y) for x, y in other.items()))
-    once = F.expr("rep < other and component <> apart and (mine <> theirs or cell.low = cell.high)")
-    rest = open_lists.withColumnRenamed("sketch", "sketch_a").join(other, ["value", "cell"]).filter(fits & once)
-    rest = _estimated(rest, k).select(F.col("rep").alias("a"), F.col("other").alias("b")).distinct()
-    second = _links(cut(rest), docs, size, percent)
-
-    found = components(first.unionByName(several).unionByName(second)).withColumnRenamed("node", "rep")
+    links = cut(several.unionByName(links_of(spokes.filter(fits & (F.col("a") < F.col("b"))).select("a", "b").distinct())))
+
+    again = _meeting_again(_mixed(lists, links))
+    texts = docs.filter("text is not null").join(again.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    cells = again.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    cells = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    rest = cells.mapInArrow(partial(_verify_cells, size=size, percent=percent), "a long, b long")
+    links = links.unionByName(cut(rest.distinct()))
+
+    found = components(links).withColumnRenamed("node", "rep")
     out = members.join(found, "rep", "left").withColumn("component_id", F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
