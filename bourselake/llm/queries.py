@@ -87,3 +87,76 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bourselake.llm.substring_dedup import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+EMBEDDING_SQL = f"""
+with recursive
+v as (select vec_id, label, embedding::double[] as e from embeddings),
+good as (select * from v where label is not null and e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+      and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (select p.vec_id as a, q.vec_id as b from good p join good q on p.label = q.label and p.vec_id < q.vec_id and len(p.e) = len(q.e)
+      where list_cosine_similarity(p.e, q.e) >= 0.93),
+nodes as (select vec_id as id from v),{CLOSURE},
+n as (select a, count(*) as n from both_ways group by a)
+select v.vec_id, coalesce(n.n, 0)::bigint as n_links, c.component_id, v.vec_id = c.component_id as kept
+from v join closed c on c.id = v.vec_id left join n on n.a = v.vec_id"""
+
+
+@query("op2_embedding_ego_join", EMBEDDING_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bourselake.llm.embedding_dedup import near_embeddings
+
+    return near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+#: The escape of chat_format as SQL.
+_ESCAPED = r"regexp_replace(coalesce({0}, ''), '([<\[])(\\*)(/?s>|/?INST\]|OUT\])', '\1\\\2\3', 'g')"
+
+CHAT_SQL = f"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+      union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+select conv_id, count(*) as n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+      coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+      sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+      (3 + sum(case when role = 'assistant' then 10 else 14 end + length(replace(replace({_ESCAPED.format("role")}, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'))
+       + length({_ESCAPED.format("text")})))::bigint as formatted_chars
+from t group by conv_id"""
+
+
+@query("op1_chat_format", CHAT_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bourselake.llm.chat_format import MESSAGE, fold_events, read_back, render
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")
+    )
+    events = rows.unionByName(probe).select("conv_id", F.col("turn").alias("seq"), F.lit(MESSAGE).alias("kind"), F.lit(None).cast("string").alias("message"), "role", "text")
+    chats = render(fold_events(events)).withColumn("turns", read_back(F.col("formatted")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learned = F.array_join(F.transform(F.filter("turns", lambda t: t["learned"]), lambda t: t["text"]), "")
+    return chats.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length(learned).cast("long").alias("loss_chars"),
+        F.sha2(learned, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query("op3_document_fingerprints")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bourselake.llm.fingerprints import document_fingerprints
+
+    return document_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op5_bpe_trie")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from bourselake.llm.bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
