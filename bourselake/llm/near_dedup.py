@@ -22,7 +22,7 @@ SKETCH = 48
 #: 0.058, so a link is lost here once in some hundred thousand; sets of up to 48 shingles are compared exactly.
 LEAST_ESTIMATE = 0.54
 #: Members of a list in one block; two blocks are compared in one piece of work.
-BLOCK = 512
+BLOCK = 1024
 
 _SKETCHED = pa.schema([("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
@@ -101,15 +101,16 @@ def _mixed(lists: DataFrame, links: DataFrame) -> DataFrame:
     return placed.join(mixed.select("value", "size"), "value")
 
 
-def _meeting_again(lists: DataFrame) -> DataFrame:
-    """(key, low, high, rep, component, block): cells in which members of mixed lists meet, each pair of a list in one at least.
+def _meeting_again(lists: DataFrame, percent: int) -> DataFrame:
+    """(cell, rep, component, home): cells in which members of mixed lists meet, all pairs of a list whose sizes allow a link.
 
     Lists that share members form a group. A group meets as a whole, each pair once, where that takes fewer pairs than its
     lists one by one (near copies share many lists); other groups meet list by list. Either way members are dealt into
-    blocks, and each two blocks are a cell, so no cell grows with a group.
+    bands of sizes, of which equal and adjacent ones meet, and bands into blocks; two blocks (or one) are a cell, so no cell
+    grows with a group. Members of one block have one home and meet each other in the cell of that block alone.
     """
     lists = cut(lists)
-    chains = lists.join(lists.groupBy("value").agg(F.min("rep").alias("a")), "value").select("a", F.col("rep").alias("b"), "value", "component", "size")
+    chains = lists.join(lists.groupBy("value").agg(F.min("rep").alias("a")), "value").select("a", F.col("rep").alias("b"), "n", "value", "component", "size")
     grouped = chains.join(components(chains).select(F.col("node").alias("b"), F.col("component").alias("group")), "b")
     sums = grouped.groupBy("group", "value").agg(F.first("size").alias("size")).groupBy("group").agg(F.sum(F.col("size").cast("double") ** 2).alias("by_list"))
     whole = grouped.select("group", "b").distinct().groupBy("group").agg(F.count("*").cast("double").alias("members"))
@@ -117,23 +118,34 @@ def _meeting_again(lists: DataFrame) -> DataFrame:
     met = grouped.join(modes, "group")
     together = F.when(F.col("as_group"), F.col("group")).otherwise(F.col("value"))
     of = F.when(F.col("as_group"), F.col("members")).otherwise(F.col("size"))
-    met = met.select(F.struct("as_group", together.alias("of")).alias("key"), F.col("b").alias("rep"), "component", F.ceil(of / BLOCK).cast("int").alias("blocks")).distinct()
+    key = F.struct("as_group", together.alias("of"))
+    met = met.select(key.alias("key"), F.col("b").alias("rep"), "n", "component").distinct()
+    met = met.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent + 1e-9))).cast("int"))
+    sizes = met.groupBy("key", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    met = met.join(sizes, ["key", "band"])
     met = met.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    cells = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as low, greatest(x, block) as high))")
-    return met.select("key", "rep", "component", "block", F.explode(cells).alias("cell")).select("key", "cell.low", "cell.high", "rep", "component", "block")
+    below = sizes.select("key", (F.col("band") + 1).alias("band"), F.col("blocks").alias("blocks_below"))
+    above = sizes.select("key", (F.col("band") - 1).alias("band"), F.col("blocks").alias("blocks_above"))
+    met = met.join(below, ["key", "band"], "left").join(above, ["key", "band"], "left")
+    cell = lambda band, other, low, high: f"struct({band} as band, {other} as other, {low} as low, {high} as high)"
+    own = f"transform(sequence(0, blocks - 1), x -> {cell('band', 'band', 'least(x, block)', 'greatest(x, block)')})"
+    down = f"if(blocks_below is null, array(), transform(sequence(0, blocks_below - 1), x -> {cell('band - 1', 'band', 'x', 'block')}))"
+    up = f"if(blocks_above is null, array(), transform(sequence(0, blocks_above - 1), x -> {cell('band', 'band + 1', 'block', 'x')}))"
+    cells = F.expr(f"concat({own}, {down}, {up})")
+    met = met.select("key", "rep", "component", F.struct("band", "block").alias("home"), F.explode(cells).alias("cell"))
+    return met.select(F.xxhash64("key", "cell").alias("cell"), "rep", "component", F.xxhash64("home").alias("home"))
 
 
 def _verify_cells(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Of each cell the linked pairs that lie in different components, one for each two components."""
     waiting: list[pa.RecordBatch] = []
     for batch in batches:
-        keys = pa.StructArray.from_arrays([batch["key"].field(0), batch["key"].field(1), batch["low"], batch["high"]], names=["g", "k", "l", "h"])
-        cells = np.stack([keys.field(i).cast(pa.int64()).to_numpy(zero_copy_only=False) for i in range(4)], 1)
-        bounds = [0, *(np.flatnonzero((cells[1:] != cells[:-1]).any(1)) + 1).tolist(), len(batch)]
+        cells = batch["cell"].to_numpy()
+        bounds = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(batch)]
         for i, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
             if x == y:
                 continue
-            part, this = batch.slice(x, y - x), tuple(cells[x])
+            part, this = batch.slice(x, y - x), cells[x]
             if waiting and (i or waiting[0][0] != this):
                 yield _of_cell([p for _, p in waiting], size, percent)
                 waiting = []
@@ -144,12 +156,11 @@ def _verify_cells(batches: Iterator[pa.RecordBatch], size: int, percent: int) ->
 
 def _of_cell(parts: list[pa.RecordBatch], size: int, percent: int, width: int = 4096) -> pa.RecordBatch:
     cell = pa.Table.from_batches(parts)
-    rep, component, block = (cell[c].to_numpy() for c in ("rep", "component", "block"))
-    crossing = cell["low"][0].as_py() != cell["high"][0].as_py()
+    rep, component, home = (cell[c].to_numpy() for c in ("rep", "component", "home"))
     found_a, found_b = rep[:0], rep[:0]
     apart = component[:, None] != component[None, :]
-    if crossing:
-        apart &= block[:, None] != block[None, :]
+    if (home != home[0]).any():
+        apart &= home[:, None] != home[None, :]
     if apart.any():
         sets = list(shingle_sets(cell["text"].combine_chunks(), size))
         counts = np.array([len(x) for x in sets])
@@ -198,7 +209,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     common = posted.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     shared = posted.join(common, "value").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("listed"))
     held = F.least(F.col("n"), F.lit(k))
-    needed = F.ceil(held * LEAST_ESTIMATE)
+    complete = F.col("n") * 100 <= k * percent  # its sketch and those of all it can be linked with are whole sets
+    needed = F.when(complete, F.ceil(F.col("n") * percent / 100)).otherwise(F.ceil(held * LEAST_ESTIMATE))
     shared = shared.withColumn("most", (held - needed + 1 - (held - F.size("listed"))).cast("int")).filter("most > 0")
     lists = cut(shared.select("rep", "n", F.explode(F.slice("listed", F.lit(1), F.least(F.col("most"), F.size("listed")))).alias("x")).select("rep", "n", F.col("x.value").alias("value")))
 
@@ -212,10 +224,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     several = members.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b"))
     links = cut(several.unionByName(links_of(spokes.filter(fits & (F.col("a") < F.col("b"))).select("a", "b").distinct())))
 
-    again = _meeting_again(_mixed(lists, links))
+    again = _meeting_again(_mixed(lists, links), percent)
     texts = docs.filter("text is not null").join(again.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     cells = again.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
-    cells = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    cells = cells.repartition("cell").sortWithinPartitions("cell")
     rest = cells.mapInArrow(partial(_verify_cells, size=size, percent=percent), "a long, b long")
     links = links.unionByName(cut(rest.distinct()))
 
