@@ -160,3 +160,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bourselake.llm.bpe import digests
 
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op10_html_text")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bourselake.llm.html_text import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
