@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache, partial
 from hashlib import sha256
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ class Vocabulary:
     rank: dict[int, int]  # rank of the merge that makes a token; a base symbol has none
     special: dict[str, int]
     pattern: str
-    endings: dict[str, int]  # each end of a token, with WORD_END for the mark: its id if it is one itself, else -1
+    endings: dict[str, tuple[tuple[int, int], ...]]  # for each beginning of a token (WORD_END for the mark): tokens that end it, longest first, and their symbols
     follows: dict[int, bool] = field(default_factory=dict)
 
     @classmethod
@@ -60,12 +61,13 @@ class Vocabulary:
                 halves[whole], rank[whole] = (ids[a], ids[b]), i
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        endings: dict[str, int] = {}
-        for token, i in ids.items():
-            signs = token.removesuffix(end) + WORD_END if end and token.endswith(end) and token != end else token
-            for start in range(1, len(signs) - signs.endswith(WORD_END)):
-                endings.setdefault(signs[start:], -1)
-            endings[signs] = i
+        marked = {t.removesuffix(end) + WORD_END if end and t.endswith(end) and t != end else t: i for t, i in ids.items()}
+        endings = {}
+        for token in marked:
+            for n in range(1, len(token) + 1):
+                if (begun := token[:n]) not in endings:
+                    own = [(marked[x], len(x) - x.endswith(WORD_END)) for k in range(n) if (x := begun[k:]) in marked]
+                    endings[begun] = tuple(own)
         return cls(ids, halves, merged, rank, special, split["pattern"]["Regex"], endings)
 
     def _border_stands(self, left: int, right: int, limit: float) -> bool:
@@ -106,24 +108,23 @@ class Vocabulary:
         path = ""
         last: list[int] = []  # last token of path[:i + 1]
         begins: list[int] = []  # where it begins
+        reach: list[int] = []  # where the longest beginning of a token begins that ends there
         for word in words:
             n, shared = len(word) - 1, 0
             most = min(n, len(path))
             while shared < most and path[shared] == word[shared]:
                 shared += 1
-            del last[shared:], begins[shared:]
+            del last[shared:], begins[shared:], reach[shared:]
             path = word[:n]
+            at = reach[-1] if shared else 0
             for end in range(shared + 1, n + 2):
-                symbols = word + WORD_END if end > n else word[:end]
-                start, found = end - 1, []
-                while start >= 0:
-                    token = endings.get(symbols[start:])
-                    if token is None:
-                        break
-                    if token >= 0:
-                        found.append((token, start))
-                    start -= 1
-                for token, start in reversed(found):
+                while (found := endings.get(word[at:end])) is None:
+                    at += 1
+                if end > n:
+                    while (found := endings.get(word[at:] + WORD_END)) is None:
+                        at += 1
+                for token, size in found:
+                    start = end - size
                     before = last[start - 1] if start else -1
                     ok = follows.get(before << 32 | token)
                     if may_follow(before, token) if ok is None else ok:
@@ -132,6 +133,8 @@ class Vocabulary:
                     raise ValueError(f"no encoding for {word!r}")
                 last.append(token)
                 begins.append(start)
+                reach.append(at)
+            reach.pop()
             out, start = [last.pop()], begins.pop()
             while start:
                 out.append(last[start - 1])
@@ -189,11 +192,11 @@ class Encoder:
         for word in new:
             if word[0] == "\n":
                 token = self.vocabulary.special[word[1:]]
-                self.known[word] = np.uint32(token).tobytes(), word[1:]
+                self.known[word] = pack("<I", token), word[1:]
             else:
                 signed["".join(map(self.table.__getitem__, word.encode()))] = word
         for signs, tokens in self.vocabulary.encode_words(sorted(signed)):
-            self.known[signed[signs]] = np.array(tokens, "<u4").tobytes(), " ".join(map(self.pieces.__getitem__, tokens))
+            self.known[signed[signs]] = pack(f"<{len(tokens)}I", *tokens), " ".join(map(self.pieces.__getitem__, tokens))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """(ids as little-endian 32-bit numbers, decoded text) of each text."""
