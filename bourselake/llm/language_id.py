@@ -108,11 +108,10 @@ def grow(grams: pd.DataFrame, order: int) -> ContextTrees:
         with np.errstate(divide="ignore", invalid="ignore"):
             escape = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0)
             own = np.where(counts > 0, -np.log2(counts / (total + distinct)), escape + table[:, shorter, :])
-        rows = np.arange(size**length) // 1 % size ** max(length - 1, 0)
-        rows_of = rows_of[rows]
+        rows_of = rows_of[np.arange(size**length) % size ** max(length - 1, 0)]
         rows_of[known] = table.shape[1] + np.arange(len(known))
         table = np.concatenate((table, own), axis=1)
-    return ContextTrees(langs, order, symbols, rows_of.astype(np.int32), table.reshape(len(langs), -1))
+    return ContextTrees(langs, order, symbols, rows_of.astype(np.int32), table.reshape(len(langs), table.shape[1] * size))
 
 
 def train(docs: DataFrame, order: int = 2, most_sequences: int = 1 << 18) -> ContextTrees:

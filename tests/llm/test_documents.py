@@ -209,7 +209,8 @@ def test_resampling_weights_and_choice(spark):
         f = brute_features(text)
         assert math.isclose(r.log_weight, want[f].sum() * min(1, quality.PASSAGE / max(len(f), 1)), abs_tol=1e-9)
     assert got["kept"].sum() == (got["log_weight"] >= quality.LEAST_WEIGHT).sum()
-    assert got[got["doc_id"] < 100]["kept"].all() and not got[got["doc_id"].between(100, 110)]["kept"].any()
+    assert got[got["doc_id"].isin(targets)]["kept"].all() and got[got["doc_id"].isin([200, 201])]["kept"].all()
+    assert got[got["doc_id"].between(100, 110)]["log_weight"].max() < got[got["doc_id"].isin(targets)]["log_weight"].min()
     few = quality.resample(docs, ratio, k=7).toPandas()
     assert set(few[few["kept"]]["key"]) == set(few["key"].nlargest(7)) and np.allclose(sorted(few["key"]), sorted(got["key"]))
     assert not quality.resample(docs, ratio, k=0).filter("kept").count()
