@@ -164,7 +164,7 @@ def users_with_entitlements(users: DataFrame, entitlements: DataFrame) -> DataFr
     return users.join(entitlements, "user_id", "left").select("user_id", "email", "name", "created_at", "premium_until")
 
 
-def actions_with_users(actions: DataFrame, users: DataFrame, n: int = 200) -> DataFrame:
+def actions_with_users(actions: DataFrame, users: DataFrame, n: int) -> DataFrame:
     """Newest admin actions with the address of the admin."""
     j = actions.join(users.select("user_id", F.col("email").alias("admin_email")), "user_id")
     return j.orderBy(F.desc("created_at"), "id").limit(n)

@@ -75,23 +75,20 @@ def one_row_per_day(prices: DataFrame, seq: str) -> DataFrame:
     return best.select("symbol", "date", "_best.*")
 
 
-def price_timeline(prices: DataFrame, limit: int = 7500, symbol: str | None = None, seq: str | None = None) -> DataFrame:
-    """Newest ``limit`` days per symbol, oldest first; one row per calendar day."""
+def price_timeline(prices: DataFrame, limit: int | None = None, symbol: str | None = None, seq: str | None = None) -> DataFrame:
+    """All days of each symbol, or its newest ``limit`` ones, oldest first; one row per calendar day."""
     p = prices if symbol is None else prices.filter(F.col("symbol") == symbol)
     p = p if seq is None else one_row_per_day(p, seq)
-    rows = newest_per_key(p.select("symbol", "date", *PRICE_FIELDS), "symbol", "date", limit)
+    rows = p.select("symbol", "date", *PRICE_FIELDS)
+    rows = rows if limit is None else newest_per_key(rows, "symbol", "date", limit)
     return rows.withColumnRenamed("close", "ltp").orderBy("symbol", "date")
 
 
-def index_timeline(index: DataFrame, limit: int = 7500) -> DataFrame:
-    """The oldest ``limit`` index days with the tier of their source. The limit cuts from the old end on purpose:
-    that is what users of the timeline have always received."""
-    return (
-        index.select("date", "index_value", "advancing", "declining", "unchanged", "total_value_mn", "total_volume", "source")
-        .orderBy("date")
-        .limit(limit)
-        .withColumn("tier", tier_of(F.col("source")))
-    )
+def index_timeline(index: DataFrame, limit: int | None = None) -> DataFrame:
+    """All index days with the tier of their source. A ``limit`` keeps the oldest days, as users of a limited timeline have always received it."""
+    rows = index.select("date", "index_value", "advancing", "declining", "unchanged", "total_value_mn", "total_volume", "source").orderBy("date")
+    rows = rows if limit is None else rows.limit(limit)
+    return rows.withColumn("tier", tier_of(F.col("source")))
 
 
 def statement_history(fundamentals: DataFrame, symbol: str | None = None) -> DataFrame:
@@ -152,9 +149,12 @@ def peers_by_sector(statements: DataFrame, roster: DataFrame) -> DataFrame:
 
 
 def with_index_level(prices: DataFrame, index: DataFrame) -> DataFrame:
-    """Price timeline with the index level of the same day; a missing day stays null.
+    """Price timeline with the index level of the same day; a missing day stays null."""
+    return prices.select("symbol", "date", F.col("close").alias("price"), "volume", "pe").join(level_per_day(index), "date", "left")
 
-    The index has one row per calendar day, which bounds what is broadcast."""
-    return prices.select("symbol", "date", F.col("close").alias("price"), "volume", "pe").join(
-        F.broadcast(index.select("date", "index_value")), "date", "left"
-    )
+
+def level_per_day(index: DataFrame) -> DataFrame:
+    """(date, index_value), one row per day whatever the index frame holds, so a century is 36 525 rows and may be broadcast.
+
+    Where a day has several levels the highest counts."""
+    return F.broadcast(index.groupBy("date").agg(F.max("index_value").alias("index_value")))

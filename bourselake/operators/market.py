@@ -186,7 +186,7 @@ def lookback_closes(prices: DataFrame, as_of, offsets: dict[str, int]) -> DataFr
     return closes_at(prices, {k: as_of - dt.timedelta(days=d) for k, d in offsets.items()})
 
 
-def stratified_sample(roster: DataFrame, n: int = 50) -> DataFrame:
+def stratified_sample(roster: DataFrame, n: int) -> DataFrame:
     """The first ``n`` active symbols in sector order."""
     active = roster.filter(F.col("is_active") & F.col("sector").isNotNull())
     return active.select("symbol", "name", "sector", "category").orderBy("sector", "symbol").limit(n)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bourselake.functions import numbers as num
-from bourselake.functions.provenance import PROMOTION_SOURCE, tier_allows_overwrite, tier_of
+from bourselake.functions.provenance import PROMOTION_SOURCE, clean_symbol, tier_allows_overwrite, tier_of
 
 # States of a quarantined conflict and the fields a reviewer may apply.
 PENDING, APPROVED, REJECTED = "PENDING_USER_APPROVAL", "APPROVED_BY_USER", "REJECTED_BY_USER"
@@ -22,6 +22,13 @@ PRICE_FIELDS_APPLICABLE = (
     "open", "high", "low", "close", "ycp", "change", "change_percent", "volume", "value_mn", "pe", "trades", "market_cap_mn", "source",
 )
 
+STATEMENT_FIELDS_APPLICABLE = (
+    "eps_basic", "eps_diluted", "nav_per_share", "roe", "dividend_yield", "paid_up_capital_mn", "authorized_capital_mn", "pe_ratio", "debt_to_equity",
+    "current_ratio", "audit_status", "eps_quarterly", "pe_diluted", "pe_trailing", "quarterly_disclosure", "source", "dps", "net_income_mn",
+    "reserve_surplus_mn", "oci_mn", "short_term_loan_mn", "long_term_loan_mn", "bonus_pct", "revenue_mn", "gross_profit_mn", "operating_profit_mn",
+    "total_assets_mn",
+)
+
 REPLACE, COALESCE, INSERT_ONLY = "replace", "coalesce", "insert_only"
 Guard = Callable[[Callable[[str], Column]], Column]
 
@@ -38,6 +45,18 @@ def _best(field: str) -> Column:
     return F.array_max(F.transform("offers", lambda o: o[field]))
 
 
+def clean_keys(batch: DataFrame, keys: list[str], null_safe: bool = False) -> DataFrame:
+    """Records with a usable key: symbols upper-cased and trimmed; a null key (with ``null_safe``: a null symbol) is no record."""
+    if "symbol" in keys:
+        batch = batch.withColumn("symbol", F.nullif(clean_symbol(F.col("symbol")), F.lit("")))
+    return batch.dropna(subset=["symbol"] if null_safe and "symbol" in keys else keys)
+
+
+def record_order(seq: str | None, columns: list[str]) -> Column:
+    """Which of several records of a key is the last: the highest ``seq``; where it ties or is not given, the highest hash of the record."""
+    return F.struct(F.col(seq).alias("seq") if seq else F.lit(0).alias("seq"), F.xxhash64(*columns).alias("tie"))
+
+
 def upsert(
     existing: DataFrame, incoming: DataFrame, keys: list[str], policy: dict[str, str], *, seq: str | None = None,
     tiered: bool = False, guard: Guard | None = None, null_safe: bool = False,
@@ -46,11 +65,12 @@ def upsert(
 
     ``policy`` says per column what an accepted record does: ``replace`` takes its value even where unknown,
     ``coalesce`` only where known, ``insert_only`` only on a new key. Within a batch the record with the highest
-    ``seq`` wins. ``guard`` says whether a stored row may be touched at all. With ``tiered`` a record of a worse
+    ``seq`` wins; without one, or where it ties, one whole record wins by its hash, so no two records mix. Keys are cleaned. ``guard`` says whether a stored row may be touched at all. With ``tiered`` a record of a worse
     trust tier than the stored source is left out; the fate of a record then depends on its tier alone, so a key keeps
     one folded offer per tier (at most four) and the stored source is always the one before the batch.
     """
-    order = F.col(seq) if seq else F.lit(0)
+    incoming = clean_keys(incoming, keys, null_safe)
+    order = record_order(seq, list(policy))
     folded = []
     for c, p in policy.items():
         v = F.struct(order.alias("s"), F.col(c).alias("v"))
@@ -114,6 +134,7 @@ def merge_stats(existing: DataFrame, incoming: DataFrame, keys: list[str], field
 
 
 def _guarded(existing, incoming, keys, policy, field, table, seq) -> MergeResult:
+    incoming = clean_keys(incoming, keys)
     rows = upsert(existing, incoming, keys, policy, seq=seq, tiered=True)
     return MergeResult(rows, quarantine_conflicts(existing, incoming, keys, field, table), merge_stats(existing, incoming, keys, field))
 
@@ -303,42 +324,65 @@ def fundamentals_delta(existing: DataFrame, incoming: DataFrame) -> MergeResult:
 # -- roster -----------------------------------------------------------------------------------------------------------
 
 ROSTER_DETAILS = ("name", "sector", "category", "face_value", "total_shares")
+#: Further details a payload may fill in, and what it replaces.
+ROSTER_FILLED, ROSTER_REPLACED = (*ROSTER_DETAILS, "listing_date", "market_cap_mn"), ("source", "fetched_at")
 
 
-def upsert_roster(existing: DataFrame, incoming: DataFrame, *, as_of) -> DataFrame:
+def upsert_roster(existing: DataFrame, incoming: DataFrame, *, as_of, seq: str | None = None) -> DataFrame:
     """A complete roster payload: fill in details, note category changes and new listings, soft-delist what is gone.
 
-    An empty payload is no instruction to delist everything; it returns the stored roster unchanged.
+    The result has all stored columns and the lifecycle ones (prev_category, category_changed_at, is_new_listing, first_seen,
+    delisted_date), which keep their stored values unless this payload changes them. Of several records of a symbol the
+    last known value wins. An empty payload is no instruction to delist everything; it returns the stored roster unchanged.
     """
     if incoming.isEmpty():
         return existing
     today = F.lit(as_of).cast("date")
-    new = incoming.groupBy("symbol").agg(*[F.max(c).alias(f"n_{c}") for c in ROSTER_DETAILS]).withColumn("n_here", F.lit(True))
+    batch = clean_keys(incoming, ["symbol"])
+    offered = [c for c in existing.columns if c in batch.columns and c != "symbol"]
+    order = record_order(seq, offered)
+    known = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(order.alias("s"), F.col(c).alias("v"))))
+    new = batch.groupBy("symbol").agg(*[known(c).alias(f"n_{c}") for c in offered]).withColumn("n_here", F.lit(True))
     j = existing.withColumn("o_here", F.lit(True)).join(new, "symbol", "full_outer")
     here, stored = F.col("n_here").isNotNull(), F.col("o_here").isNotNull()
-    moved = here & stored & F.col("n_category").isNotNull() & (F.col("n_category") != F.col("category"))
-    moved = F.coalesce(moved, F.lit(False))
+    value = lambda c: F.col(f"n_{c}.v") if c in offered else F.lit(None)
+    old = lambda c, kind: F.col(c) if c in existing.columns else F.lit(None).cast(kind)
+    moved = F.coalesce(here & stored & value("category").isNotNull() & (value("category") != F.col("category")), F.lit(False))
     gone = stored & ~here & (F.col("trading_status") == "Active")
-    return j.select(
-        "symbol",
-        *[F.coalesce(F.col(f"n_{c}"), F.col(c)).alias(c) for c in ROSTER_DETAILS],
-        F.when(here, True).when(gone, False).otherwise(F.col("is_active")).alias("is_active"),
-        F.when(here, "Active").when(gone, "Delisted").otherwise(F.col("trading_status")).alias("trading_status"),
-        F.when(moved, F.col("category")).alias("prev_category"),
-        F.when(moved, today).alias("category_changed_at"),
-        (~stored).alias("is_new_listing"),
-        F.when(~stored, today).alias("first_seen"),
-        F.when(gone, today).alias("delisted_date"),
-    )
-
-
-def prune_orphans(stored: DataFrame, payload: DataFrame, keys: list[str], owned: tuple[str, ...] = (PROMOTION_SOURCE,)) -> DataFrame:
-    """Drop rows of owned sources that a complete payload no longer has; an empty payload drops nothing."""
-    if payload.isEmpty():
-        return stored
+    out = {}
+    for c in existing.columns:
+        if c in ROSTER_FILLED:
+            out[c] = F.coalesce(value(c), F.col(c))
+        elif c in ROSTER_REPLACED and c in offered:
+            out[c] = F.when(here, value(c)).otherwise(F.col(c))
+        else:
+            out[c] = F.when(stored | F.lit(c == "symbol"), F.col(c)).otherwise(value(c))
+    out["is_active"] = F.when(here, True).when(gone, False).otherwise(F.col("is_active"))
+    out["trading_status"] = F.when(here, "Active").when(gone, "Delisted").otherwise(F.col("trading_status"))
+    out["prev_category"] = F.when(moved, F.col("category")).otherwise(old("prev_category", "string"))
+    out["category_changed_at"] = F.when(moved, today).otherwise(old("category_changed_at", "date"))
+    out["is_new_listing"] = F.when(~stored, True).otherwise(F.coalesce(old("is_new_listing", "boolean"), F.lit(False)))
+    out["first_seen"] = F.when(~stored, today).otherwise(old("first_seen", "date"))
+    out["delisted_date"] = F.when(gone, today).otherwise(old("delisted_date", "date"))
+    return j.select(*[v.alias(c) for c, v in out.items()])
+
+
+def prune_orphans(
+    stored: DataFrame, payload: DataFrame, keys: list[str], owned: tuple[str, ...] = (PROMOTION_SOURCE,), scope: list[str] | None = None
+) -> DataFrame:
+    """Drop rows of owned sources that a payload no longer has; an empty payload drops nothing.
+
+    With ``scope`` (some of the keys) the payload is complete only inside the scopes it has rows of, and nothing else is dropped.
+    """
     mine = F.coalesce(F.col("source").isin(*owned), F.lit(False))
-    kept = stored.filter(mine).join(payload.select(*keys).distinct(), keys, "left_semi")
-    return stored.filter(~mine).unionByName(kept)
+    if scope is None:
+        if payload.isEmpty():
+            return stored
+        kept = stored.filter(mine).join(payload.select(*keys).distinct(), keys, "left_semi")
+        return stored.filter(~mine).unionByName(kept)
+    j = stored.join(payload.select(*keys).distinct().withColumn("_here", F.lit(True)), keys, "left")
+    j = j.join(payload.select(*scope).distinct().withColumn("_in", F.lit(True)), scope, "left")
+    return j.filter(~mine | F.col("_here").isNotNull() | F.col("_in").isNull()).select(*stored.columns)
 
 
 def roster_activity_refresh(roster: DataFrame, prices: DataFrame, details: DataFrame, *, as_of, days: int = 30) -> DataFrame:
@@ -346,11 +390,10 @@ def roster_activity_refresh(roster: DataFrame, prices: DataFrame, details: DataF
     traded = prices.filter(F.col("date") >= F.date_sub(F.lit(as_of).cast("date"), days)).select("symbol").distinct().withColumn("t", F.lit(True))
     valid = (F.coalesce(F.col("face_value") > 0, F.lit(True))) & (F.coalesce(F.col("total_shares") > 0, F.lit(True)))
     d = details.filter(valid).select("symbol", *[F.col(c).alias(f"n_{c}") for c in ROSTER_DETAILS])
-    j = roster.select("symbol", *ROSTER_DETAILS).join(traded, "symbol", "full_outer").join(d, "symbol", "left")
+    j = roster.join(traded, "symbol", "full_outer").join(d, "symbol", "left")
     live = F.col("t").isNotNull()
-    return j.select(
-        "symbol", *[F.when(live, F.coalesce(F.col(f"n_{c}"), F.col(c))).otherwise(F.col(c)).alias(c) for c in ROSTER_DETAILS], live.alias("is_active")
-    )
+    fresh = {c: F.when(live, F.coalesce(F.col(f"n_{c}"), F.col(c))).otherwise(F.col(c)) for c in ROSTER_DETAILS} | {"is_active": live}
+    return j.select(*[fresh.get(c, F.col(c)).alias(c) for c in dict.fromkeys([*roster.columns, "is_active"])])
 
 
 def index_membership_changes(old: DataFrame, new: DataFrame, *, as_of) -> DataFrame:
@@ -368,42 +411,48 @@ def index_membership_changes(old: DataFrame, new: DataFrame, *, as_of) -> DataFr
 # -- quarantine, tiers, promotion, live -------------------------------------------------------------------------------
 
 
-def resolve_quarantine(prices: DataFrame, conflicts: DataFrame, decisions: DataFrame) -> MergeResult:
-    """Apply reviewed conflicts on closes: an accepted value and its source replace the stored ones.
+def resolve_quarantine(
+    stored: DataFrame, conflicts: DataFrame, decisions: DataFrame, *, table: str = "price_history", keys: tuple[str, ...] = ("symbol", "date"),
+    fields: tuple[str, ...] = PRICE_FIELDS_APPLICABLE,
+) -> MergeResult:
+    """Apply reviewed conflicts: each accepted field takes the incoming value, and the row the incoming source.
 
-    ``conflicts`` carries ``id``; ``decisions`` is (id, resolution, note). Only fields of the allow-list apply.
+    ``conflicts`` carries ``id``; ``decisions`` is (id, resolution, note). Only conflicts of ``table`` on allow-listed fields
+    apply; of several accepted ones on a field, and for the source, the highest id wins. For statements pass
+    ``fundamentals_history``, (symbol, fiscal_year) and STATEMENT_FIELDS_APPLICABLE.
     """
     c = conflicts.join(decisions, "id", "left")
     decided, accepted = F.col("resolution").isNotNull(), F.col("resolution") == "ACCEPT_INCOMING"
     status = F.when(~decided, F.col("status")).when(accepted, APPROVED).otherwise(REJECTED)
     log = c.withColumn("status", status).withColumnRenamed("note", "notes").drop("resolution")
-    usable = c.filter(accepted & F.col("field_name").isin(*PRICE_FIELDS_APPLICABLE) & (F.col("target_table") == "price_history"))
-    values = usable.filter(F.col("field_name") == "close").groupBy("symbol", "date").agg(
-        F.max(F.struct("id", F.col("incoming_value").cast("double").alias("v"), "incoming_source")).alias("w")
-    )
-    j = prices.join(values, ["symbol", "date"], "left")
-    rows = j.withColumn("close", F.coalesce("w.v", "close")).withColumn(
-        "source", F.when(F.col("w").isNotNull(), F.coalesce("w.incoming_source", F.lit("USER_APPROVED_OVERRIDE"))).otherwise(F.col("source"))
-    )
-    return MergeResult(rows.select(*prices.columns), log, None)
+    usable = c.filter(accepted & F.col("field_name").isin(*fields) & (F.col("target_table") == table))
+    taken = [f for f in fields if f in stored.columns and f != "source"]
+    of_field = lambda f: F.max(F.when(F.col("field_name") == f, F.struct("id", F.col("incoming_value").alias("v"))))
+    tag = F.coalesce("incoming_source", F.lit("USER_APPROVED_OVERRIDE"))
+    values = usable.groupBy(*keys).agg(F.max(F.struct("id", tag.alias("v"))).alias("_source"), *[of_field(f).alias(f"_{f}") for f in taken])
+    j = stored.join(values, list(keys), "left")
+    fresh = {f: F.when(F.col(f"_{f}").isNotNull(), F.col(f"_{f}.v").cast(stored.schema[f].dataType)).otherwise(F.col(f)) for f in taken}
+    fresh["source"] = F.coalesce("_source.v", "source")
+    return MergeResult(j.select(*[fresh.get(x, F.col(x)).alias(x) for x in stored.columns]), log, None)
 
 
 def upgrade_by_tier(existing: DataFrame, official: DataFrame, *, tolerance: float = 0.05, source: str = "DSE_OFFICIAL_GRAPH") -> MergeResult:
     """Official index values replace missing days and days of unapproved sources; top-tier days are compared, never overwritten.
 
-    The replacements pass the index gate as one batch: a single value outside 500 to 20000 blocks all of them and the
+    A replaced day keeps its other stored columns, a new day takes those that ``official`` has. The replacements pass the index gate as one batch: a single value outside 500 to 20000 blocks all of them and the
     stored rows stay as they are. One row per calendar day makes that check cheap.
     """
-    o = official.select("date", F.col("index_value").alias("live"))
-    j = existing.select("date", F.col("index_value").alias("stored"), "source").join(o, "date", "full_outer")
+    extra = [c for c in existing.columns if c not in ("date", "index_value", "source")]
+    o = official.select("date", F.col("index_value").alias("live"), *[F.col(c).alias(f"_{c}") for c in extra if c in official.columns])
+    j = existing.withColumnRenamed("index_value", "stored").withColumn("_stored", F.lit(True)).join(o, "date", "full_outer")
     untrusted = F.col("source").isNotNull() & tier_of(F.col("source")).isNull()
     take = F.col("live").isNotNull() & (F.col("stored").isNull() | untrusted)
     if not j.filter(take & ~F.col("live").between(500, 20000)).isEmpty():
-        rows = existing.select("date", "index_value", "source")
+        rows = existing
     else:
-        rows = j.select(
-            "date", F.when(take, F.col("live")).otherwise(F.col("stored")).alias("index_value"), F.when(take, F.lit(source)).otherwise(F.col("source")).alias("source")
-        )
+        fresh = {"index_value": F.when(take, F.col("live")).otherwise(F.col("stored")), "source": F.when(take, F.lit(source)).otherwise(F.col("source"))}
+        fresh |= {c: F.when(F.col("_stored").isNull(), F.col(f"_{c}")).otherwise(F.col(c)) for c in extra if c in official.columns}
+        rows = j.select(*[fresh.get(c, F.col(c)).alias(c) for c in existing.columns])
     top = F.coalesce(tier_of(F.col("source")) == 1, F.lit(False))
     off = F.abs(F.col("stored") - F.col("live")) > tolerance
     compared = j.filter(top & F.col("live").isNotNull())
@@ -415,15 +464,15 @@ def upgrade_by_tier(existing: DataFrame, official: DataFrame, *, tolerance: floa
 def promote_prices(main: DataFrame, staged: DataFrame) -> DataFrame:
     """Promotion of audited staging prices: the full payload overwrites, tagged with the promotion source."""
     payload = staged.withColumn("source", F.lit(PROMOTION_SOURCE)).withColumn("pe", F.lit(None).cast("double"))
-    return prune_orphans(upsert_symbol_history(main, payload).rows, payload, ["symbol", "date"])
+    return prune_orphans(upsert_symbol_history(main, payload).rows, clean_keys(payload, ["symbol", "date"]), ["symbol", "date"], scope=["symbol"])
 
 
 def promote(main: dict[str, DataFrame], staged: dict[str, DataFrame], gate: DataFrame, *, as_of) -> dict[str, DataFrame]:
-    """Promote staging to main when the audit gate shows no errors; otherwise main stays as it is.
+    """Promote staging to main when the audit gate shows no errors; otherwise, or when nothing was audited, main stays as it is.
 
     ``gate`` is the one-row-per-entity summary of the full staging audit; reading its error total is the only action.
     """
-    if gate.agg(F.sum("errors")).first()[0]:
+    if gate.agg(F.sum("errors")).first()[0] != 0:
         return main
     tag = lambda df: df.withColumn("source", F.lit(PROMOTION_SOURCE))
     return {

@@ -58,7 +58,7 @@ def mismatch_by_source(paired: DataFrame, tolerance: float = 0.05) -> DataFrame:
     return g.withColumn("rate_pct", num.to_fixed(F.col("mismatches").cast("double") / F.col("compared").cast("double") * 100.0, 3))
 
 
-def yearly_sample(paired: DataFrame, k: int = 20, tolerance: float = 0.05) -> DataFrame:
+def yearly_sample(paired: DataFrame, k: int, tolerance: float = 0.05) -> DataFrame:
     """The first ``k`` compared rows of every year, with the verdict. Spark keeps only ``k`` rows per year and map task."""
     p = paired.filter(_comparable()).withColumn("year", F.year("date"))
     w = W.partitionBy("year").orderBy("symbol", "date")

@@ -9,9 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bourselake.functions import numbers as num
+from bourselake.operators.lookups import level_per_day
 from bourselake.functions.dates import add_years, year_span
 from bourselake.operators.asof import closes_at
 from bourselake.operators.indicators import max_drawdown
+from bourselake.operators.lookups import level_per_day
 
 # Look-back distances in calendar days.
 LOOKBACK_DAYS = {
@@ -61,11 +63,11 @@ def performance_summary(prices: DataFrame, as_of: dt.date, risk_free: float = 0.
 def risk_metrics(prices: DataFrame, index: DataFrame, *, risk_free_pct: float = 11.5, min_pairs: int = 30, digits: int | None = 2) -> DataFrame:
     """Volatility, beta against the index and a Sharpe-style ratio over the whole series.
 
-    The index is keyed by day: a century is 36 525 rows of two numbers, so broadcasting it is safe at any data size.
+    The index folds to one row per day before it is broadcast.
     Beta uses only days on which both series have a return.
     """
     w = W.partitionBy("symbol").orderBy("date")
-    p = prices.select("symbol", "date", "close").join(F.broadcast(index.select("date", "index_value")), "date", "left")
+    p = prices.select("symbol", "date", "close").join(level_per_day(index), "date", "left")
     p = p.select(
         "symbol", "date", "close", "index_value", F.lag("close").over(w).alias("p0"), F.lag("index_value").over(w).alias("i0")
     )

@@ -15,7 +15,7 @@ from bourselake.functions import labels
 from bourselake.functions import numbers as num
 from bourselake.functions import valuation as v
 from bourselake.operators import indicators, market, returns
-from bourselake.operators.lookups import HOLDERS
+from bourselake.operators.lookups import HOLDERS, level_per_day
 
 c = F.col
 
@@ -365,7 +365,7 @@ def deep_dive(statements: DataFrame, roster: DataFrame, prices: DataFrame, index
     many = lambda df, name, order: df.groupBy("symbol").agg(
         F.array_sort(F.collect_list(F.struct(order, *[x for x in df.columns if x not in ("symbol", order)]))).alias(name)
     )
-    timeline = prices.select("symbol", "date", c("close").alias("price"), "volume").join(F.broadcast(index.select("date", "index_value")), "date", "left")
+    timeline = prices.select("symbol", "date", c("close").alias("price"), "volume").join(level_per_day(index), "date", "left")
     stmts = statements.select("symbol", "fiscal_year", "eps_basic", "nav_per_share", "roe", "dividend_yield", "dps", "pe_ratio", "audit_status")
     holders = shareholding.select("symbol", *[f"{h}_pct" for h in HOLDERS])
     growth = growth_rates(latest).select("symbol", "eps_cagr", "navps_cagr")

@@ -138,4 +138,4 @@ def _(m):
 )
 def _(m):
     a = m.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("action"), F.col("o_orderdate").cast("date").alias("created_at"))
-    return access.actions_with_users(a, m.users)
+    return access.actions_with_users(a, m.users, 200)

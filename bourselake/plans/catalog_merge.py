@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bourselake.operators import merge
+from bourselake.operators.lookups import one_row_per_day
 from bourselake.plans.catalog import query
 from bourselake.plans.oracle import allows, fx, tier
 
@@ -260,7 +261,8 @@ def fundamentals_delta_no_change(m):
        FROM (SELECT *, true AS here FROM roster) o FULL JOIN (SELECT *, true AS here FROM roster_incoming) n USING (symbol)""",
 )
 def _(m):
-    return merge.upsert_roster(m.roster, m.roster_incoming, as_of=m.as_of)
+    lifecycle = ("is_active", "trading_status", "prev_category", "category_changed_at", "is_new_listing", "first_seen", "delisted_date")
+    return merge.upsert_roster(m.roster, m.roster_incoming, as_of=m.as_of).select("symbol", *merge.ROSTER_DETAILS, *lifecycle)
 
 
 @query(
@@ -283,7 +285,7 @@ def _(m):
 
 
 def _conflicts(m):
-    q = merge.quarantine_conflicts(m.prices_existing, m.prices_incoming.filter("seq = 1"), ["symbol", "date"], "close", "price_history")
+    q = merge.quarantine_conflicts(m.prices_existing, one_row_per_day(m.prices_incoming, "seq"), ["symbol", "date"], "close", "price_history")
     return q.withColumn("id", F.concat_ws("|", "symbol", F.col("date").cast("string")))
 
 
@@ -293,7 +295,7 @@ def _decisions(conflicts):
     return conflicts.select("id", res.alias("resolution"), F.lit("reviewed").alias("note")).filter(F.col("resolution").isNotNull())
 
 
-_RES = f"""WITH q AS (SELECT * FROM ({_QUAR.replace("FROM prices_incoming i", "FROM (SELECT * FROM prices_incoming WHERE seq = 1) i")}))"""
+_RES = f"""WITH q AS (SELECT * FROM ({_QUAR.replace("FROM prices_incoming i", "FROM (SELECT * FROM prices_incoming QUALIFY row_number() OVER (PARTITION BY symbol, date ORDER BY seq DESC) = 1) i")}))"""
 
 
 @query(
@@ -364,7 +366,8 @@ _J14 = {c: "replace" for c in ("high", "low", "close", "volume", "value_mn")} |
     "j14_promote_prices", "prices prices_existing",
     f"""SELECT * FROM ({merge_sql("(SELECT * REPLACE (CASE WHEN key % 3 = 1 THEN 'STAGING_DB' ELSE source END AS source) FROM prices)",
                                   "SELECT * REPLACE ('STAGING_DB' AS source), 0 AS seq FROM prices_existing", _K, _J14, tiered=True)}) x
-        WHERE source <> 'STAGING_DB' OR EXISTS (SELECT 1 FROM prices_existing p WHERE p.symbol = x.symbol AND p.date = x.date)""",
+        WHERE source <> 'STAGING_DB' OR EXISTS (SELECT 1 FROM prices_existing p WHERE p.symbol = x.symbol AND p.date = x.date)
+          OR NOT EXISTS (SELECT 1 FROM prices_existing p WHERE p.symbol = x.symbol)""",
 )
 def _(m):
     main = m.prices.withColumn("source", F.when(F.col("key") % 3 == 1, "STAGING_DB").otherwise(F.col("source")))
@@ -406,7 +409,8 @@ def _(m):
 )
 def _(m):
     details = m.roster_incoming.withColumn("face_value", F.when(F.col("key") % 4 == 0, F.lit(-5.0)).otherwise(F.col("face_value")))
-    return merge.roster_activity_refresh(m.roster.filter(F.col("key") % 10 != 6), m.bars, details, as_of=m.as_of, days=5)
+    out = merge.roster_activity_refresh(m.roster.filter(F.col("key") % 10 != 6), m.bars, details, as_of=m.as_of, days=5)
+    return out.select("symbol", *merge.ROSTER_DETAILS, "is_active")
 
 
 _OVERLAY = f"""

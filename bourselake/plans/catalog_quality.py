@@ -375,7 +375,7 @@ def _(m):
 _HAVE = "SELECT date FROM market_index WHERE day(date) % 7 <> 0"
 
 
-@query("k18_index_date_gaps", "bars market_index", f"SELECT DISTINCT date FROM bars WHERE date >= DATE '1997-01-01' AND date NOT IN ({_HAVE}) ORDER BY date DESC LIMIT 30")
+@query("k18_index_date_gaps", "bars market_index", f"SELECT DISTINCT date FROM bars WHERE date >= DATE '1997-01-01' AND date NOT IN ({_HAVE})")
 def _(m):
     return audits.index_date_gaps(m.bars, m.index.filter(F.dayofmonth("date") % 7 != 0), since="1997-01-01")
 
@@ -447,7 +447,7 @@ def _(m):
        LEFT JOIN (SELECT symbol, count(*) AS n, min(date) AS first_date, max(date) AS last_date, arg_max(close, date) AS last_close FROM bars GROUP BY symbol) g USING (symbol)""",
 )
 def _(m):
-    return audits.sample_verification(market.stratified_sample(m.roster), m.bars)
+    return audits.sample_verification(market.stratified_sample(m.roster, 50), m.bars)
 
 
 _CELLS = ("open", "high", "low", "close", "volume", "value_mn")
@@ -533,7 +533,7 @@ def _(m):
           SELECT *, row_number() OVER (PARTITION BY year(date) ORDER BY symbol, date) AS rn, CAST(year(date) AS INTEGER) AS year FROM {_ALL} WHERE db_close IS NOT NULL AND other_close IS NOT NULL) WHERE rn <= 20""",
 )
 def _(m):
-    return reconcile.yearly_sample(_pair(m))
+    return reconcile.yearly_sample(_pair(m), 20)
 
 
 _L3F = ("eps_basic", "nav_per_share", "dps", "bonus_pct", "reserve_surplus_mn", "oci_mn", "short_term_loan_mn", "long_term_loan_mn", "net_income_mn")

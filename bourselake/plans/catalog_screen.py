@@ -58,17 +58,16 @@ def stock_screen(m):
 @query(
     "d4_price_timeline", "prices_dirty",
     """SELECT symbol, date, close AS ltp, ycp, change, change_percent, volume, pe FROM (
-         SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM (
-           SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY seq DESC) AS k FROM prices_dirty) WHERE k = 1) WHERE rn <= 7500""",
+         SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY seq DESC) AS k FROM prices_dirty) WHERE k = 1""",
 )
 def _(m):
-    return lookups.price_timeline(m.prices_dirty, 7500, seq="seq")
+    return lookups.price_timeline(m.prices_dirty, seq="seq")
 
 
 @query(
     "d5_index_timeline", "market_index",
     f"""SELECT date, index_value, advancing, declining, unchanged, total_value_mn, total_volume, source, {tier("source")} AS tier
-        FROM market_index ORDER BY date LIMIT 7500""",
+        FROM market_index""",
 )
 def _(m):
     return lookups.index_timeline(m.index)
@@ -385,7 +384,7 @@ def _(m):
 
 @query("f16_stratified_sample", "roster", "SELECT symbol, name, sector, category FROM roster WHERE is_active AND sector IS NOT NULL ORDER BY sector, symbol LIMIT 50")
 def _(m):
-    return market.stratified_sample(m.roster)
+    return market.stratified_sample(m.roster, 50)
 
 
 def _growth_sql(field: str) -> str:
