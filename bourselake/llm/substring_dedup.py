@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bourselake.llm.cells import meeting_again, mixed, stored_sets, verify_cells
 from bourselake.llm.common import components, cut, mix, shingle_hashes, span_hashes, text_slices, word_bounds
 
 #: Bands and rows: a pair at Jaccard 0.8 meets with probability 1 - (1 - 0.8^3)^8 = 0.997, at 0.9 with 1 - 3e-5.
@@ -90,20 +91,30 @@ def _text_lines(column: pa.Array, least: int) -> Iterator[list[tuple[int, np.nda
 
 
 def _bands(batches: Iterator[pa.RecordBatch], least: int, size: int) -> Iterator[pa.RecordBatch]:
-    place = np.repeat(np.arange(BANDS, dtype=np.uint64), 1)
+    place = np.arange(BANDS, dtype=np.uint64)[:, None]
     for batch in batches:
-        ids, hashes, bands = [], [], []
-        for doc, lines in zip(batch["doc_id"].to_pylist(), _text_lines(batch["text"], least), strict=True):
+        docs = batch["doc_id"].to_pylist()
+        row, waiting, words_waiting = 0, [], 0
+        for lines in _text_lines(batch["text"], least):
             for line, words in dict(lines).items():
-                signature = (shingle_hashes(words, size)[None, :] * _SEEDS[:, None]).min(1).reshape(BANDS, ROWS)
-                key = place.copy()
+                found = shingle_hashes(words, size)
+                waiting.append((docs[row], line, found))
+                words_waiting += len(found)
+            row += 1
+            if waiting and (words_waiting > 200_000 or row == len(docs)):
+                found = [f for _, _, f in waiting]
+                starts = np.concatenate(([0], np.cumsum([len(f) for f in found])[:-1]))
+                every = np.concatenate(found)
+                signature = np.stack([np.minimum.reduceat(every * seed, starts) for seed in _SEEDS]).reshape(BANDS, ROWS, -1)
+                key = np.broadcast_to(place, (BANDS, len(found))).copy()
                 for i in range(ROWS):
                     key = mix(key * _MANY + signature[:, i])
-                ids.append(doc)
-                hashes.append(line)
-                bands.append(key.view(np.int64))
-        lists = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)), BANDS).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), lists], names=["doc_id", "line", "bands"])
+                keys = pa.array(np.ascontiguousarray(key.T).ravel().view(np.int64))
+                lists = pa.FixedSizeListArray.from_arrays(keys, BANDS).cast(pa.list_(pa.int64()))
+                distinct = pa.array([len(np.unique(f)) for f in found], pa.int64())
+                columns = [pa.array([d for d, _, _ in waiting], pa.int64()), pa.array([h for _, h, _ in waiting], pa.int64()), distinct, lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "n", "bands"])
+                waiting, words_waiting = [], 0
 
 
 def _wanted_lines(batches: Iterator[pa.RecordBatch], least: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -179,32 +190,25 @@ def repeated_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, size: int = 5
 
     Lines of ``least`` words or more whose ``size``-word shingle sets have a Jaccard of ``percent`` hundredths or more are
     linked; each component is kept in its smallest doc_id. Every pair that shares a band is verified or lies in one component
-    already: in each band's list all members meet the smallest one, and if they then lie in several components, each other.
+    already: in each band's list all members meet the smallest one, and if they then lie in several components, each other
+    in cells of bounded size.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    banded = cut(docs.mapInArrow(partial(_bands, least=least, size=size), "doc_id long, line long, bands array<long>"))
-    lists = banded.select("line", F.explode("bands").alias("band")).distinct()
-    hubs = lists.groupBy("band").agg(F.min("line").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    lists = cut(lists.join(hubs, "band"))
-    spokes = cut(lists.filter("a < line").select("a", F.col("line").alias("b")).distinct())
-
-    def links(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-        where = banded.select("doc_id", "line").join(ends, "line").groupBy("line").agg(F.min("doc_id").alias("doc_id"))
-        where = where.groupBy("doc_id").agg(F.collect_list("line").alias("wanted"))
-        sets = docs.join(where, "doc_id").mapInArrow(partial(_wanted_lines, least=least, size=size), "line long, shingles binary").dropDuplicates(["line"])
-        sets = cut(sets)
-        sided = pairs.join(sets.select(F.col("line").alias("a"), F.col("shingles").alias("set_a")), "a")
-        sided = sided.join(sets.select(F.col("line").alias("b"), F.col("shingles").alias("set_b")), "b")
-        return cut(sided.select("a", "b", "set_a", "set_b").mapInArrow(partial(_verify, percent=percent), "a long, b long"))
-
-    first = links(spokes)
-    placed = lists.join(components(first).withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    open_lists = cut(placed.join(mixed, "band").select("band", "line", "component"))
-    other = open_lists.select("band", F.col("line").alias("b"), F.col("component").alias("apart"))
-    rest = open_lists.withColumnRenamed("line", "a").join(other, "band").filter("a < b and component <> apart").select("a", "b").distinct()
-    second = links(cut(rest.join(spokes, ["a", "b"], "left_anti")))
+    banded = cut(docs.mapInArrow(partial(_bands, least=least, size=size), "doc_id long, line long, n long, bands array<long>"))
+    lists = banded.select(F.col("line").alias("rep"), "n", F.explode("bands").alias("value")).distinct()
+    hubs = lists.groupBy("value").agg(F.min("rep").alias("a"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    lists = cut(lists.join(hubs, "value"))
+    where = banded.select("doc_id", F.col("line").alias("rep")).join(lists.select("rep").distinct(), "rep").groupBy("rep").agg(F.min("doc_id").alias("doc_id"))
+    where = where.groupBy("doc_id").agg(F.collect_list("rep").alias("wanted"))
+    sets = cut(docs.join(where, "doc_id").mapInArrow(partial(_wanted_lines, least=least, size=size), "line long, shingles binary").dropDuplicates(["line"]))
+
+    spokes = lists.filter("a < rep").select("a", F.col("rep").alias("b")).distinct()
+    sided = spokes.join(sets.select(F.col("line").alias("a"), F.col("shingles").alias("set_a")), "a")
+    sided = sided.join(sets.select(F.col("line").alias("b"), F.col("shingles").alias("set_b")), "b")
+    first = cut(sided.select("a", "b", "set_a", "set_b").mapInArrow(partial(_verify, percent=percent), "a long, b long"))
+    again = meeting_again(mixed(lists.select("value", "rep", "n"), first), percent)
+    cells = again.join(sets.withColumnRenamed("line", "rep"), "rep").repartition("cell").sortWithinPartitions("cell")
+    second = cut(cells.mapInArrow(partial(verify_cells, sets=stored_sets, percent=percent), "a long, b long").distinct())
 
     found = components(first.unionByName(second)).withColumnRenamed("node", "line")
     seen = banded.select("doc_id", "line").join(found, "line", "left").withColumn("component", F.coalesce("component", "line"))
