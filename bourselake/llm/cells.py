@@ -30,10 +30,15 @@ def stored_sets(cell: pa.Table) -> list[np.ndarray]:
 
 
 def mixed(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """The lists (value, rep, n) whose members lie in different components, with component and size of the list."""
-    placed = lists.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low < high")
-    return placed.join(mixed.select("value", "size"), "value")
+    """What is left to compare of the lists (value, rep, n) after their smallest members met all others.
+
+    The other members of the lists in which these lie in different components, with component and size.
+    """
+    met = lists.groupBy("value").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).filter("members > 2").drop("members")
+    left = lists.join(met, "value").filter("rep <> hub")
+    placed = left.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    apart = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low < high")
+    return placed.join(apart.select("value", "size"), "value").select("value", "rep", "n", "component", "size")
 
 
 def meeting_again(lists: DataFrame, percent: int) -> DataFrame:

@@ -14,30 +14,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bourselake.llm.common import components, cut, mix, shingle_hashes, span_hashes, text_slices, word_bounds
+from bourselake.llm.cells import meeting_again, mixed, text_sets, verify_cells
+from bourselake.llm.common import components, cut, mix, shingle_sets
 
 #: Retained values per document.
 SKETCH = 48
 #: Pairs whose union sketch estimates less are not verified. At a true 0.8 an estimate from 48 values has a deviation of
 #: 0.058, so a link is lost here once in some hundred thousand; sets of up to 48 shingles are compared exactly.
 LEAST_ESTIMATE = 0.54
-#: Members of a list in one block; two blocks are compared in one piece of work.
-BLOCK = 1024
 
 _SKETCHED = pa.schema([("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
 
-def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each row of a string column."""
-    for _, data, offsets in text_slices(column):
-        starts, ends, first = word_bounds(data, offsets)
-        words = span_hashes(data, starts, ends)
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            found = shingle_hashes(words[a:b], size)
-            found.sort()
-            yield found[np.concatenate(([True], found[1:] != found[:-1]))] if len(found) else found
-
-
 def _sketch(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts, sums, others, kept = [], [], [], []
@@ -94,96 +82,6 @@ def _estimated(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.filter(likeness >= LEAST_ESTIMATE)
 
 
-def _mixed(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """The lists (value, rep, n) whose members lie in different components, with component and size of the list."""
-    placed = lists.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low < high")
-    return placed.join(mixed.select("value", "size"), "value")
-
-
-def _meeting_again(lists: DataFrame, percent: int) -> DataFrame:
-    """(cell, rep, component, home): cells in which members of mixed lists meet, all pairs of a list whose sizes allow a link.
-
-    Lists that share members form a group. A group meets as a whole, each pair once, where that takes fewer pairs than its
-    lists one by one (near copies share many lists); other groups meet list by list. Either way members are dealt into
-    bands of sizes, of which equal and adjacent ones meet, and bands into blocks; two blocks (or one) are a cell, so no cell
-    grows with a group. Members of one block have one home and meet each other in the cell of that block alone.
-    """
-    lists = cut(lists)
-    chains = lists.join(lists.groupBy("value").agg(F.min("rep").alias("a")), "value").select("a", F.col("rep").alias("b"), "n", "value", "component", "size")
-    grouped = chains.join(components(chains).select(F.col("node").alias("b"), F.col("component").alias("group")), "b")
-    sums = grouped.groupBy("group", "value").agg(F.first("size").alias("size")).groupBy("group").agg(F.sum(F.col("size").cast("double") ** 2).alias("by_list"))
-    whole = grouped.select("group", "b").distinct().groupBy("group").agg(F.count("*").cast("double").alias("members"))
-    modes = sums.join(whole, "group").select("group", "members", (F.col("members") ** 2 <= F.col("by_list")).alias("as_group"))
-    met = grouped.join(modes, "group")
-    together = F.when(F.col("as_group"), F.col("group")).otherwise(F.col("value"))
-    of = F.when(F.col("as_group"), F.col("members")).otherwise(F.col("size"))
-    key = F.struct("as_group", together.alias("of"))
-    met = met.select(key.alias("key"), F.col("b").alias("rep"), "n", "component").distinct()
-    met = met.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent + 1e-9))).cast("int"))
-    sizes = met.groupBy("key", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    met = met.join(sizes, ["key", "band"])
-    met = met.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    below = sizes.select("key", (F.col("band") + 1).alias("band"), F.col("blocks").alias("blocks_below"))
-    above = sizes.select("key", (F.col("band") - 1).alias("band"), F.col("blocks").alias("blocks_above"))
-    met = met.join(below, ["key", "band"], "left").join(above, ["key", "band"], "left")
-    cell = lambda band, other, low, high: f"struct({band} as band, {other} as other, {low} as low, {high} as high)"
-    own = f"transform(sequence(0, blocks - 1), x -> {cell('band', 'band', 'least(x, block)', 'greatest(x, block)')})"
-    down = f"if(blocks_below is null, array(), transform(sequence(0, blocks_below - 1), x -> {cell('band - 1', 'band', 'x', 'block')}))"
-    up = f"if(blocks_above is null, array(), transform(sequence(0, blocks_above - 1), x -> {cell('band', 'band + 1', 'block', 'x')}))"
-    cells = F.expr(f"concat({own}, {down}, {up})")
-    met = met.select("key", "rep", "component", F.struct("band", "block").alias("home"), F.explode(cells).alias("cell"))
-    return met.select(F.xxhash64("key", "cell").alias("cell"), "rep", "component", F.xxhash64("home").alias("home"))
-
-
-def _verify_cells(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Of each cell the linked pairs that lie in different components, one for each two components."""
-    waiting: list[pa.RecordBatch] = []
-    for batch in batches:
-        cells = batch["cell"].to_numpy()
-        bounds = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(batch)]
-        for i, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-            if x == y:
-                continue
-            part, this = batch.slice(x, y - x), cells[x]
-            if waiting and (i or waiting[0][0] != this):
-                yield _of_cell([p for _, p in waiting], size, percent)
-                waiting = []
-            waiting.append((this, part))
-    if waiting:
-        yield _of_cell([p for _, p in waiting], size, percent)
-
-
-def _of_cell(parts: list[pa.RecordBatch], size: int, percent: int, width: int = 4096) -> pa.RecordBatch:
-    cell = pa.Table.from_batches(parts)
-    rep, component, home = (cell[c].to_numpy() for c in ("rep", "component", "home"))
-    found_a, found_b = rep[:0], rep[:0]
-    apart = component[:, None] != component[None, :]
-    if (home != home[0]).any():
-        apart &= home[:, None] != home[None, :]
-    if apart.any():
-        sets = list(shingle_sets(cell["text"].combine_chunks(), size))
-        counts = np.array([len(x) for x in sets])
-        values, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(sets)), counts)
-        shared = times[place] > 1
-        column, row = (np.cumsum(times > 1) - 1)[place[shared]], row[shared]
-        order = np.argsort(column, kind="stable")
-        column, row = column[order], row[order]
-        same = np.zeros((len(sets), len(sets)), np.float32)
-        for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-            x, y = np.searchsorted(column, (start, start + width))
-            met = np.zeros((len(sets), width), np.float32)
-            met[row[x:y], column[x:y] - start] = 1
-            same += met @ met.T
-        union = counts[:, None] + counts[None, :] - same
-        i, j = np.nonzero(np.triu(apart & (100 * same.astype(np.int64) >= percent * union.astype(np.int64)), 1))
-        ends = np.sort(np.stack([component[i], component[j]], 1), axis=1)
-        _, one = np.unique(ends, axis=0, return_index=True)
-        found_a, found_b = rep[i[one]], rep[j[one]]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(found_a, found_b)), pa.array(np.maximum(found_a, found_b))], names=["a", "b"])
-
-
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id long, text string; other columns are ignored).
 
@@ -224,11 +122,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     several = members.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b"))
     links = cut(several.unionByName(links_of(spokes.filter(fits & (F.col("a") < F.col("b"))).select("a", "b").distinct())))
 
-    again = _meeting_again(_mixed(lists, links), percent)
+    again = meeting_again(mixed(lists, links), percent)
     texts = docs.filter("text is not null").join(again.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     cells = again.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
     cells = cells.repartition("cell").sortWithinPartitions("cell")
-    rest = cells.mapInArrow(partial(_verify_cells, size=size, percent=percent), "a long, b long")
+    rest = cells.mapInArrow(partial(verify_cells, sets=partial(text_sets, size=size), percent=percent), "a long, b long")
     links = links.unionByName(cut(rest.distinct()))
 
     found = components(links).withColumnRenamed("node", "rep")

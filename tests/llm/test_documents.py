@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bourselake.llm import common, language_id, near_dedup, packing, quality, substring_dedup
+from bourselake.llm import cells, common, language_id, near_dedup, packing, quality, substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, component string, x int, cleaned int"
 
@@ -92,7 +92,7 @@ def test_near_duplicates_equal_brute_force(spark, mixed, size):
 
 def test_near_duplicates_of_a_large_loose_group(spark, monkeypatch):
     """Members that the list's first one is not linked with are compared in cells."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(cells, "BLOCK", 4)
     rng = random.Random(5)
     base = sentence(rng, 80).split()
     rows = []
