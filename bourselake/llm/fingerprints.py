@@ -8,6 +8,8 @@ probability 2^-BITS, which the likeness corrects.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,11 +68,12 @@ def likeness(a: str, b: str) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), (F.size(a) == F.size(b)).cast("double")).otherwise(corrected)
 
 
-def with_next(df: DataFrame, key: str, tie: Column, columns: list[str]) -> DataFrame:
+def with_next(df: DataFrame, key: str, tie: Column, columns: list[str], derive: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Adds next_<column> of the following row in ascending order of ``key`` (nulls first), then ``tie``; the last row's next is the first.
 
     Rows are dealt into ranges of the key at approximate quantiles; inside a range a window looks ahead, and the last row of
     a range gets the first row of the next range that has rows. Ranges hold about RANGE_ROWS rows, so no task orders the table.
+    ``derive`` adds columns to the rows before they move; they move once.
     """
     n = df.count()
     ranges = max(1, min(MOST_RANGES, n // RANGE_ROWS))
@@ -81,14 +84,20 @@ def with_next(df: DataFrame, key: str, tie: Column, columns: list[str]) -> DataF
     place = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), search) if cuts else F.lit(0)
     df = df.withColumn("_range", F.when(F.col(key).isNull(), -1).otherwise(place)).withColumn("_tie", tie)
     order = Window.partitionBy("_range").orderBy(F.col(key).asc_nulls_first(), "_tie")
-    looked = df.select("*", F.row_number().over(order).alias("_row"), F.lead(F.struct(*columns)).over(order).alias("_next"))
-    heads = looked.filter("_row = 1").select("_range", F.struct(*columns).alias("_head"))
-    numbers = heads.select("_range")  # one row for each range
+    ahead = {"_more": F.lead(F.lit(True)).over(order)} | {f"next_{c}": F.lead(c).over(order) for c in columns}
+    looked = derive(df).select("*", *(x.alias(c) for c, x in ahead.items()))
+
+    # the first row of each range: at most MOST_RANGES + 1 rows of three numbers are broadcast to find them
+    firsts = df.groupBy("_range").agg(F.min(F.struct(F.coalesce(key, F.lit(0)).alias("k"), F.col("_tie").alias("t"))).alias("at")).select(F.col("_range").alias("_first"), "at")
+    same = (F.col("_range") == F.col("_first")) & F.col(key).eqNullSafe(F.when(F.col("_first") >= 0, F.col("at.k"))) & (F.col("_tie") == F.col("at.t"))
+    heads = df.join(F.broadcast(firsts), same).dropDuplicates(["_range"]).select(*df.columns)
     whole = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = numbers.select(F.col("_range").alias("_of"), F.coalesce(F.lead("_range").over(Window.orderBy("_range")), F.first("_range").over(whole)).alias("_range"))
-    heads = heads.join(after, "_range").drop("_range")
-    out = looked.join(heads, looked["_range"] == heads["_of"], "left").withColumn("_next", F.coalesce("_next", "_head"))
-    return out.select("*", *(F.col(f"_next.{c}").alias(f"next_{c}") for c in columns)).drop("_range", "_tie", "_row", "_next", "_of", "_head")
+    after = firsts.select(F.col("_first").alias("_range"))  # one row for each range
+    after = after.select(F.col("_range").alias("_of"), F.coalesce(F.lead("_range").over(Window.orderBy("_range")), F.first("_range").over(whole)).alias("_range"))
+    heads = derive(heads).select("_range", F.struct(*columns).alias("_head")).join(F.broadcast(after), "_range").drop("_range")
+    out = looked.join(heads, looked["_range"] == heads["_of"], "left")
+    out = out.withColumns({f"next_{c}": F.when(F.col("_more"), F.col(f"next_{c}")).otherwise(F.col(f"_head.{c}")) for c in columns})
+    return out.drop("_range", "_tie", "_more", "_of", "_head")
 
 
 def document_fingerprints(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -99,7 +108,7 @@ def document_fingerprints(docs: DataFrame, size: int = 5) -> DataFrame:
     their texts' hashes. Only doc_id and text are looked at.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_next(with_fingerprint(rows, "text", "own", size), "doc_id", F.xxhash64("text"), ["text", "own"])
+    rows = with_next(rows, "doc_id", F.xxhash64("text"), ["text", "own"], lambda df: with_fingerprint(df, "text", "own", size))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
     rows = with_fingerprint(rows.withColumn("edited", edited), "edited", "changed", size)
