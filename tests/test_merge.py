@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from bourselake.operators import access, merge
 from bourselake.plans.marts import Marts
 
@@ -119,3 +121,77 @@ def test_tier_upgrade_is_all_or_nothing(spark):
     ok = {r.date: (r.index_value, r.source) for r in merge.upgrade_by_tier(old, live(5001.0, 5002.0)).rows.collect()}
     assert ok == {D: (5001.0, "DSE_OFFICIAL_GRAPH"), day: (5002.0, "DSE_OFFICIAL_GRAPH")}
     assert [tuple(r) for r in merge.upgrade_by_tier(old, live(5001.0, 99999.0)).rows.collect()] == [(D, 5000.0, "MCAP_WEIGHTED_ESTIMATE")]
+
+
+def test_records_without_sequence_do_not_mix(spark):
+    with_pe = lambda df: df.withColumn("pe", F.lit(None).cast("double"))
+    old = with_pe(px(spark).drop("seq"))
+    new = with_pe(px(spark, ("A", None, 10.0, 100, "DSE_SCRAPE", 1), ("A", None, 9.0, 200, "DSE_SCRAPE", 1)))
+    for seq in (None, "seq"):
+        (r,) = merge.upsert_symbol_history(old, new, seq=seq).rows.collect()
+        assert (r.close, r.volume) in {(10.0, 100), (9.0, 200)}
+    assert as_set(merge.upsert_symbol_history(old, new).rows) == as_set(merge.upsert_symbol_history(old, new.orderBy("close")).rows)
+
+
+def test_keys_are_cleaned(spark):
+    old = px(spark, ("A", None, 8.0, 1, "LANKABD", 0)).drop("seq")
+    new = px(spark, (" a ", None, 9.0, 2, "DSE_SCRAPE", 1), (None, None, 9.0, 2, "DSE_SCRAPE", 1), ("  ", None, 9.0, 2, "DSE_SCRAPE", 1))
+    undated = spark.createDataFrame([("B", None, *[None] * 3, 5.0, *[None] * 7, "DSE_SCRAPE", 1)], SCHEMA)
+    out = merge.upsert_prices(old, new.unionByName(undated), seq="seq")
+    assert [(r.symbol, r.close) for r in out.rows.collect()] == [("A", 9.0)]
+    assert as_set(merge.upsert_prices(out.rows, new.unionByName(undated), seq="seq").rows) == as_set(out.rows)
+    assert out.stats.first().upserted == 1
+
+
+def test_roster_history_survives_the_next_run(spark):
+    schema = "symbol string, name string, sector string, category string, face_value double, total_shares long, is_active boolean, trading_status string, ds30 boolean, source string"
+    stored = spark.createDataFrame([("A", "a", "s", "B", 10.0, 5, True, "Active", True, "OLD"), ("GONE", "g", "s", "A", 10.0, 5, True, "Active", False, "OLD")], schema)
+    payload = spark.createDataFrame([(" a ", None, None, "A", None, 7, True, "Active", None, "NEW"), ("N", "n", "s", "Z", 10.0, 1, True, "Active", False, "NEW")], schema)
+    once = merge.upsert_roster(stored, payload, as_of=D)
+    later = merge.upsert_roster(once, payload, as_of=D + dt.timedelta(days=1))
+    assert set(stored.columns) <= set(once.columns) and as_set(once) == as_set(later)
+    r = {x.symbol: x for x in later.collect()}
+    assert (r["A"].prev_category, r["A"].category, r["A"].category_changed_at, r["A"].ds30, r["A"].total_shares, r["A"].source) == ("B", "A", D, True, 7, "NEW")
+    assert r["N"].is_new_listing and r["N"].first_seen == D
+    assert (r["GONE"].trading_status, r["GONE"].delisted_date, r["GONE"].source) == ("Delisted", D, "OLD")
+
+
+def test_all_approved_fields_apply(spark):
+    stored = px(spark, ("A", 9.0, 8.0, 5, "DSE_SCRAPE", 0), ("B", 9.0, 8.0, 5, "DSE_SCRAPE", 0)).drop("seq")
+    schema = "id string, target_table string, symbol string, date date, field_name string, incoming_value double, incoming_source string, status string"
+    rows = [
+        ("1", "price_history", "A", D, "volume", 70.0, None, "PENDING_USER_APPROVAL"), ("2", "price_history", "A", D, "high", 9.5, "LANKABD", "PENDING_USER_APPROVAL"),
+        ("3", "price_history", "B", D, "close", 7.0, "LANKABD", "PENDING_USER_APPROVAL"), ("4", "price_history", "B", D, "symbol", 7.0, "LANKABD", "PENDING_USER_APPROVAL"),
+        ("5", "fundamentals_history", "B", D, "low", 7.0, "LANKABD", "PENDING_USER_APPROVAL"),
+    ]
+    decisions = spark.createDataFrame([(i, "KEEP_EXISTING" if i == "3" else "ACCEPT_INCOMING", "ok") for i in "12345"], "id string, resolution string, note string")
+    out = merge.resolve_quarantine(stored, spark.createDataFrame(rows, schema), decisions)
+    r = {x.symbol: x for x in out.rows.collect()}
+    assert (r["A"].volume, r["A"].high, r["A"].close, r["A"].source) == (70, 9.5, 8.0, "LANKABD")
+    assert (r["B"].close, r["B"].low, r["B"].source) == (8.0, None, "DSE_SCRAPE")
+    assert out.rows.columns == stored.columns and {x.id: x.status for x in out.quarantine.collect()}["3"] == "REJECTED_BY_USER"
+    statements = spark.createDataFrame([("A", 2025, 1.0, "X")], "symbol string, fiscal_year int, dps double, source string")
+    conflict = spark.createDataFrame([("9", "fundamentals_history", "A", 2025, "dps", 2.0, None, "PENDING_USER_APPROVAL")], schema.replace("date date", "fiscal_year int"))
+    decided = spark.createDataFrame([("9", "ACCEPT_INCOMING", "ok")], "id string, resolution string, note string")
+    out = merge.resolve_quarantine(statements, conflict, decided, table="fundamentals_history", keys=("symbol", "fiscal_year"), fields=merge.STATEMENT_FIELDS_APPLICABLE)
+    assert [tuple(x) for x in out.rows.collect()] == [("A", 2025, 2.0, "USER_APPROVED_OVERRIDE")]
+
+
+def test_promotion_prunes_inside_its_symbols_only(spark):
+    main = px(spark, ("A", None, 8.0, 1, "STAGING_DB", 0), ("B", None, 8.0, 1, "STAGING_DB", 0)).drop("seq")
+    other_day = main.filter("symbol = 'A'").withColumn("date", F.date_add("date", 1))
+    staged = main.filter("symbol = 'A'").withColumn("close", F.lit(9.0))
+    got = merge.promote_prices(main.unionByName(other_day).withColumn("pe", F.lit(None).cast("double")), staged)
+    assert sorted((r.symbol, r.date, r.close) for r in got.collect()) == [("A", D, 9.0), ("B", D, 8.0)]
+    gate = spark.createDataFrame([], "entity string, errors long")
+    untouched = {"prices": main}
+    assert merge.promote(untouched, {}, gate, as_of=D) is untouched
+
+
+def test_tier_upgrade_keeps_other_columns(spark):
+    schema = "date date, index_value double, advancing int, source string"
+    old = spark.createDataFrame([(D, 5000.0, 7, "MCAP_WEIGHTED_ESTIMATE")], schema)
+    day = D + dt.timedelta(days=1)
+    live = spark.createDataFrame([(D, 5001.0, 1), (day, 5002.0, 2)], "date date, index_value double, advancing int")
+    got = sorted(map(tuple, merge.upgrade_by_tier(old, live).rows.collect()))
+    assert got == [(D, 5001.0, 7, "DSE_OFFICIAL_GRAPH"), (day, 5002.0, 2, "DSE_OFFICIAL_GRAPH")]
