@@ -208,12 +208,22 @@ def _(m):
 
 # -- table audits -----------------------------------------------------------------------------------------------------
 
-_K9 = {
-    "bad_close": "close IS NULL OR close <= 0", "inverted_high_low": "high < low", "negative_volume": "volume < 0", "negative_value": "value_mn < 0",
-    "null_ycp": "ycp IS NULL", "null_volume": "volume IS NULL", "null_change": "change IS NULL", "outlier_pe": "pe < 0 OR pe > 300",
-    "negative_trades": "trades < 0", "negative_mcap": "market_cap_mn < 0",
-    "unapproved_source": f"source IS NOT NULL AND {tier('source')} IS NULL", "untagged_source": "source IS NULL",
-}
+
+
+def domain_sql(domains: dict[str, audits.Domain], order: tuple[tuple[str, str], ...]) -> dict[str, str]:
+    """The conditions of a table of domains in SQL."""
+    bounds = (("low", "{0} < {1}"), ("high", "{0} > {1}"), ("above", "{0} <= {1}"))
+    out = {}
+    for name, d in domains.items():
+        broken = [sql.format(name, getattr(d, side)) for side, sql in bounds if getattr(d, side) is not None] + [f"{name} = 0"] * d.nonzero
+        out |= {f"{name}_outside": " OR ".join(broken)} if broken else {}
+        out |= {f"{name}_missing": f"{name} IS NULL"} if d.required else {}
+    return out | {f"{x}_above_{y}": f"{x} > {y}" for x, y in order}
+
+
+_SOURCE = {"source_unapproved": f"source IS NOT NULL AND {tier('source')} IS NULL"}
+_K9 = domain_sql(audits.PRICE_DOMAINS, audits.PRICE_ORDER) | _SOURCE
+_F4 = ("close_outside", "ycp_missing", "pe_outside")
 
 
 @query("k9_price_table_audit", "prices_dirty", counts_sql("prices_dirty", _K9))
@@ -221,10 +231,10 @@ def price_table_audit(m):
     return audits.conditional_counts(m.prices_dirty, audits.price_table_checks())
 
 
-@query("f4_conditional_counts", "prices_dirty", counts_sql("prices_dirty", {k: _K9[k] for k in ("bad_close", "null_ycp", "outlier_pe")}))
+@query("f4_conditional_counts", "prices_dirty", counts_sql("prices_dirty", {k: _K9[k] for k in _F4}))
 def _(m):
     c = audits.price_table_checks()
-    return audits.conditional_counts(m.prices_dirty, {k: c[k] for k in ("bad_close", "null_ycp", "outlier_pe")})
+    return audits.conditional_counts(m.prices_dirty, {k: c[k] for k in _F4})
 
 
 _K10 = {
@@ -243,13 +253,9 @@ def _(m):
     return audits.conditional_counts(m.ds30, audits.index_table_checks("ds30_index", audits.DS30_RANGE))
 
 
-_K11 = {
-    "zero_pe": "pe_ratio = 0", "zero_paid_up": "paid_up_capital_mn = 0", "bad_nav": "nav_per_share <= 0", "outlier_eps": "eps_basic < -200 OR eps_basic > 1000",
-    "bad_year": "fiscal_year < 1990 OR fiscal_year > 2050", "negative_loans": "short_term_loan_mn < 0 OR long_term_loan_mn < 0", "negative_dps": "dps < 0",
-    "negative_bonus": "bonus_pct < 0", "negative_revenue": "revenue_mn < 0", "gross_above_revenue": "gross_profit_mn > revenue_mn", "negative_assets": "total_assets_mn < 0",
-    "negative_liabilities": "total_liabilities_mn < 0", "negative_capex": "capex_mn < 0",
-    "cash_flow_mismatch": "abs(free_cash_flow_mn - (operating_cash_flow_mn - capex_mn)) > 0.05", "unapproved_source": f"source IS NOT NULL AND {tier('source')} IS NULL",
-}
+_K11 = domain_sql(audits.STATEMENT_DOMAINS, audits.STATEMENT_ORDER) | _SOURCE
+_K11["free_cash_flow_off"] = "abs(free_cash_flow_mn - (operating_cash_flow_mn - capex_mn)) > 0.05"
+_K11_LATEST = ("pe_ratio_outside", "paid_up_capital_mn_outside", "nav_per_share_outside")
 
 
 @query("k11_statement_table_audit", "fundamentals", counts_sql(f"(SELECT *, CASE WHEN key % 11 = 4 THEN 0.0::DOUBLE END AS pe_ratio FROM {_SD})", _K11))
@@ -260,14 +266,14 @@ def statement_table_audit(m):
 
 @query(
     "k11_latest_statement_audit", "fundamentals",
-    counts_sql("(SELECT *, CAST(NULL AS DOUBLE) AS pe_ratio FROM fundamentals f WHERE fiscal_year = (SELECT max(fiscal_year) FROM fundamentals x WHERE x.symbol = f.symbol))", {k: _K11[k] for k in ("zero_pe", "zero_paid_up", "bad_nav")}),
+    counts_sql("(SELECT *, CAST(NULL AS DOUBLE) AS pe_ratio FROM fundamentals f WHERE fiscal_year = (SELECT max(fiscal_year) FROM fundamentals x WHERE x.symbol = f.symbol))", {k: _K11[k] for k in _K11_LATEST}),
 )
 def _(m):
     from bourselake.operators.lookups import latest_by
 
     c = audits.statement_table_checks()
     latest = latest_by(m.fundamentals, "symbol", "fiscal_year").withColumn("pe_ratio", F.lit(None).cast("double"))
-    return audits.conditional_counts(latest, {k: c[k] for k in ("zero_pe", "zero_paid_up", "bad_nav")})
+    return audits.conditional_counts(latest, {k: c[k] for k in _K11_LATEST})
 
 
 _SUM = " + ".join(f"coalesce({h}_pct, 0)" for h in _H)
