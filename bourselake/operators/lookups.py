@@ -68,11 +68,11 @@ def newest_per_key(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def one_row_per_day(prices: DataFrame, seq: str) -> DataFrame:
-    """Collapse repeated records of a (symbol, day) to the one with the highest ``seq``."""
-    cols = [c for c in prices.columns if c not in ("symbol", "date")]
-    best = prices.groupBy("symbol", "date").agg(F.max_by(F.struct(*cols), seq).alias("_best"))
-    return best.select("symbol", "date", "_best.*")
+def one_row_per_day(prices: DataFrame, seq: str, keys: tuple[str, ...] = ("symbol", "date")) -> DataFrame:
+    """Collapse repeated records of a key to the one with the highest ``seq``."""
+    cols = [c for c in prices.columns if c not in keys]
+    best = prices.groupBy(*keys).agg(F.max_by(F.struct(*cols), seq).alias("_best"))
+    return best.select(*keys, "_best.*")
 
 
 def price_timeline(prices: DataFrame, limit: int | None = None, symbol: str | None = None, seq: str | None = None) -> DataFrame:

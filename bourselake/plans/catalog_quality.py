@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bourselake.operators import audits, market, reconcile
+from bourselake.operators.lookups import one_row_per_day
 from bourselake.plans.catalog import query
 from bourselake.plans.oracle import fx, tier
 
@@ -260,7 +261,7 @@ _K11_LATEST = ("pe_ratio_outside", "paid_up_capital_mn_outside", "nav_per_share_
 
 @query("k11_statement_table_audit", "fundamentals", counts_sql(f"(SELECT *, CASE WHEN key % 11 = 4 THEN 0.0::DOUBLE END AS pe_ratio FROM {_SD})", _K11))
 def statement_table_audit(m):
-    d = _statements_dirty(m).filter("seq = 1").withColumn("pe_ratio", F.when(F.col("key") % 11 == 4, F.lit(0.0)))
+    d = one_row_per_day(_statements_dirty(m), "seq", ("symbol", "fiscal_year")).withColumn("pe_ratio", F.when(F.col("key") % 11 == 4, F.lit(0.0)))
     return audits.conditional_counts(d, audits.statement_table_checks())
 
 
@@ -399,7 +400,7 @@ def _(m):
 
 @query("k19_filed_statement_audit", "fundamentals", finding_sql("filed_statements", _SD, "symbol || '|' || fiscal_year", {k: _K2_E[k] for k in ("gross_above_revenue", "cash_flow_mismatch")}))
 def _(m):
-    return audits.findings(audits.audit_filed_statements(_statements_dirty(m).filter("seq = 1")), "filed_statements", _key("symbol", "fiscal_year"))
+    return audits.findings(audits.audit_filed_statements(one_row_per_day(_statements_dirty(m), "seq", ("symbol", "fiscal_year"))), "filed_statements", _key("symbol", "fiscal_year"))
 
 
 def _sum_checks(c: dict[str, str]) -> str:
@@ -462,11 +463,11 @@ _CELLS = ("open", "high", "low", "close", "volume", "value_mn")
 @query(
     "k23_promotion_compare", "prices_existing prices_incoming",
     "WITH j AS (SELECT s.symbol, s.date, " + ", ".join(f"CAST(s.{c} AS DOUBLE) AS s_{c}, CAST(t.{c} AS DOUBLE) AS m_{c}" for c in _CELLS)
-    + " FROM prices_existing s LEFT JOIN (SELECT * FROM prices_incoming WHERE seq = 1) t USING (symbol, date)) "
+    + " FROM prices_existing s LEFT JOIN (SELECT * FROM prices_incoming QUALIFY row_number() OVER (PARTITION BY symbol, date ORDER BY seq DESC) = 1) t USING (symbol, date)) "
     + " UNION ALL ".join(f"SELECT symbol, date, '{c}' AS field, s_{c} AS staged, m_{c} AS main, '{'error' if c == 'close' else 'warning'}' AS severity FROM j WHERE s_{c} IS DISTINCT FROM m_{c}" for c in _CELLS),
 )
 def _(m):
-    return audits.promotion_compare(m.prices_existing, m.prices_incoming.filter("seq = 1"), ["symbol", "date"], list(_CELLS))
+    return audits.promotion_compare(m.prices_existing, one_row_per_day(m.prices_incoming, "seq"), ["symbol", "date"], list(_CELLS))
 
 
 @query("k24_rating_audit", "ratings", finding_sql("ratings", "ratings", "symbol || '|' || CAST(rating_date AS VARCHAR)", {"expires_before_rating": "valid_until < rating_date", "missing_date": "rating_date IS NULL"}))
@@ -482,13 +483,13 @@ def _(m):
 # -- reconciliation ---------------------------------------------------------------------------------------------------
 
 _PAIR = """(SELECT symbol, date, a.close AS db_close, a.source AS db_source, a.here AS in_db, b.close AS other_close, b.here AS in_other
-   FROM (SELECT *, true AS here FROM prices_existing) a FULL JOIN (SELECT * REPLACE (CASE WHEN day(date) = 19 THEN NULL ELSE close END AS close), true AS here FROM prices_incoming WHERE seq = 1) b USING (symbol, date) {w})"""
+   FROM (SELECT *, true AS here FROM prices_existing) a FULL JOIN (SELECT * REPLACE (CASE WHEN day(date) = 19 THEN NULL ELSE close END AS close), true AS here FROM prices_incoming QUALIFY row_number() OVER (PARTITION BY symbol, date ORDER BY seq DESC) = 1) b USING (symbol, date) {w})"""
 _ALL = _PAIR.format(w="")
 _LAST = _PAIR.format(w="WHERE date >= (SELECT d FROM asof_day) - 365")
 
 
 def _pair(m, as_of=None):
-    other = m.prices_incoming.filter("seq = 1").withColumn("close", F.when(F.dayofmonth("date") != 19, F.col("close")))
+    other = one_row_per_day(m.prices_incoming, "seq").withColumn("close", F.when(F.dayofmonth("date") != 19, F.col("close")))
     a, b = m.prices_existing, other
     if as_of is not None:
         a, b = reconcile.windowed(a, as_of=as_of, days=365), reconcile.windowed(b, as_of=as_of, days=365)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from bourselake.functions import labels
 from bourselake.functions import numbers as num
 from bourselake.operators import asof, lookups, market
+from bourselake.operators.lookups import one_row_per_day
 from bourselake.plans.catalog import query
 from bourselake.plans.oracle import fx, tier
 
@@ -194,11 +195,11 @@ def _(m):
     "e7_full_outer_compare", "prices_existing prices_incoming",
     """SELECT count(*) FILTER (a.symbol IS NOT NULL AND b.symbol IS NOT NULL) AS both_sides, count(*) FILTER (a.symbol IS NULL) AS only_incoming,
          count(*) FILTER (b.symbol IS NULL) AS only_existing
-       FROM prices_existing a FULL JOIN (SELECT * FROM prices_incoming WHERE seq = 1) b ON a.symbol = b.symbol AND a.date = b.date""",
+       FROM prices_existing a FULL JOIN (SELECT * FROM prices_incoming QUALIFY row_number() OVER (PARTITION BY symbol, date ORDER BY seq DESC) = 1) b ON a.symbol = b.symbol AND a.date = b.date""",
 )
 def _(m):
     a = m.prices_existing.select("symbol", "date", F.lit(True).alias("a"))
-    b = m.prices_incoming.filter("seq = 1").select("symbol", "date", F.lit(True).alias("b"))
+    b = one_row_per_day(m.prices_incoming, "seq").select("symbol", "date", F.lit(True).alias("b"))
     j = a.join(b, ["symbol", "date"], "full_outer")
     return j.agg(
         F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both_sides"),

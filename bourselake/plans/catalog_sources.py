@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bourselake.operators.lookups import one_row_per_day
 from bourselake.plans import pages
 from bourselake.plans.catalog import query
 from bourselake.plans.oracle import fx
@@ -267,9 +268,9 @@ def _(m):
     return reports.audit_report_rows(s, run_at=m.as_of).drop("report_json", "warnings_count")
 
 
-@query("b8_mismatch_export", "prices_existing prices_incoming", "SELECT symbol, date, a.close AS db_close, b.close AS other_close, a.source AS db_source FROM prices_existing a JOIN (SELECT * FROM prices_incoming WHERE seq = 1) b USING (symbol, date) WHERE abs(a.close - b.close) > 0.05")
+@query("b8_mismatch_export", "prices_existing prices_incoming", "SELECT symbol, date, a.close AS db_close, b.close AS other_close, a.source AS db_source FROM prices_existing a JOIN (SELECT * FROM prices_incoming QUALIFY row_number() OVER (PARTITION BY symbol, date ORDER BY seq DESC) = 1) b USING (symbol, date) WHERE abs(a.close - b.close) > 0.05")
 def _(m):
     from bourselake.operators import reconcile
 
-    d = reconcile.price_mismatches(reconcile.paired_prices(m.prices_existing, m.prices_incoming.filter("seq = 1")))
+    d = reconcile.price_mismatches(reconcile.paired_prices(m.prices_existing, one_row_per_day(m.prices_incoming, "seq")))
     return d.select("symbol", "date", "db_close", "other_close", "db_source").orderBy("symbol", "date")

@@ -54,9 +54,9 @@ def _(m):
     return o.select("event_id", "symbol", "ltp", "ycp", "change", "change_percent", "daily_pe")
 
 
-@query("o5_settlement_batch", "prices prices_incoming", merge_sql("prices", f"SELECT * FROM ({_J2_BATCH}) WHERE seq = 1", _K, _J2, tiered=True))
+@query("o5_settlement_batch", "prices prices_incoming", merge_sql("prices", _J2_BATCH, _K, _J2, tiered=True))
 def _(m):
-    return _cols(merge.upsert_daily_close(m.prices, _daily_batch(m).filter("seq = 1")).rows, _K, _J2)
+    return _cols(merge.upsert_daily_close(m.prices, _daily_batch(m), seq="seq").rows, _K, _J2)
 
 
 @query("o6_drop_repeats", "ticks", "SELECT DISTINCT symbol, event_id, ltp FROM ticks WHERE ltp > 0")
