@@ -11,9 +11,7 @@ from bourselake.functions.plans import FREE_WINDOW_DAYS, PLAN_DAYS
 
 # Columns only paid users see, reasons a code is refused, and states of the payment gateway that count.
 DISCLOSURE_COLUMNS = ("audited_pe", "paid_up_capital_mn", "authorized_capital_mn", "market_cap", "dividend_yield")
-REFUSED_INACTIVE = "Invalid or inactive promo code"
-REFUSED_REPEAT = "You have already redeemed this code"
-REFUSED_EMPTY = "This promo code has no bonus time configured"
+REFUSED_INACTIVE, REFUSED_REPEAT, REFUSED_EMPTY = "INACTIVE_CODE", "CODE_ALREADY_REDEEMED", "CODE_WITHOUT_BONUS"
 VALID_GATEWAY_STATES = ("VALID", "VALIDATED")
 LOCKED_BLOCKS = (
     "ath", "atl", "max_drawdown", "technical", "valuation_corridor", "mean_reversion", "graham", "disclosures", "risk_metrics",

@@ -72,7 +72,7 @@ def _(m):
 @query(
     "n7_validate_promo", "promos",
     """SELECT a.o_orderkey AS id, reason IS NULL AS ok, reason, CASE WHEN reason IS NULL THEN h END AS bonus_hours FROM (
-         SELECT a.o_orderkey, h, CASE WHEN NOT coalesce(p.active, false) THEN 'Invalid or inactive promo code' WHEN r.code IS NOT NULL THEN 'You have already redeemed this code' WHEN h <= 0 THEN 'This promo code has no bonus time configured' END AS reason
+         SELECT a.o_orderkey, h, CASE WHEN NOT coalesce(p.active, false) THEN 'INACTIVE_CODE' WHEN r.code IS NOT NULL THEN 'CODE_ALREADY_REDEEMED' WHEN h <= 0 THEN 'CODE_WITHOUT_BONUS' END AS reason
          FROM (SELECT *, upper(CASE WHEN o_orderkey % 9 = 4 THEN 'GONE' ELSE o_orderpriority END) AS code FROM orders WHERE o_orderstatus <> 'F') a
          LEFT JOIN (SELECT *, coalesce(bonus_days, 0) * 24 + coalesce(bonus_hours, 0) AS h FROM promos) p ON p.code = a.code
          LEFT JOIN (SELECT DISTINCT o_custkey, o_orderpriority AS code FROM orders WHERE o_orderstatus = 'F') r ON r.o_custkey = a.o_custkey AND r.code = a.code) a""",
@@ -132,6 +132,12 @@ def _(m):
     return e.select("user_id", "email", "name", "created_at", F.to_date("premium_until").alias("until_day"))
 
 
+@query("b5_user_export", "users premium", "SELECT u.user_id, email, name, created_at, until_day FROM users u LEFT JOIN premium USING (user_id)")
+def _(m):
+    e = access.users_with_entitlements(m.users, _premium(m)).orderBy(F.desc("created_at"))
+    return e.select("user_id", "email", "name", "created_at", F.to_date("premium_until").alias("until_day"))
+
+
 @query(
     "h1_newest_admin_actions", "users",
     "SELECT o_orderkey AS id, o_custkey AS user_id, o_orderpriority AS action, CAST(o_orderdate AS DATE) AS created_at, u.email AS admin_email FROM orders JOIN users u ON u.user_id = o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey LIMIT 200",

@@ -123,11 +123,11 @@ def _(m):
 
 
 @query(
-    "d12_resume_targets", "roster block_trades",
-    "SELECT symbol, sector FROM roster WHERE symbol NOT IN (SELECT symbol FROM block_trades WHERE quantity > 48)",
+    "d12_resume_targets", "roster fundamentals",
+    "SELECT symbol, sector FROM roster WHERE symbol NOT IN (SELECT symbol FROM fundamentals WHERE audit_status = 'Provisional' AND net_income_mn < 0)",
 )
 def _(m):
-    return lookups.resume_targets(m.roster.select("symbol", "sector"), m.block_trades.filter(F.col("quantity") > 48))
+    return lookups.resume_targets(m.roster.select("symbol", "sector"), m.fundamentals.filter("audit_status = 'Provisional' AND net_income_mn < 0"))
 
 
 _D13 = {"c_year_end_1995": "1995-06-30", "c_year_end_1998": "1998-06-30", "c_year_end_2001": "2001-06-30"}

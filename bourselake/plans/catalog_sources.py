@@ -274,3 +274,21 @@ def _(m):
 
     d = reconcile.price_mismatches(reconcile.paired_prices(m.prices_existing, one_row_per_day(m.prices_incoming, "seq")))
     return d.select("symbol", "date", "db_close", "other_close", "db_source").orderBy("symbol", "date")
+
+
+_PARSED = "(SELECT symbol || '|' || fiscal_year AS filing, CASE WHEN net_income_mn < 0 THEN NULL ELSE eps_basic END AS eps_basic, CASE WHEN net_income_mn < 0 THEN NULL ELSE nav_per_share END AS nav_per_share FROM fundamentals WHERE audit_status = 'Audited' OR net_income_mn < 0)"
+
+
+@query(
+    "a19_prose_where_missing", "fundamentals",
+    f"""SELECT filing, CASE WHEN t.eps_basic IS NULL AND t.nav_per_share IS NULL THEN p.eps_basic ELSE t.eps_basic END AS eps_basic,
+         CASE WHEN t.eps_basic IS NULL AND t.nav_per_share IS NULL THEN p.nav_per_share ELSE t.nav_per_share END AS nav_per_share
+       FROM {_PARSED} t FULL JOIN (SELECT symbol || '|' || fiscal_year AS filing, eps_basic, nav_per_share FROM fundamentals) p USING (filing)""",
+)
+def _(m):
+    """Tables that hold no figures for years with a loss, and prose that has them for every year."""
+    filed = m.fundamentals.withColumn("filing", F.concat_ws("|", "symbol", F.col("fiscal_year").cast("string")))
+    loss = F.col("net_income_mn") < 0
+    parsed = filed.filter(loss | (F.col("audit_status") == "Audited"))
+    parsed = parsed.withColumns({c: F.when(loss, F.lit(None)).otherwise(F.col(c)) for c in ("eps_basic", "nav_per_share")})
+    return text_lines.prose_where_missing(parsed, filed.select("filing", "eps_basic", "nav_per_share"), "filing")
