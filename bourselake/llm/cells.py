@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bourselake.llm.common import components, cut, shingle_sets
+from bourselake.llm.common import cut, shingle_sets
 
 #: Members of a list in one block; two blocks are compared in one piece of work.
 BLOCK = 1024
@@ -32,11 +32,14 @@ def stored_sets(cell: pa.Table) -> list[np.ndarray]:
 def mixed(lists: DataFrame, links: DataFrame) -> DataFrame:
     """What is left to compare of the lists (value, rep, n) after their smallest members met all others.
 
-    The other members of the lists in which these lie in different components, with component and size.
+    The other members of the lists in which these are not known to be joined, with component and size. Known are the smallest
+    neighbour and its smallest neighbour, which is enough for groups around one hub; what this misses is compared again.
     """
     met = lists.groupBy("value").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).filter("members > 2").drop("members")
     left = lists.join(met, "value").filter("rep <> hub")
-    placed = left.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    low = cut(links.groupBy(F.greatest("a", "b").alias("rep")).agg(F.min(F.least("a", "b")).alias("near")).filter("rep <> near"))
+    two = low.join(low.select(F.col("rep").alias("near"), F.col("near").alias("far")), "near", "left").select("rep", F.coalesce("far", "near").alias("component"))
+    placed = left.join(two, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     apart = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low < high")
     return placed.join(apart.select("value", "size"), "value").select("value", "rep", "n", "component", "size")
 
@@ -44,22 +47,24 @@ def mixed(lists: DataFrame, links: DataFrame) -> DataFrame:
 def meeting_again(lists: DataFrame, percent: int) -> DataFrame:
     """(cell, rep, component, home): cells in which members of mixed lists meet, all pairs of a list whose sizes allow a link.
 
-    Lists that share members form a group. A group meets as a whole, each pair once, where that takes fewer pairs than its
-    lists one by one (near copies share many lists); other groups meet list by list. Either way members are dealt into
-    bands of sizes, of which equal and adjacent ones meet, and bands into blocks; two blocks (or one) are a cell, so no cell
-    grows with a group. Members of one block have one home and meet each other in the cell of that block alone.
+    Each member is labelled with the smallest member of all its lists. The lists that lie inside one label form a group, which
+    meets as a whole, each pair once, where that takes fewer pairs than its lists one by one (near copies share many lists);
+    other lists meet by themselves. Either way members are dealt into bands of sizes, of which equal and adjacent ones
+    meet, and bands into blocks; two blocks (or one) are a cell, so no cell grows with a group. Members of one block have one
+    home and meet each other in the cell of that block alone.
     """
     lists = cut(lists)
-    chains = lists.join(lists.groupBy("value").agg(F.min("rep").alias("a")), "value").select("a", F.col("rep").alias("b"), "n", "value", "component", "size")
-    grouped = chains.join(components(chains).select(F.col("node").alias("b"), F.col("component").alias("group")), "b")
-    sums = grouped.groupBy("group", "value").agg(F.first("size").alias("size")).groupBy("group").agg(F.sum(F.col("size").cast("double") ** 2).alias("by_list"))
-    whole = grouped.select("group", "b").distinct().groupBy("group").agg(F.count("*").cast("double").alias("members"))
-    modes = sums.join(whole, "group").select("group", "members", (F.col("members") ** 2 <= F.col("by_list")).alias("as_group"))
-    met = grouped.join(modes, "group")
-    together = F.when(F.col("as_group"), F.col("group")).otherwise(F.col("value"))
-    of = F.when(F.col("as_group"), F.col("members")).otherwise(F.col("size"))
+    least = lists.groupBy("value").agg(F.min("rep").alias("least"))
+    labels = lists.join(least, "value").groupBy("rep").agg(F.min("least").alias("label"))
+    labelled = cut(lists.join(labels, "rep"))
+    inside = labelled.groupBy("value").agg(F.min("label").alias("group"), F.max("label").alias("other"), F.first("size").cast("double").alias("size")).filter("group = other")
+    by_list = inside.groupBy("group").agg(F.sum(F.col("size") ** 2).alias("by_list"))
+    whole = labelled.join(inside.select("value", "group"), "value").select("group", "rep").distinct().groupBy("group").agg(F.count("*").cast("double").alias("members"))
+    as_groups = whole.join(by_list, "group").filter(F.col("members") ** 2 <= F.col("by_list")).select("group")
+    met = labelled.join(inside.select("value", "group").join(as_groups, "group"), "value", "left").withColumn("as_group", F.col("group").isNotNull())
+    together = F.coalesce("group", "value")
     key = F.struct("as_group", together.alias("of"))
-    met = met.select(key.alias("key"), F.col("b").alias("rep"), "n", "component").distinct()
+    met = met.select(key.alias("key"), "rep", "n", "component").distinct()
     met = met.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent + 1e-9))).cast("int"))
     sizes = met.groupBy("key", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     met = met.join(sizes, ["key", "band"])

@@ -73,7 +73,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return nodes.unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def text_slices(column: pa.Array, most_bytes: int = 2_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, most_bytes: int = 1_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of consecutive rows of a string column; a null row has no bytes. No row is cut."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

@@ -74,59 +74,59 @@ def _pieces(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "piece"])
 
 
-def _text_lines(column: pa.Array, least: int) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """(hash, words) of each line of ``least`` words or more, for each row."""
+def _text_lines(column: pa.Array, least: int, size: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """(hash, shingle hashes) of each line of ``least`` words or more, for each row."""
     for _, data, offsets in text_slices(column):
         starts, ends, first = word_bounds(data, offsets)
         words = span_hashes(data, starts, ends)
-        breaks = np.cumsum(data == 10)
-        number = breaks[starts] if len(starts) else starts
+        number = np.cumsum(data == 10)[starts] if len(starts) else starts
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             if b - a < least:
                 yield []
                 continue
             begin = np.concatenate((np.zeros(1, np.int64), np.flatnonzero(number[a + 1 : b] != number[a : b - 1]) + 1))
-            hashes, end = _of_runs(words[a:b], begin), np.append(begin[1:], b - a)
-            yield [(int(h), words[a + x : a + y]) for h, x, y in zip(hashes.view(np.int64), begin, end, strict=True) if y - x >= least]
+            end = np.append(begin[1:], b - a)
+            long = np.flatnonzero(end - begin >= least)
+            if not len(long):
+                yield []
+                continue
+            hashes, shingles = _of_runs(words[a:b], begin).view(np.int64), shingle_hashes(words[a:b], size)
+            yield [(h, shingles[x : y - size + 1]) for h, x, y in zip(hashes[long].tolist(), begin[long].tolist(), end[long].tolist(), strict=True)]
 
 
 def _bands(batches: Iterator[pa.RecordBatch], least: int, size: int) -> Iterator[pa.RecordBatch]:
     place = np.arange(BANDS, dtype=np.uint64)[:, None]
     for batch in batches:
         docs = batch["doc_id"].to_pylist()
-        row, waiting, words_waiting = 0, [], 0
-        for lines in _text_lines(batch["text"], least):
-            for line, words in dict(lines).items():
-                found = shingle_hashes(words, size)
-                waiting.append((docs[row], line, found))
-                words_waiting += len(found)
-            row += 1
-            if waiting and (words_waiting > 200_000 or row == len(docs)):
-                found = [f for _, _, f in waiting]
-                starts = np.concatenate(([0], np.cumsum([len(f) for f in found])[:-1]))
-                every = np.concatenate(found)
+        waiting, shingles_waiting = [], 0
+        for row, lines in enumerate(_text_lines(batch["text"], least, size), 1):
+            for line, found in dict(lines).items():
+                waiting.append((docs[row - 1], line, found))
+                shingles_waiting += len(found)
+            if waiting and (shingles_waiting > 200_000 or row == len(docs)):
+                starts = np.concatenate(([0], np.cumsum([len(f) for _, _, f in waiting])[:-1]))
+                every = np.concatenate([f for _, _, f in waiting])
                 signature = np.stack([np.minimum.reduceat(every * seed, starts) for seed in _SEEDS]).reshape(BANDS, ROWS, -1)
-                key = np.broadcast_to(place, (BANDS, len(found))).copy()
+                key = np.broadcast_to(place, (BANDS, len(waiting))).copy()
                 for i in range(ROWS):
                     key = mix(key * _MANY + signature[:, i])
                 keys = pa.array(np.ascontiguousarray(key.T).ravel().view(np.int64))
                 lists = pa.FixedSizeListArray.from_arrays(keys, BANDS).cast(pa.list_(pa.int64()))
-                distinct = pa.array([len(np.unique(f)) for f in found], pa.int64())
-                columns = [pa.array([d for d, _, _ in waiting], pa.int64()), pa.array([h for _, h, _ in waiting], pa.int64()), distinct, lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "n", "bands"])
-                waiting, words_waiting = [], 0
+                columns = [pa.array([d for d, _, _ in waiting], pa.int64()), pa.array([h for _, h, _ in waiting], pa.int64()), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "bands"])
+                waiting, shingles_waiting = [], 0
 
 
 def _wanted_lines(batches: Iterator[pa.RecordBatch], least: int, size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out_lines, sets = [], []
-        for wanted, lines in zip(batch["wanted"].to_pylist(), _text_lines(batch["text"], least), strict=True):
+        for wanted, lines in zip(batch["wanted"].to_pylist(), _text_lines(batch["text"], least, size), strict=True):
             wanted = set(wanted)
-            for line, words in lines:
+            for line, found in lines:
                 if line in wanted:
                     wanted.discard(line)
                     out_lines.append(line)
-                    sets.append(np.unique(shingle_hashes(words, size)).tobytes())
+                    sets.append(np.unique(found).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(out_lines, pa.int64()), pa.array(sets, pa.binary())], names=["line", "shingles"])
 
 
@@ -188,14 +188,14 @@ def _rewrite(batches: Iterator[pa.RecordBatch], least: int, keep: list[str]) ->
 def repeated_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """((doc_id, line), (doc_id, piece)): hashes of the lines and of the pieces that an earlier document has already.
 
-    Lines of ``least`` words or more whose ``size``-word shingle sets have a Jaccard of ``percent`` hundredths or more are
+    Lines of ``least`` words or more (``least`` is at least ``size``) whose ``size``-word shingle sets have a Jaccard of ``percent`` hundredths or more are
     linked; each component is kept in its smallest doc_id. Every pair that shares a band is verified or lies in one component
     already: in each band's list all members meet the smallest one, and if they then lie in several components, each other
     in cells of bounded size.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    banded = cut(docs.mapInArrow(partial(_bands, least=least, size=size), "doc_id long, line long, n long, bands array<long>"))
-    lists = banded.select(F.col("line").alias("rep"), "n", F.explode("bands").alias("value")).distinct()
+    banded = cut(docs.mapInArrow(partial(_bands, least=least, size=size), "doc_id long, line long, bands array<long>"))
+    lists = banded.select(F.col("line").alias("rep"), F.explode("bands").alias("value")).distinct()
     hubs = lists.groupBy("value").agg(F.min("rep").alias("a"), F.count("*").alias("size")).filter("size > 1").drop("size")
     lists = cut(lists.join(hubs, "value"))
     where = banded.select("doc_id", F.col("line").alias("rep")).join(lists.select("rep").distinct(), "rep").groupBy("rep").agg(F.min("doc_id").alias("doc_id"))
@@ -206,7 +206,8 @@ def repeated_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, size: int = 5
     sided = spokes.join(sets.select(F.col("line").alias("a"), F.col("shingles").alias("set_a")), "a")
     sided = sided.join(sets.select(F.col("line").alias("b"), F.col("shingles").alias("set_b")), "b")
     first = cut(sided.select("a", "b", "set_a", "set_b").mapInArrow(partial(_verify, percent=percent), "a long, b long"))
-    again = meeting_again(mixed(lists.select("value", "rep", "n"), first), percent)
+    sizes = sets.select(F.col("line").alias("rep"), (F.length("shingles") / 8).cast("long").alias("n"))
+    again = meeting_again(mixed(lists.select("value", "rep").join(sizes, "rep"), first), percent)
     cells = again.join(sets.withColumnRenamed("line", "rep"), "rep").repartition("cell").sortWithinPartitions("cell")
     second = cut(cells.mapInArrow(partial(verify_cells, sets=stored_sets, percent=percent), "a long, b long").distinct())
 
