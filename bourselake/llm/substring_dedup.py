@@ -2,7 +2,8 @@
 
 A paragraph is a line, and, so that a passage put into the middle of a line is found too, also each piece of a text between
 two cut points that depend on nothing but the few words around them. Lines meet when a band of their MinHash agrees and are
-verified by exact Jaccard; pieces meet when they are equal. The first document of a component keeps the paragraph.
+verified by exact Jaccard. Equal pieces only say where to look: around them all windows of LEAST_WORDS words are compared, so
+a passage goes from its first word to its last. The first document of a component or window keeps it.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from bourselake.llm.common import components, cut, mix, shingle_hashes, span_has
 
 #: Bands and rows: a pair at Jaccard 0.8 meets with probability 1 - (1 - 0.8^3)^8 = 0.997, at 0.9 with 1 - 3e-5.
 BANDS, ROWS = 8, 3
-#: A line counts with this many words or more, and so does a run of repeated pieces.
+#: A line counts with this many words or more, and so does a repeated passage.
 LEAST_WORDS = 20
 #: Each window of so many word pairs has a cut point, so a repeated passage of LEAST_WORDS + 2 * WINDOW + 1 words or more
-#: holds whole repeated pieces of LEAST_WORDS words or more.
+#: holds whole repeated pieces of LEAST_WORDS words or more, and reaches less than WINDOW + 2 words beyond them.
 WINDOW = 15
+#: Windows are compared around repeated pieces that make up so many hundredths of LEAST_WORDS: in passages of 41 words or more.
+NEAR_PERCENT = 50
 
 _SEEDS = np.random.default_rng(8).integers(1, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _MANY = np.uint64(0x9E3779B97F4A7C15)
@@ -52,13 +55,13 @@ def cut_points(words: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.concatenate((np.zeros(1, np.int64), np.flatnonzero(chosen) + 1))
 
 
-def _of_runs(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A hash of the words from each start to the next."""
+def _of_runs(words: np.ndarray, starts: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+    """A hash of the words from each start to its end, or else to the next start."""
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.full(len(words) + 1, _MANY, dtype=np.uint64))
         back = np.cumprod(np.full(len(words) + 1, np.uint64(pow(int(_MANY), -1, 2**64)), dtype=np.uint64))
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * powers[: len(words)])))
-        ends = np.append(starts[1:], len(words))
+        ends = np.append(starts[1:], len(words)) if ends is None else ends
         return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
@@ -74,6 +77,48 @@ def _pieces(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "piece"])
 
 
+def _windows_of(words: np.ndarray, least: int) -> np.ndarray:
+    """A hash of each ``least`` consecutive words."""
+    starts = np.arange(max(len(words) - least + 1, 0))
+    return _of_runs(words, starts, starts + least)
+
+
+def _near(words: np.ndarray, pieces: list[int], least: int) -> np.ndarray:
+    """Whether each word is in a run of the repeated ``pieces``, or so near to one that a common passage can reach it.
+
+    One word over and over has no cut point inside, so distance counts changes of the word.
+    """
+    begin = cut_points(words)
+    length = np.diff(np.append(begin, len(words)))
+    near = np.repeat(np.isin(_of_runs(words, begin), np.array(pieces, np.int64).view(np.uint64)), length)
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], near, [False])).astype(np.int8)))
+    change = np.concatenate((np.zeros(1, np.int64), np.cumsum(words[1:] != words[:-1])))
+    for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        if 100 * (y - x) < NEAR_PERCENT * least:
+            near[x:y] = False
+    for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        if near[x]:
+            near[np.searchsorted(change, change[x] - WINDOW - 2) : np.searchsorted(change, change[y - 1] + WINDOW + 2, side="right")] = True
+    return near
+
+
+def _windows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row, data, offsets in text_slices(batch["text"]):
+            starts, ends, first = word_bounds(data, offsets)
+            words = span_hashes(data, starts, ends)
+            part, found = batch.slice(row, len(offsets) - 1), []
+            for pieces, a, b in zip(part["pieces"].to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                if b - a < least:
+                    found.append(np.zeros(0, np.uint64))
+                    continue
+                count = np.concatenate((np.zeros(1, np.int64), np.cumsum(_near(words[a:b], pieces, least))))
+                found.append(np.unique(_windows_of(words[a:b], least)[count[least:] - count[:-least] == least]))
+            bounds = np.concatenate(([0], np.cumsum([len(x) for x in found])))
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part["doc_id"], lists], names=["doc_id", "windows"])
+
+
 def _text_lines(column: pa.Array, least: int, size: int) -> Iterator[list[tuple[int, np.ndarray]]]:
     """(hash, shingle hashes) of each line of ``least`` words or more, for each row."""
     for _, data, offsets in text_slices(column):
@@ -148,23 +193,21 @@ def _rewrite(batches: Iterator[pa.RecordBatch], least: int, keep: list[str]) ->
             words = span_hashes(data, starts, ends)
             breaks = np.cumsum(data == 10)
             count = len(offsets) - 1
-            lines, pieces = (batch[c].slice(row, count).to_pylist() for c in ("_lines", "_pieces"))
+            lines, windows = (batch[c].slice(row, count).to_pylist() for c in ("_lines", "_windows"))
             whole = batch["text"].slice(row, count).to_pylist()
             for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-                if not (lines[i] or pieces[i]):
+                if not (lines[i] or windows[i]):
                     texts.append(whole[i])
                     spans.append([])
                     continue
                 gone = np.zeros(b - a + 1, dtype=bool)
                 own = words[a:b]
-                if pieces[i]:
-                    begin = cut_points(own)
-                    repeated = np.isin(_of_runs(own, begin), np.array(pieces[i], np.int64).view(np.uint64))
-                    gone[:-1] = np.repeat(repeated, np.diff(np.append(begin, b - a)))
-                    edges = np.flatnonzero(np.diff(np.concatenate(([False], gone)).astype(np.int8)))
-                    for x, y in zip(edges[::2], edges[1::2], strict=True):
-                        if y - x < least:
-                            gone[x:y] = False
+                if windows[i]:
+                    at = np.flatnonzero(np.isin(_windows_of(own, least), np.array(windows[i], np.int64).view(np.uint64)))
+                    steps = np.zeros(b - a + 1, np.int64)
+                    np.add.at(steps, at, 1)
+                    np.add.at(steps, at + least, -1)
+                    gone = np.cumsum(steps) > 0
                 if lines[i]:
                     number = breaks[starts[a:b]]
                     begin = np.concatenate((np.zeros(1, np.int64), np.flatnonzero(number[1:] != number[:-1]) + 1))
@@ -186,7 +229,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch], least: int, keep: list[str]) ->
 
 
 def repeated_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, line), (doc_id, piece)): hashes of the lines and of the pieces that an earlier document has already.
+    """((doc_id, line), (doc_id, window)): hashes of the lines and of the windows of ``least`` words that an earlier document has already.
 
     Lines of ``least`` words or more (``least`` is at least ``size``) whose ``size``-word shingle sets have a Jaccard of ``percent`` hundredths or more are
     linked; each component is kept in its smallest doc_id. Every pair that shares a band is verified or lies in one component
@@ -217,8 +260,12 @@ def repeated_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, size: int = 5
     lines = seen.join(owners, "component").filter("doc_id > first").select("doc_id", "line")
 
     pieces = docs.mapInArrow(partial(_pieces, least=least), "doc_id long, piece long")
-    owners = pieces.groupBy("piece").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("piece", "first")
-    return lines, pieces.join(owners, "piece").filter("doc_id > first").select("doc_id", "piece")
+    several = pieces.groupBy("piece").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("piece")
+    held = pieces.join(several, "piece").groupBy("doc_id").agg(F.collect_set("piece").alias("pieces"))
+    near = cut(docs.join(held, "doc_id").mapInArrow(partial(_windows, least=least), "doc_id long, windows array<long>"))
+    windows = near.select("doc_id", F.explode("windows").alias("window"))
+    owners = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("window", "first")
+    return lines, windows.join(owners, "window").filter("doc_id > first").select("doc_id", "window")
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST_WORDS, size: int = 5, percent: int = 80, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -227,14 +274,14 @@ def remove_repeats(docs: DataFrame, least: int = LEAST_WORDS, size: int = 5, per
     Repeats inside one document stay. A null text stays null, an empty one empty, and a row without doc_id or with nothing to
     remove keeps its text to the byte. Rows that repeat a doc_id are one document. Other columns may have any name.
     """
-    lines, pieces = repeated_paragraphs(docs, least, size, percent)
+    lines, windows = repeated_paragraphs(docs, least, size, percent)
     marked = lines.select("doc_id", F.struct(F.lit(True).alias("is_line"), F.col("line").alias("hash")).alias("_marks"))
-    marked = marked.unionByName(pieces.select("doc_id", F.struct(F.lit(False).alias("is_line"), F.col("piece").alias("hash")).alias("_marks")))
+    marked = marked.unionByName(windows.select("doc_id", F.struct(F.lit(False).alias("is_line"), F.col("window").alias("hash")).alias("_marks")))
     marked = marked.groupBy("doc_id").agg(F.collect_list("_marks").alias("_marks")).select(F.col("doc_id").alias("_doc"), "_marks")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     columns = list(dict.fromkeys([*keep, "text"]))
     rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), *columns).join(marked, "_doc", "left")
     pick = lambda flag: F.coalesce(F.transform(F.filter("_marks", lambda e: e["is_line"] == flag), lambda e: e["hash"]), F.array().cast("array<bigint>"))
-    rows = rows.select(*columns, pick(True).alias("_lines"), pick(False).alias("_pieces"))
+    rows = rows.select(*columns, pick(True).alias("_lines"), pick(False).alias("_windows"))
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", cleaned string, removed array<array<bigint>>"
     return rows.mapInArrow(partial(_rewrite, least=least, keep=list(keep)), schema)

@@ -323,6 +323,20 @@ def test_substring_dedup(spark):
     assert got[18].cleaned.strip() == ""
 
 
+def test_repeated_passages_go_whole(spark):
+    rng = random.Random(11)
+    rows, passages = [], []
+    for n in (41, 51, 60, 80, 200):
+        passage = sentence(rng, n)
+        passages.append(passage)
+        for _ in range(3):
+            rows.append((len(rows), f"{sentence(rng, 40)} {passage} {sentence(rng, 40)}"))
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(documents(spark, rows)).collect()}
+    for doc, text in rows:
+        begin = text.index(passages[doc // 3])
+        assert got[doc].removed == ([] if doc % 3 == 0 else [[begin, begin + len(passages[doc // 3])]])
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(7)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(300, 200), (250, 300), (7, 7), (None, 3), (400, 401), (401, 400)]
