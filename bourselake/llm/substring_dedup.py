@@ -1,9 +1,10 @@
 """Repeated paragraphs and passages: paragraph MinHash banding, exact verification, removals by component.
 
-A paragraph is a line, and, so that a passage put into the middle of a line is found too, also each piece of a text between
-two cut points that depend on nothing but the few words around them. Lines meet when a band of their MinHash agrees and are
-verified by exact Jaccard. Equal pieces only say where to look: around them all windows of LEAST_WORDS words are compared, so
-a passage goes from its first word to its last. The first document of a component or window keeps it.
+A paragraph is a line, the lines between two blank ones, or short lines one after another, as hard-wrapped text has them.
+Paragraphs meet when a band of their MinHash agrees and are verified by exact Jaccard. So that a passage put into the middle
+of a paragraph is found too, texts are also cut at points that depend on nothing but the few words around them. Equal pieces
+say where to look: around them all windows of LEAST_WORDS words are compared, so a passage goes from its first word to its
+last. The first document of a component or window keeps it.
 """
 
 from __future__ import annotations
@@ -119,8 +120,30 @@ def _windows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([part["doc_id"], lists], names=["doc_id", "windows"])
 
 
+def _units(number: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, end) of the paragraphs of ``least`` words or more, from each word's line number.
+
+    These are the lines, the lines between two blank ones, and consecutive lines that are too short by themselves.
+    """
+    step = np.diff(number)
+    begin = np.concatenate((np.zeros(1, np.int64), np.flatnonzero(step) + 1))
+    blank = np.concatenate(([True], step[begin[1:] - 1] > 1))
+    end = np.append(begin[1:], len(number))
+    short = end - begin < least
+    spans = [(begin, end)]
+    for starts in (blank, blank | ~short | np.concatenate(([True], ~short[:-1]))):
+        if starts.sum() > 1 or starts is not blank:
+            first = np.flatnonzero(starts)
+            last = np.append(first[1:], len(begin)) - 1
+            several = last > first
+            spans.append((begin[first[several]], end[last[several]]))
+    begin, end = (np.concatenate(x) for x in zip(*spans, strict=True))
+    long = end - begin >= least
+    return begin[long], end[long]
+
+
 def _text_lines(column: pa.Array, least: int, size: int) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """(hash, shingle hashes) of each line of ``least`` words or more, for each row."""
+    """(hash, shingle hashes) of each paragraph of ``least`` words or more, for each row."""
     for _, data, offsets in text_slices(column):
         starts, ends, first = word_bounds(data, offsets)
         words = span_hashes(data, starts, ends)
@@ -129,14 +152,12 @@ def _text_lines(column: pa.Array, least: int, size: int) -> Iterator[list[tuple[
             if b - a < least:
                 yield []
                 continue
-            begin = np.concatenate((np.zeros(1, np.int64), np.flatnonzero(number[a + 1 : b] != number[a : b - 1]) + 1))
-            end = np.append(begin[1:], b - a)
-            long = np.flatnonzero(end - begin >= least)
-            if not len(long):
+            begin, end = _units(number[a:b], least)
+            if not len(begin):
                 yield []
                 continue
-            hashes, shingles = _of_runs(words[a:b], begin).view(np.int64), shingle_hashes(words[a:b], size)
-            yield [(h, shingles[x : y - size + 1]) for h, x, y in zip(hashes[long].tolist(), begin[long].tolist(), end[long].tolist(), strict=True)]
+            hashes, shingles = _of_runs(words[a:b], begin, end).view(np.int64), shingle_hashes(words[a:b], size)
+            yield [(h, shingles[x : y - size + 1]) for h, x, y in zip(hashes.tolist(), begin.tolist(), end.tolist(), strict=True)]
 
 
 def _bands(batches: Iterator[pa.RecordBatch], least: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -209,10 +230,10 @@ def _rewrite(batches: Iterator[pa.RecordBatch], least: int, keep: list[str]) ->
                     np.add.at(steps, at + least, -1)
                     gone = np.cumsum(steps) > 0
                 if lines[i]:
-                    number = breaks[starts[a:b]]
-                    begin = np.concatenate((np.zeros(1, np.int64), np.flatnonzero(number[1:] != number[:-1]) + 1))
-                    repeated = np.isin(_of_runs(own, begin), np.array(lines[i], np.int64).view(np.uint64))
-                    gone[:-1] |= np.repeat(repeated, np.diff(np.append(begin, b - a)))
+                    begin, end = _units(breaks[starts[a:b]], least)
+                    repeated = np.isin(_of_runs(own, begin, end), np.array(lines[i], np.int64).view(np.uint64))
+                    for x, y in zip(begin[repeated].tolist(), end[repeated].tolist(), strict=True):
+                        gone[x:y] = True
                 edges = np.flatnonzero(np.diff(np.concatenate(([False], gone)).astype(np.int8)))
                 text, at, out = data[offsets[i] : offsets[i + 1]].tobytes(), 0, []
                 cuts = [(int(starts[a + x] - offsets[i]), int(ends[a + y - 1] - offsets[i])) for x, y in zip(edges[::2], edges[1::2], strict=True)]
@@ -231,7 +252,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch], least: int, keep: list[str]) ->
 def repeated_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """((doc_id, line), (doc_id, window)): hashes of the lines and of the windows of ``least`` words that an earlier document has already.
 
-    Lines of ``least`` words or more (``least`` is at least ``size``) whose ``size``-word shingle sets have a Jaccard of ``percent`` hundredths or more are
+    Lines, and paragraphs of several lines, of ``least`` words or more (``least`` is at least ``size``) whose ``size``-word shingle sets have a Jaccard of ``percent`` hundredths or more are
     linked; each component is kept in its smallest doc_id. Every pair that shares a band is verified or lies in one component
     already: in each band's list all members meet the smallest one, and if they then lie in several components, each other
     in cells of bounded size.

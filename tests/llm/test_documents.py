@@ -337,6 +337,21 @@ def test_repeated_passages_go_whole(spark):
         assert got[doc].removed == ([] if doc % 3 == 0 else [[begin, begin + len(passages[doc // 3])]])
 
 
+def test_wrapped_paragraphs_are_compared(spark):
+    rng = random.Random(12)
+    wrap = lambda words, n: "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+    words = sentence(rng, 72).split()
+    edited = words[:35] + ["other"] + words[36:]
+    own = [sentence(rng, 25) for _ in range(6)]
+    rows = [
+        (0, f"{own[0]}\n{wrap(words, 12)}\n{own[1]}"),
+        (1, f"{own[2]}\n{wrap(edited, 10)}\n{own[3]}"),
+        (2, f"{own[4]}\n\n{wrap(edited, 22)}\n\n{own[5]}"),
+    ]
+    got = {r.doc_id: r.cleaned for r in substring_dedup.remove_repeats(documents(spark, rows)).collect()}
+    assert got == {0: rows[0][1], 1: f"{own[2]}\n\n{own[3]}", 2: f"{own[4]}\n\n\n\n{own[5]}"}
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(7)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(300, 200), (250, 300), (7, 7), (None, 3), (400, 401), (401, 400)]
