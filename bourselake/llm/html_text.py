@@ -3,7 +3,8 @@
 A page becomes a tree. The density of a node is its characters per tag, lowered by the share of linked characters and tags
 (composite text density). The subtree whose children's densities sum to the most is the article; the least density on the
 path from the body to it is the threshold beside that path. Parts that say what they are (navigation, footers, forms,
-adverts, comments and so on, by tag, class, id or role) are taken off first.
+adverts, comments and so on, by tag or by a class, id or role that says nothing else) are taken off first, and where the
+name may also be the topic of a section (discussion, search, related), only if the part is less dense than the page.
 """
 
 from __future__ import annotations
@@ -34,6 +35,15 @@ NOT_ARTICLE = frozenset(
     "aside rail widget widgets related recommended recommendations share sharing social comment comments commentlist disqus respond reply replies discussion footer foot header masthead topbar toolbar search "
     "contentinfo complementary copyright skip".split()
 )
+#: Those of them that also name what a text is about.
+TOPICS = frozenset("notice notices alert consent promotion promoted subscription side rail widget widgets related recommended recommendations share sharing social respond reply replies discussion search skip banner foot".split())
+#: Words beside them in a name that change nothing: ad-slot, sidebar-right, comment-list.
+BESIDE = frozenset(
+    "box block section area container wrapper wrap inner outer list item items bar left right top bottom site page post posts entry article primary secondary main global link links button buttons "
+    "icon icons form field slot unit panel group row column col holder module region zone text title content body author meta count".split()
+)
+#: Elements that are article text whatever their names.
+TEXT_PARTS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 #: A form with so many paragraphs is wrapped around a page.
 FORM_PARAGRAPHS = 3
 OF_COMMENTS = frozenset("comment comments commentlist disqus reply replies".split())
@@ -51,6 +61,16 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
+def _named(value: str) -> set[str]:
+    """The words of NOT_ARTICLE in those names of a class, id or role that hold no other word."""
+    found: set[str] = set()
+    for name in value.split():
+        words = {w.lower() for w in _WORD.findall(name)} if name.lower() not in NOT_ARTICLE else {name.lower()}
+        if words & NOT_ARTICLE and words <= NOT_ARTICLE | BESIDE:
+            found |= words & NOT_ARTICLE
+    return found
+
+
 class Page:
     """The tree of a page in document order: tag, parent and what a node's attributes say, and the texts between tags."""
 
@@ -95,14 +115,14 @@ class Page:
         node = len(self.tags)
         said, unseen = frozenset(), False
         if rest and not rest.isspace():
-            words: list[str] = []
+            words: set[str] = set()
             for name, *values in _ATTRIBUTE.findall(rest):
                 name, value = name.lower(), next((v for v in values if v), "")
                 if name in ("class", "id", "role"):
-                    words += _WORD.findall(unescape(value))
+                    words |= _named(unescape(value))
                 elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _UNSEEN.search(value)):
                     unseen = True
-            said = frozenset(w.lower() for w in words)
+            said = frozenset(words)
         self.tags.append(tag)
         self.parents.append(stack[-1])
         self.said.append(said)
@@ -144,9 +164,10 @@ class Page:
             self.texts.append((stack[-1], None))
 
 
-def _off(page: Page) -> list[bool]:
-    """Whether each node is, or is inside, a part that says it is no article text."""
+def _off(page: Page) -> tuple[list[bool], list[bool]]:
+    """Whether each node is, or is inside, a part that says it is no article text; whether it only may say so."""
     n = len(page.tags)
+    doubtful = [False] * n
     holds, paragraphs = [False] * n, [0] * n  # the page's main or article element, and how many paragraphs
     for i in range(n - 1, 0, -1):
         own = page.tags[i] in ("main", "article") and not page.said[i] & OF_COMMENTS
@@ -161,22 +182,19 @@ def _off(page: Page) -> list[bool]:
             off[i] = True
         elif tag == "header" and not inside[i] and not holds[i]:
             off[i] = True
-        elif tag in ("html", "body", "main", "h1") or holds[i]:
+        elif tag in ("html", "body", "main") or tag in TEXT_PARTS or holds[i]:
             off[i] = False
         elif tag == "article":
             off[i] = bool(page.said[i] & OF_COMMENTS)
         else:
-            words = page.said[i] & NOT_ARTICLE
-            off[i] = bool(words - {"header"} or (words and not inside[i]))
-    return off
+            words = page.said[i] - ({"header"} if inside[i] else set())
+            off[i] = bool(words - TOPICS)
+            doubtful[i] = bool(words) and not off[i]
+    return off, doubtful
 
 
-def main_text(html: str | None) -> str:
-    """The article of a page, its blocks in page order joined by one space; empty for a page without text."""
-    if not html:
-        return ""
-    page = Page(html)
-    off = _off(page)
+def _densities(page: Page, off: list[bool]) -> tuple[int, list[int], list[float]]:
+    """The body, how many tags are in each node, and each node's composite density; nodes that are off count nowhere."""
     n = len(page.tags)
     chars, tags, linked, links = [0] * n, [0] * n, [0] * n, [0] * n
     for node, text in page.texts:
@@ -206,7 +224,21 @@ def main_text(html: str | None) -> str:
         base = log(c / max(c - lc, 1) * lc + share * c + e)
         return c / t * max(log(c / max(lc, 1) * t / max(lt, 1)), 0.0) / max(log(max(base, 1.0001)) + 1, 1)
 
-    densities = [0.0 if off[i] else density(i) for i in range(n)]
+    return body, tags, [0.0 if off[i] else density(i) for i in range(n)]
+
+
+def main_text(html: str | None) -> str:
+    """The article of a page, its blocks in page order joined by one space; empty for a page without text."""
+    if not html:
+        return ""
+    page = Page(html)
+    off, doubtful = _off(page)
+    body, tags, densities = _densities(page, off)
+    if any(doubtful):
+        for i in range(1, len(off)):
+            off[i] = off[i] or off[page.parents[i]] or (doubtful[i] and densities[i] < densities[body])
+        body, tags, densities = _densities(page, off)
+    n = len(page.tags)
     sums = [0.0] * n
     for i in range(1, n):
         sums[page.parents[i]] += densities[i]

@@ -205,6 +205,17 @@ def test_odd_pages(html, text):
     assert html_text.main_text(html) == text
 
 
+def test_names_that_only_hold_a_word_cut_nothing():
+    text = "A long enough sentence of the article, with all the words that it takes."
+    around = "<nav><a href='/'>Home</a></nav>"
+    assert html_text.main_text(f"<body>{around}<div class='content has-sidebar'><p>{text}</p><p>{text}</p></div></body>") == f"{text} {text}"
+    parts = ["<h2 id='side-effects'>{}</h2>", "<section id='discussion'><p>{}</p></section>", "<section class='related-work'><p>{}</p></section>", "<p id='search-results'>{}</p>"]
+    for part in parts:
+        html = f"<body>{around}<article><h1>Title</h1><p>{text}</p>{part.format(text)}<div class='related'><a href='a'>One</a> <a href='b'>Two</a> <a href='c'>Three</a></div><p>{text}</p></article></body>"
+        assert html_text.main_text(html) == f"Title {text} {text} {text}"
+    assert html_text.main_text(f"<article class='post comments-open'><p>{text}</p><div class='sidebar'>{text}</div></article>") == text
+
+
 def test_pages_table(spark):
     rows = [(1, "u", f"<article>{ARTICLE}</article>", "t", 1), (1, "u", f"<article>{ARTICLE}</article>", "t", 1), (None, None, None, None, None), (2, "v", "<p>" + "word " * 100_000, "t", 1)]
     got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()
