@@ -49,21 +49,29 @@ def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordB
 
 @dataclass
 class ContextTrees:
-    """Frozen statistics: for each context of the trees the cost of each byte in each language, in bits.
+    """Frozen statistics: for each language and length of context, from the longest, (sequences, their bits, contexts, bits of their escapes).
 
-    A context of ``order`` bytes that no language has stands for its longest known suffix. Bytes that training never
-    met share one symbol, because every tree escapes to the same uniform cost for them.
+    Only what a language has met is stored, so the size is that of the distinct byte sequences of the languages.
     """
 
     langs: list[str]
     order: int
-    symbols: np.ndarray  # symbol of each of the 256 bytes
-    contexts: np.ndarray  # row of ``bits`` for each sequence of ``order`` symbols
-    bits: np.ndarray  # (rows * symbols, languages)
-
-    @property
-    def n_symbols(self) -> int:
-        return int(self.symbols.max()) + 1
+    levels: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
+
+    def bits(self, k: int, codes: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each sequence in language number ``k``."""
+        out, open_ = np.zeros(len(codes)), np.arange(len(codes))
+        for length, (grams, own, contexts, escape) in zip(range(self.order, -1, -1), self.levels[k], strict=True):
+            code = codes[open_] & ((1 << (8 * (length + 1))) - 1)
+            place = np.minimum(np.searchsorted(grams, code), len(grams) - 1)
+            met = grams[place] == code
+            out[open_[met]] += own[place[met]]
+            open_, code = open_[~met], code[~met] >> 8
+            place = np.minimum(np.searchsorted(contexts, code), len(contexts) - 1)
+            known = contexts[place] == code
+            out[open_[known]] += escape[place[known]]
+        out[open_] += 8.0
+        return out
 
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each text (rows) in each language (columns)."""
@@ -72,57 +80,40 @@ class ContextTrees:
         firsts = offsets[:-1][full]
         if not len(firsts):
             return out
-        here = self.symbols[data]
-        row, back = np.zeros(len(data), np.int32), here
-        for i in range(self.order):
-            back = np.concatenate((back[:1], back[:-1]))
-            back[firsts] = self.symbols[0]
-            row += back * np.int32(self.n_symbols**i)
-        row = self.contexts[row] * np.int32(self.n_symbols) + here
+        codes, place = np.unique(_codes(data, offsets, self.order), return_inverse=True)
+        codes = codes.astype(np.int64)
         for k in range(len(self.langs)):
-            out[full, k] = np.add.reduceat(self.bits[k][row], firsts)
+            out[full, k] = np.add.reduceat(self.bits(k, codes)[place], firsts)
         return out
 
 
 def grow(grams: pd.DataFrame, order: int) -> ContextTrees:
     """Trees from counts (lang, code, n) of byte sequences one longer than ``order``."""
-    langs = sorted(grams["lang"].unique())
-    code, n = grams["code"].to_numpy(np.int64), grams["n"].to_numpy(np.int64)
-    which = np.searchsorted(np.array(langs), grams["lang"].to_numpy()) if len(grams) else np.zeros(0, np.int64)
-    symbols = np.zeros(256, np.int32)
-    met = np.unique(np.concatenate([[0], *((code >> (8 * i)) & 255 for i in range(order + 1))])).astype(int)
-    symbols[:] = len(met)
-    symbols[met] = np.arange(len(met))
-    size = int(symbols.max()) + 1
-    as_symbols = lambda x, length: sum(symbols[(x >> (8 * i)) & 255].astype(np.int64) * size**i for i in range(length))
-    table = np.full((len(langs), 1, size), 8.0)
-    rows_of = np.zeros(1, np.int64)
-    for length in range(order + 1):
-        # the known contexts of this length, above which stand those one byte shorter
-        context = as_symbols(code >> 8, length) if length else np.zeros(len(code), np.int64)
-        known, place = np.unique(context, return_inverse=True)
-        shorter = rows_of[known % size ** max(length - 1, 0)]
-        counts = np.zeros((len(langs), len(known), size))
-        np.add.at(counts, (which, place, symbols[code & 255]), n)
-        total, distinct = counts.sum(2, keepdims=True), (counts > 0).sum(2, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escape = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0)
-            own = np.where(counts > 0, -np.log2(counts / (total + distinct)), escape + table[:, shorter, :])
-        rows_of = rows_of[np.arange(size**length) % size ** max(length - 1, 0)]
-        rows_of[known] = table.shape[1] + np.arange(len(known))
-        table = np.concatenate((table, own), axis=1)
-    return ContextTrees(langs, order, symbols, rows_of.astype(np.int32), table.reshape(len(langs), table.shape[1] * size))
-
-
-def train(docs: DataFrame, order: int = 2, most_sequences: int = 1 << 18) -> ContextTrees:
+    langs, levels = [], []
+    for lang, rows in grams.groupby("lang", sort=True):
+        langs.append(lang)
+        codes, n = rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+        own = []
+        for length in range(order, -1, -1):
+            met, place = np.unique(codes & ((1 << (8 * (length + 1))) - 1), return_inverse=True)
+            count = np.bincount(place, n)
+            contexts, place = np.unique(met >> 8, return_inverse=True)
+            distinct = np.bincount(place)
+            total = np.bincount(place, count) + distinct
+            own.append((met, -np.log2(count / total[place]), contexts, -np.log2(distinct / total)))
+        levels.append(own)
+    return ContextTrees(langs, order, levels)
+
+
+def train(docs: DataFrame, order: int = 2) -> ContextTrees:
     """Trees from every row of ``docs`` (text, lang); rows without text or lang teach nothing.
 
-    Counts cover all rows. Only the result is bounded: of the distinct (language, byte sequence) pairs the
-    ``most_sequences`` most frequent ones make up the model that goes to the driver and to every task.
+    Every count is kept. The model that goes to the driver and to every task has a row for each distinct (language, byte
+    sequence) pair, however many rows of text there are.
     """
     usable = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
     counts = usable.mapInArrow(partial(_count, order=order), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    return grow(counts.orderBy(F.desc("n"), "lang", "code").limit(most_sequences).toPandas(), order)
+    return grow(counts.toPandas(), order)
 
 
 def _predict(batches: Iterator[pa.RecordBatch], trees: ContextTrees, keep: list[str]) -> Iterator[pa.RecordBatch]:

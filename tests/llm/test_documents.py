@@ -170,6 +170,17 @@ def test_language_of_texts_without_letters(spark):
     assert language_id.predict(rows, trees, keep=("doc_id", "score0") if "score0" in rows.columns else ("doc_id", "kept")).columns == ["doc_id", "kept", "lang_pred", "score"]
 
 
+def test_rare_languages_keep_their_trees(spark):
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, row)) for row in rng.integers(0x10000, 0x10FFFF, (200, 5000))]  # about 300,000 byte sequences
+    docs = documents(spark, [(i, t, "many") for i, t in enumerate(texts)] * 2 + [(999, "die katze", "de")])
+    trees = language_id.train(docs)
+    assert trees.langs == ["de", "many"]
+    assert [len(x[0][0]) for x in trees.levels] == [9, len({t[i : i + 3] for t in (b"\0\0" + t.encode() for t in texts) for i in range(len(t) - 2)})]
+    rows = documents(spark, [(1, "katze"), (2, texts[0][:50] + " a")])
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(rows, trees).collect()} == {1: "de", 2: "many"}
+
+
 def test_languages_of_held_out_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -275,6 +286,20 @@ def test_packing_of_a_table(spark):
     assert len(got) == len(rows) + 4 and got["length"].sum() == sum(len((r[1] or "").split()) for r in rows)
 
 
+def test_packing_keeps_near_copies_apart(spark):
+    rng = random.Random(8)
+    words = sentence(rng, 60).split()
+    rows = [(i, " ".join([*words[:50], f"edit{i}", *words[51:]]), "en", None if i % 2 else f"s{i}") for i in range(8)] + [(None, " ".join([*words[:50], "edit3", *words[51:]]), "en", "x")]
+    rows += [(20 + i, sentence(rng, 5), "en", None) for i in range(4)] + [(30, "", "en", None), (31, "", "en", "y"), (32, None, "en", None)]
+    docs = packing.clustered(documents(spark, rows)).coalesce(1)
+    got = packing.best_fit(docs, length=F.col("words"), cluster=F.col("cluster")).collect()
+    assert len(got) == len(rows)
+    near = [r.bin_id for r in got if r.doc_id is None or r.doc_id < 8]
+    assert len(set(near)) == len(near) == 9
+    empty = [r.bin_id for r in got if r.doc_id in (30, 31)]
+    assert len(set(empty)) == 2 and all(r.bin_id in near for r in got if (r.doc_id or 0) >= 20)
+
+
 def test_cut_points_depend_on_near_words_only():
     rng = np.random.default_rng(1)
     passage = rng.integers(1, 2**63, 51, dtype=np.uint64)
@@ -337,6 +362,18 @@ def test_repeated_passages_go_whole(spark):
         assert got[doc].removed == ([] if doc % 3 == 0 else [[begin, begin + len(passages[doc // 3])]])
 
 
+def test_one_row_of_each_group_of_copies_stays(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    words = sentence(rng, 60).split()
+    edited = " ".join([*words[:50], "edit", *words[51:]])
+    alone = sentence(rng, 30)
+    rows = [(7, " ".join(words), "en"), (None, " ".join(words), "en"), (3, edited, "en"), (3, edited, "de"), (None, alone, "en"), (None, alone, "en"), (None, alone, "fr"), (5, "else where", "en"), (5, "else where", "en")]
+    kept = corpus_pipeline.near_dedup(spark, documents(spark, rows).select(*corpus_pipeline.COLUMNS), "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(3, edited), (0, alone), (5, "else where")])
+
+
 def test_wrapped_paragraphs_are_compared(spark):
     rng = random.Random(12)
     wrap = lambda words, n: "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
