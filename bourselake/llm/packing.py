@@ -16,6 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bourselake.llm.near_dedup import near_duplicates
+
 #: Length of a bin.
 CAPACITY = 2048
 #: Documents that are packed together; bins do not reach across.
@@ -104,6 +106,22 @@ def n_words(text: Column) -> Column:
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[ \t-\r]+")))
 
 
+def clustered(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, words, source, text, cluster) of every row of ``docs``, for best_fit: the near-duplicate components as clusters.
+
+    A row without doc_id is in the component of an equal text. Texts without words, which are near to nothing, and texts that
+    no row with doc_id has, are in one cluster with equal texts. Of ``text`` only whether it is null is kept.
+    """
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_words(text).alias("words"), "source", F.xxhash64(text).alias("same"), F.when(text.isNotNull(), "").alias("text"))
+    labels = near_duplicates(docs, size, percent).filter("doc_id is not null").select("doc_id", "component_id").distinct()
+    numbered = rows.filter("doc_id is not null").join(labels, "doc_id", "left").withColumn("component", F.when(F.col("words") > 0, F.col("component_id"))).drop("component_id")
+    others = rows.filter("doc_id is null")
+    known = numbered.join(others.select("same").distinct(), "same", "left_semi").groupBy("same").agg(F.min("component").alias("component"))
+    both = numbered.unionByName(others.join(known, "same", "left"))
+    return both.select("doc_id", "words", "source", "text", F.coalesce(F.col("component").cast("string"), F.concat(F.lit("same "), "same")).alias("cluster"))
+
+
 def best_fit(docs: DataFrame, capacity: int = CAPACITY, together: int = TOGETHER, length: Column | None = None, cluster: Column | None = None) -> DataFrame:
     """Rows (doc_id, part, start, length, bin_id, bin_start): where each piece of each document lies.
 

@@ -63,9 +63,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_best_fit_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from bourselake.llm.packing import best_fit
+    from bourselake.llm.packing import best_fit, clustered
 
-    return best_fit(table(spark, sf_dir, "documents"))
+    items = clustered(table(spark, sf_dir, "documents"))
+    return best_fit(items, length=F.col("words"), cluster=F.col("cluster"))
 
 
 def learnable(docs: DataFrame) -> DataFrame:
