@@ -39,10 +39,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates; rows without doc_id stay."""
-    groups = near_duplicates(docs)
-    gone = groups.filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one row of each group of near-duplicates, the one with the smallest doc_id; rows without doc_id come last.
+
+    Groups are of rows: a number of the whole row stands for the doc_id, and of equal rows one stays.
+    """
+    keyed = docs.withColumn("_row", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in COLUMNS]))
+    groups = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    owners = keyed.select("_row", F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("doc_id"), "_row").alias("at"))
+    groups = groups.distinct().join(owners, "_row").groupBy("component_id").agg(F.min("at").alias("at"))
+    kept = keyed.join(groups.select(F.col("at._row").alias("_row")), "_row", "left_semi")
+    return kept.dropDuplicates(["_row"]).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
