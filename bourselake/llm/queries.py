@@ -168,3 +168,50 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bourselake.llm.html_text import extract_pages
 
     return extract_pages(table(spark, sf_dir, "pages"))
+
+
+#: CRC-32 of a text of ASCII characters {0}: a step for each bit after the byte is added.
+_CRC_SQL = """xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(list_filter(string_split({0}, ''), lambda c: c <> ''), lambda c: [ord(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, 3988292384 * (a & 1)) end))"""
+_FIELD_SQL = "coalesce(strlen({0}::varchar) || ':' || {0}, '-')"
+_LEAF_SQL = "sha256(" + " || ".join(_FIELD_SQL.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+#: The levels of trees (tree, level, d) over lists of digests.
+_LEVELS_SQL = """{0}(tree, level, d) as (select {1} union all
+      select tree, level + 1, list_transform(range((len(d) + 2) // 3), lambda i: sha256(list_aggregate(d[3 * i + 1:3 * i + 3], 'string_agg', ''))) from {0} where len(d) > 1)"""
+
+MERKLE_SQL = f"""
+with recursive
+l as (select doc_id, coalesce('=' || source, '') as tree, {_LEAF_SQL.format("text")} as leaf,
+      {_LEAF_SQL.format("replace(text, chr(10), '')")} as stripped, {_CRC_SQL.format("coalesce(doc_id::varchar, '')")} as crc from documents),
+p as (select doc_id, tree, leaf, case when crc % 2 = 0 then stripped else leaf end as claim,
+      row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as place from l),
+{_LEVELS_SQL.format("below", "tree, 0, list(leaf order by place) from p group by tree")},
+subroots as (select tree, d[1] as subroot, row_number() over (order by encode(tree)) - 1 as seat from below where len(d) = 1),
+{_LEVELS_SQL.format("above", "'', 0, list(subroot order by seat) from subroots")},
+steps as (select b.level, floor(p.place / 3 ** b.level)::bigint as spot, b.d, p.doc_id, p.leaf, p.claim, p.tree, p.place, s.subroot
+          from p join below b on b.tree = p.tree and len(b.d) > 1 join subroots s on s.tree = p.tree
+          union all
+          select t.height + a.level, floor(s.seat / 3 ** a.level)::bigint, a.d, p.doc_id, p.leaf, p.claim, p.tree, p.place, s.subroot
+          from p join subroots s on s.tree = p.tree join (select tree, max(level) as height from below group by tree) t on t.tree = p.tree join above a on len(a.d) > 1),
+runs as (select tree, place, level, spot % 3 as own, d[spot - spot % 3 + 1:spot - spot % 3 + 3] as d from steps),
+others as (select tree, place, level, list_aggregate(d[1:own], 'string_agg', '') as l, list_aggregate(d[own + 2:], 'string_agg', '') as r from runs),
+folded(tree, place, level, digest) as (select tree, place, 0, claim from p union all
+          select f.tree, f.place, f.level + 1, sha256(coalesce(o.l, '') || f.digest || coalesce(o.r, '')) from folded f join others o on o.tree = f.tree and o.place = f.place and o.level = f.level),
+ends as (select tree, place, arg_max(digest, level) as folded_root from folded group by tree, place),
+proofs as (select tree, place, sha256(string_agg(coalesce(l, '') || coalesce(r, ''), '' order by level)) as proof_sha256 from others group by tree, place),
+top as (select d[1] as root from above where len(d) = 1)
+select p.doc_id, p.leaf, s.subroot, top.root, coalesce(q.proof_sha256, sha256('')) as proof_sha256, e.folded_root, e.folded_root = top.root as verified
+from p join subroots s using (tree) join ends e using (tree, place) left join proofs q using (tree, place), top"""
+
+
+@query("op11_merkle_manifest", MERKLE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bourselake.llm.merkle import manifest, proofs, text_digest
+
+    docs = table(spark, sf_dir, "documents")
+    leaf = lambda text: text_digest(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], text)
+    number = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    rows = docs.select("doc_id", "source", leaf(F.col("text")).alias("leaf"), F.when(number % 2 == 0, leaf(F.translate("text", "\n", ""))).alias("claim"))
+    rows = rows.withColumn("claim", F.coalesce("claim", "leaf"))
+    found = proofs(manifest(rows), "claim")
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
