@@ -215,3 +215,37 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("claim", F.coalesce("claim", "leaf"))
     found = proofs(manifest(rows), "claim")
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) in which one document of ten goes round and round from a word on, as its doc_id's CRC says; without doc_id, none."""
+    from bourselake.llm.periodic_runs import words_of
+
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.select("doc_id", "text", number.alias("h"), F.floor(number / 10).alias("g"), F.when(number % 10 == 0, words_of(F.col("text"))).alias("words"))
+    docs = docs.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    docs = docs.withColumn("rest", F.col("n") - F.col("a")).withColumn("p", 1 + F.floor(F.col("rest") / (3 + F.col("g") % 8)))
+    times = F.ceil(F.col("rest") / F.col("p")).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("words", F.col("a").cast("int") + 1, F.col("p").cast("int")), times))
+    whole = F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), F.slice(tail, F.lit(1), F.col("rest").cast("int")))
+    return docs.select("doc_id", F.when(F.col("n") > 0, F.array_join(whole, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bourselake.llm.periodic_runs import periodic_runs
+
+    found = periodic_runs(looped(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")).alias("listed"), "collapsed")
+    return found.select(
+        "doc_id",
+        "n_runs",
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
