@@ -249,3 +249,33 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("listed", 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+def _secrets_sql() -> str:
+    from bourselake.llm.secret_scan import BASE, MORE
+
+    one = "select doc_id, '{kind}' as kind, {i} as n, string_split_regex(t, {re}) as p, regexp_extract_all(t, {re}) as m, regexp_extract_all(t, {re}, {group}) as g, {least} as least from d"
+    found = [one.format(kind=r.kind, i=i, group=r.group, least=r.least, re="'" + r.java.replace("'", "''") + "'") for i, r in enumerate(BASE + MORE)]
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+f as ({" union all ".join(found)}),
+s as (select doc_id, kind, n, least, unnest(range(len(m))) as i, p, m, g from f),
+x as (select doc_id, kind, n, list_sum(list_transform(p[1:i + 1], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i], lambda y: length(y))), 0) as start,
+      length(m[i + 1]) as size from s where length(g[i + 1]) >= least),
+l as (select doc_id, count(*) filter (n = 0) as n_assign, count(*) filter (n = 1) as n_access, count(*) filter (n = 2) as n_hex,
+      string_agg(kind || ':' || start || ':' || (start + size), ',' order by start, n) as spans,
+      string_agg(kind || ':' || start || ':' || (start + size), ',' order by start, n) filter (n < 3) as base from x group by doc_id)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from documents left join l using (doc_id)"""
+
+
+@query("op12_secret_scan", _secrets_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bourselake.llm.secret_scan import BASE, find_secrets
+
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*[r.kind for r in BASE]))
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    counts = [F.size(of(r.kind)).cast("long").alias(f"n_{r.kind}") for r in BASE]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
