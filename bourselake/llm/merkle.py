@@ -164,7 +164,7 @@ class Tree(NamedTuple):
 def climb(leaves: DataFrame, height: int = HEIGHT) -> Tree:
     """Trees over leaves (tree, place, n, digest): one round for ``height`` levels, until each tree has one node."""
     levels = [leaves.select("tree", "place", "n", "digest")]
-    while (most := levels[-1].agg(F.max("n")).first()[0]) is not None and (most > 1 or len(levels) == 1):
+    while len(levels) == 1 or (levels[-1].agg(F.max("n")).first()[0] or 0) > 1:
         nodes = levels[-1].select("tree", F.floor(F.col("place") / RUN**height).alias("block"), "place", "n", "digest")
         nodes = nodes.repartition("tree", "block").sortWithinPartitions("tree", "block", "place")
         levels.append(cut(nodes.mapInArrow(partial(_raise, height=height), _NODE_SQL)))

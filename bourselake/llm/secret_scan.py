@@ -115,6 +115,10 @@ def _meaning(nodes: list) -> tuple[set[str] | None, Query]:
             found, asked = _meaning(item)
             if found is not None and most is not parts.MAXREPEAT and len(found) ** most <= MOST_TEXTS and most <= 8:
                 texts = {"".join(c) for n in range(least, most + 1) for c in product(found, repeat=n)}
+            elif least and found is not None and len(stretch) * len(found) <= MOST_TEXTS:
+                # its first time follows what stands before, its last time leads on
+                query, whole, stretch = _all(query, _held({a + b for a in stretch for b in found})), False, found
+                continue
             elif least:
                 inner = asked if found is None else _held(found)
         if texts is not None and len(stretch) * len(texts) <= MOST_TEXTS:
