@@ -11,17 +11,21 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bourselake.llm.common import cut, text_slices, word_bounds
 from bourselake.llm.near_dedup import near_duplicates
 
 #: Length of a bin.
 CAPACITY = 2048
-#: Documents that are packed together; bins do not reach across.
+#: Documents that are packed together, at most; bins do not reach across.
 TOGETHER = 8192
+#: Groups are dealt by hash, of such a share of TOGETHER on average that hardly any grows beyond it.
+FILL = 0.9
 
 SCHEMA = "doc_id long, part int, start long, length long, bin_id long, bin_start long"
 
@@ -74,30 +78,38 @@ def _number(values: pd.Series) -> list[int | None]:
 
 
 def _pack(frames: Iterator[pd.DataFrame], capacity: int, together: int) -> Iterator[pd.DataFrame]:
-    context, bins, waiting = TaskContext.get(), 0, []
-    base = (context.partitionId() if context else 0) << 36
+    """Frames of rows in the order of their groups; one larger than ``together`` is packed in parts."""
+    group, bins = None, 0
+    waiting: list[pd.DataFrame] = []
 
-    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+    def packed() -> pd.DataFrame:
         nonlocal bins
+        rows = pd.concat(waiting, ignore_index=True)
+        waiting.clear()
         placed = pack(list(zip(rows["length"].astype(int), _number(rows["source"]), _number(rows["cluster"]), strict=True)), capacity)
         out = pd.DataFrame(placed, columns=["item", "start", "length", "bin_id", "bin_start"])
         out["doc_id"] = rows["doc_id"].to_numpy()[out["item"]]
         out["part"] = (out["start"] // capacity).astype("int32")
-        used = int(out["bin_id"].max()) + 1 if len(out) else 0
-        out["bin_id"] += base + bins
+        used = int(out["bin_id"].max()) + 1
+        out["bin_id"] += (group << 36) + bins
         bins += used
         return out[[c.split()[0] for c in SCHEMA.split(", ")]]
 
     for frame in frames:
         frame["doc_id"] = frame["doc_id"].astype("Int64")
-        waiting.append(frame)
-        rows = pd.concat(waiting, ignore_index=True)
-        while len(rows) >= together:
-            yield packed(rows.iloc[:together].reset_index(drop=True))
-            rows = rows.iloc[together:]
-        waiting = [rows]
-    if waiting and len(rows := pd.concat(waiting, ignore_index=True)):
-        yield packed(rows)
+        for number, rows in frame.groupby("group", sort=False):
+            if number != group:
+                if waiting:
+                    yield packed()
+                group, bins = int(number), 0
+            while len(rows):
+                room = together - sum(map(len, waiting))
+                waiting.append(rows.iloc[:room])
+                rows = rows.iloc[room:]
+                if sum(map(len, waiting)) == together:
+                    yield packed()
+    if waiting:
+        yield packed()
 
 
 def n_words(text: Column) -> Column:
@@ -106,32 +118,52 @@ def n_words(text: Column) -> Column:
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[ \t-\r]+")))
 
 
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [np.diff(word_bounds(data, offsets)[2]) for _, data, offsets in text_slices(batch["text"])]
+        counts = pa.array(np.concatenate(words) if words else np.zeros(0, np.int64), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], counts, batch["source"], batch["same"], batch["text"].is_valid()], names=["doc_id", "words", "source", "same", "has_text"])
+
+
 def clustered(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, words, source, text, cluster) of every row of ``docs``, for best_fit: the near-duplicate components as clusters.
+    """(doc_id, words, source, text, same, cluster) of every row of ``docs``, for best_fit: the near-duplicate components as clusters.
 
     A row without doc_id is in the component of an equal text. Texts without words, which are near to nothing, and texts that
-    no row with doc_id has, are in one cluster with equal texts. Of ``text`` only whether it is null is kept.
+    no row with doc_id has, are in one cluster with equal texts. Of ``text`` only whether it is null is kept, of its content the hash same.
     """
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_words(text).alias("words"), "source", F.xxhash64(text).alias("same"), F.when(text.isNotNull(), "").alias("text"))
+    same = F.concat_ws(" ", F.xxhash64(text), F.xxhash64(F.lit(1), text))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), same.alias("same"), text.alias("text"))
+    rows = cut(rows.mapInArrow(_measure, "doc_id long, words long, source string, same string, has_text boolean"))
     labels = near_duplicates(docs, size, percent).filter("doc_id is not null").select("doc_id", "component_id").distinct()
     numbered = rows.filter("doc_id is not null").join(labels, "doc_id", "left").withColumn("component", F.when(F.col("words") > 0, F.col("component_id"))).drop("component_id")
     others = rows.filter("doc_id is null")
     known = numbered.join(others.select("same").distinct(), "same", "left_semi").groupBy("same").agg(F.min("component").alias("component"))
     both = numbered.unionByName(others.join(known, "same", "left"))
-    return both.select("doc_id", "words", "source", "text", F.coalesce(F.col("component").cast("string"), F.concat(F.lit("same "), "same")).alias("cluster"))
+    return both.select("doc_id", "words", "source", F.when(F.col("has_text"), "").alias("text"), "same", F.coalesce(F.col("component").cast("string"), F.concat(F.lit("same "), "same")).alias("cluster"))
 
 
-def best_fit(docs: DataFrame, capacity: int = CAPACITY, together: int = TOGETHER, length: Column | None = None, cluster: Column | None = None) -> DataFrame:
+def best_fit(docs: DataFrame, capacity: int = CAPACITY, together: int = TOGETHER, length: Column | None = None, cluster: Column | None = None, tie: Column | None = None) -> DataFrame:
     """Rows (doc_id, part, start, length, bin_id, bin_start): where each piece of each document lies.
 
-    ``length`` defaults to the words of ``text``, ``cluster`` to equal texts, so no bin holds two documents of a source or two
+    ``length`` defaults to the words of ``text``, null counts as 0; ``cluster`` to equal texts, so no bin holds two documents of a source or two
     copies of a text. Every row of ``docs`` is packed, repeated rows as often as they occur; an empty or null text is one
-    piece of length 0; a null source conflicts with nothing. Bins are made inside each input partition, ``together``
-    documents at a time, so nothing is shuffled, no task holds more, and what a hot source costs is bounded.
+    piece of length 0; a null source conflicts with nothing. Documents are dealt by a hash of doc_id and ``tie``, which is what else tells rows
+    apart (the text's hash by default), into groups of ``together`` at most, and bins are made inside a group, so no task holds
+    more, what a hot source costs is bounded, and the same rows give the same bins however they are partitioned.
     """
     length = n_words(F.col("text")) if length is None else length
     cluster = F.xxhash64("text") if cluster is None else cluster
-    cluster = F.when(F.col("text").isNotNull(), cluster)
-    items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), length.cast("long").alias("length"), F.col("source").cast("string").alias("source"), cluster.cast("string").alias("cluster"))
-    return items.mapInPandas(partial(_pack, capacity=capacity, together=together), SCHEMA)
+    tie = F.xxhash64("text") if tie is None else tie
+    items = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(length.cast("long"), F.lit(0)).alias("length"),
+        F.col("source").cast("string").alias("source"),
+        F.when(F.col("text").isNotNull(), cluster.cast("string")).alias("cluster"),
+        tie.cast("string").alias("tie"),
+    )
+    items = cut(items)
+    groups = -(-items.count() // max(1, int(FILL * together))) or 1
+    items = items.withColumn("group", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(groups)))
+    items = items.repartition("group").sortWithinPartitions("group", "doc_id", "tie", "source", "cluster", "length")
+    return items.select("group", "doc_id", "length", "source", "cluster").mapInPandas(partial(_pack, capacity=capacity, together=together), SCHEMA)

@@ -66,7 +66,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bourselake.llm.packing import best_fit, clustered
 
     items = clustered(table(spark, sf_dir, "documents"))
-    return best_fit(items, length=F.col("words"), cluster=F.col("cluster"))
+    return best_fit(items, length=F.col("words"), cluster=F.col("cluster"), tie=F.col("same"))
 
 
 def learnable(docs: DataFrame) -> DataFrame:

@@ -286,6 +286,17 @@ def test_packing_of_a_table(spark):
     assert len(got) == len(rows) + 4 and got["length"].sum() == sum(len((r[1] or "").split()) for r in rows)
 
 
+def test_packing_is_the_same_however_rows_are_dealt(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([i, i, None, 7]), sentence(rng, rng.randint(0, 30)), None, rng.choice([None, "a", "b", f"s{i}"])) for i in range(300)]
+    found = []
+    for n in (1, 5):
+        rng.shuffle(rows)
+        found.append(sorted(map(str, packing.best_fit(documents(spark, rows).repartition(n), capacity=64, together=50).collect())))
+    assert found[0] == found[1]
+    assert packing.best_fit(documents(spark, rows), length=F.lit(None)).agg(F.sum("length")).first()[0] == 0
+
+
 def test_packing_keeps_near_copies_apart(spark):
     rng = random.Random(8)
     words = sentence(rng, 60).split()
