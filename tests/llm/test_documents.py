@@ -4,6 +4,7 @@
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 
@@ -421,3 +422,74 @@ def test_word_hashes_are_of_words_alone():
         found += [h[a:b].tolist() for a, b in itertools.pairwise(first)]
     assert found[0] == found[1][1:] and found[2] == found[3] == [] and found[4] == found[0][1:] and found[5][1] == found[0][0]
 
+
+
+def covered(texts, least):
+    """For each text, in order, the words inside a window of ``least`` words that an earlier text has."""
+    seen, out = set(), []
+    for words in texts:
+        windows = [tuple(words[i : i + least]) for i in range(len(words) - least + 1)]
+        gone = [False] * len(words)
+        for i, w in enumerate(windows):
+            if w in seen:
+                gone[i : i + least] = [True] * least
+        seen.update(windows)
+        out.append(gone)
+    return out
+
+
+def stretches(flags):
+    edges = [i for i in range(len(flags) + 1) if (i > 0 and flags[i - 1]) != (i < len(flags) and flags[i])]
+    return list(zip(edges[::2], edges[1::2], strict=True))
+
+
+def removed_words(text, spans):
+    bounds = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    return [any(x <= a and b <= y for x, y in spans) for a, b in bounds]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repeated_passages_go_whole_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    shared = [[word() for _ in range(rng.choice([15, 25, 36, 41, 51, 60, 120]))] for _ in range(12)] + [["same"] * 70, (["x", "y"] * 40)]
+    texts = []
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            words += [word() for _ in range(rng.randint(30, 90))]
+            passage = rng.choice(shared)
+            cut = rng.choice([0, 0, rng.randrange(len(passage))])
+            words += passage[cut : rng.choice([len(passage), len(passage), cut + 30])]
+        words += [word() for _ in range(rng.choice([0, 40]))]
+        texts.append(words)
+    texts += [texts[3], texts[5] + [word() for _ in range(400)]]
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(documents(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    least, whole = substring_dedup.LEAST_WORDS, substring_dedup.LEAST_WORDS + substring_dedup.WINDOW + 1
+    near = {i for i, t in enumerate(texts) for u in texts[:i] if 10 * len(shingles(" ".join(t), 5) & shingles(" ".join(u), 5)) >= 8 * len(shingles(" ".join(t), 5) | shingles(" ".join(u), 5))}
+    short = 0
+    for i, want in enumerate(covered(texts, least)):
+        gone = removed_words(" ".join(texts[i]), [tuple(s) for s in got[i].removed])
+        if i in near:
+            assert all(gone)
+            continue
+        assert not [j for j, (a, b) in enumerate(zip(gone, want, strict=True)) if a and not b]
+        for earlier in texts[:i]:
+            for x, y in stretches(covered([earlier, texts[i]], least)[1]):
+                assert y - x < whole or all(gone[x:y])
+        short += sum(not all(gone[x:y]) for x, y in stretches(want))
+    assert {60} <= near and short < 40
+
+
+def test_repeated_passages_of_the_given_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    fold = [["".join(c.lower() if c.isascii() else c for c in w) for w in re.findall(r"[^\x20\x09-\x0D]+", r.text or "")] for r in docs]
+    got = {r.doc_id: r.removed for r in substring_dedup.remove_repeats(spark.createDataFrame(docs)).collect()}
+    whole = substring_dedup.LEAST_WORDS + substring_dedup.WINDOW + 1
+    left = passages = 0
+    for r, want in zip(docs, covered(fold, substring_dedup.LEAST_WORDS), strict=True):
+        gone = removed_words(r.text or "", [tuple(s) for s in got[r.doc_id]])
+        passages += len(stretches(want))
+        left += sum(not all(gone[x:y]) for x, y in stretches(want))
+        assert all(all(gone[x:y]) for x, y in stretches(want) if y - x >= 2 * whole)
+    assert passages > 20 and left <= 0.15 * passages  # 20 to 35 words without an anchor
