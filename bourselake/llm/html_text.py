@@ -43,7 +43,9 @@ BESIDE = frozenset(
     "icon icons form field slot unit panel group row column col holder module region zone text title content body author meta count".split()
 )
 #: Elements that are article text whatever their names.
-TEXT_PARTS = frozenset("p h1 h2 h3 h4 h5 h6".split())
+TEXT_PARTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+#: Raw elements that, where they are never closed, hold nothing.
+_OPEN_ENDED = frozenset("noscript template".split())
 #: A form with so many paragraphs is wrapped around a page.
 FORM_PARAGRAPHS = 3
 OF_COMMENTS = frozenset("comment comments commentlist disqus reply replies".split())
@@ -56,7 +58,8 @@ _CLOSES_WITHIN = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",)}
 
 _TOKEN = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|[!?][^>]*+>|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>)""", re.DOTALL)
 _LOOSE = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>[^>]*+)>")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+#: One attribute, with its value, so that what stands in a value is never taken for a name.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
@@ -132,7 +135,7 @@ class Page:
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(html, at)
             if end is None:
-                return len(html)
+                return at if tag in _OPEN_ENDED else len(html)
             close = html.find(">", end.end())
             return len(html) if close < 0 else close + 1
         if tag not in VOID:  # a slash ends void elements alone

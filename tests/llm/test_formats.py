@@ -301,3 +301,82 @@ def test_pipeline(spark, sf_dir):
     assert set(packed["doc_id"]) == ids and packed.groupby("bin_id")["length"].sum().max() <= 2048
     again = corpus_pipeline.run(spark, sf_dir).toPandas()
     assert sorted(map(tuple, again[["doc_id", "part", "length"]].to_numpy().tolist())) == sorted(map(tuple, packed[["doc_id", "part", "length"]].to_numpy().tolist()))
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<p title="the hidden fort">{0}</p>',
+        '<p>{0} <a href="/hidden/x">{0}</a></p>',
+        '<div data-hidden="false"><p>{0}</p></div>',
+        '<section data-id="comments"><p>{0}</p></section>',
+        '<div data-class="footer"><p>{0}</p></div>',
+        "<p data-style='display:none'>{0}</p>",
+        '<section data-note="id=sidebar"><p>{0}</p></section>',
+        "<section data-note='class=\"footer\" hidden'><p>{0}</p></section>",
+        "<section data-class=sidebar data-x=hidden><p>{0}</p></section>",
+        '<blockquote class="side"><p>{0}</p></blockquote>',
+        "<noscript><p>{0}</p>",
+        "<template><p>{0}</p>",
+    ],
+)
+def test_values_and_other_names_cut_nothing(part):
+    text = "The garrison left the valley before the snow came and nobody wrote down why."
+    html = f"<html><body><nav><a href='/'>Home</a></nav><article><p>{text}</p>{part.format('A word about the ' + text)}<p>{text}</p></article></body></html>"
+    got = html_text.main_text(html)
+    assert got.startswith(text) and got.endswith(text) and "A word about the" in got and "Home" not in got
+
+
+@pytest.mark.parametrize("part", ['<div hidden><p>{0}</p></div>', "<div class=sidebar><p>{0}</p></div>", "<div id='footer'><p>{0}</p></div>", '<div data-x="1" style="display: none"><p>{0}</p></div>'])
+def test_own_names_still_cut(part):
+    text = "The garrison left the valley before the snow came and nobody wrote down why."
+    got = html_text.main_text(f"<html><body><article><p>{text}</p>{part.format('Not this.')}<p>{text}</p></article></body></html>")
+    assert got == f"{text} {text}"
+
+
+def plain_density(page, off, i):
+    """The composite density of a node from its own subtree, walked anew."""
+    from math import e, log
+
+    def inside(j, k):
+        while j != k and j:
+            j = page.parents[j]
+        return j == k
+
+    def linked(j):
+        while j:
+            if page.tags[j] == "a":
+                return True
+            j = page.parents[j]
+        return False
+
+    nodes = range(len(page.tags))
+    size = lambda k, only_links=False: sum(len("".join(t.split())) for j, t in page.texts if t and not off[j] and inside(j, k) and (linked(j) or not only_links))
+    body = next((j for j in nodes if page.tags[j] == "body"), 0)
+    below = [j for j in nodes if j != i and j and not off[j] and inside(j, i)]
+    c, lc, t, lt = size(i), size(i, True), max(len(below), 1), max(sum(page.tags[j] == "a" for j in below), 1)
+    if not c:
+        return 0.0
+    share = size(body, True) / size(body)
+    base = log(c / max(c - lc, 1) * lc + share * c + e)
+    return c / t * max(log(c / max(lc, 1) * t / lt), 0.0) / max(log(max(base, 1.0001)) + 1, 1)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_densities_against_brute_force(seed):
+    rng = random.Random(seed)
+
+    def part(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            tag = rng.choice(["div", "p", "a", "span", "nav", "section"])
+            inner = part(depth - 1) if depth and tag != "p" else " ".join("word" * rng.randint(1, 3) for _ in range(rng.randint(0, 12)))
+            out.append(f"<{tag}>{inner}</{tag}>")
+        return "".join(out)
+
+    page = html_text.Page(f"<html><body>{part(3)}some text</body></html>")
+    off, _ = html_text._off(page)
+    _, _, densities = html_text._densities(page, off)
+    for i in range(len(page.tags)):
+        want = 0.0 if off[i] else plain_density(page, off, i)
+        assert densities[i] == pytest.approx(want, rel=1e-9), (page.tags[i], i)
