@@ -1,6 +1,7 @@
 """Files read back, and streams against the same transformation on a batch."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from bourselake.operators import merge
 from bourselake.plans import pages
 from bourselake.plans.marts import Marts
 from bourselake.sinks import csv_exports, reports
+from bourselake.sinks.versioned_store import StoreConflict
 from bourselake.sources import csv_files
 from bourselake.streaming import ticks
 
@@ -110,24 +112,69 @@ def test_overlay_stream(spark, m, sf_dir, tmp_path):
     assert same(spark.read.parquet(str(tmp_path / "out")), ticks.overlay_stream(ticks.gate(m.ticks), tick_screen(m)))
 
 
+def files(root):
+    return {str(p) for p in root.rglob("*.parquet")}
+
+
+COLS = ["symbol", "date", "close", "ycp", "change", "change_percent", "volume", "pe", "high", "low", "value_mn", "source"]
+
+
 def test_settlement_micro_batches(spark, m, tmp_path):
-    src = str(tmp_path / "in")
-    cols = ["symbol", "date", "close", "ycp", "change", "change_percent", "volume", "pe", "high", "low", "value_mn", "source"]
-    day = m.prices_incoming.filter("seq = 1").withColumns({"ycp": F.col("close") - 1.0, "change": F.lit(None).cast("double"), "change_percent": F.lit(None).cast("double"), "pe": F.lit(None).cast("double")}).select(cols)
+    src, root = str(tmp_path / "in"), tmp_path / "store"
+    day = m.prices_incoming.filter("seq = 1").withColumns({"ycp": F.col("close") - 1.0, "change": F.lit(None).cast("double"), "change_percent": F.lit(None).cast("double"), "pe": F.lit(None).cast("double")}).select(COLS)
     day.coalesce(1).write.parquet(src)
     # A second arrival holds an unusable close and must be skipped as a whole.
     day.limit(5).withColumn("close", F.lit(0.0)).coalesce(1).write.mode("append").parquet(src)
     s = spark.readStream.schema(day.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(src)
-    base, out = m.prices.select(cols), str(tmp_path / "snap")
-    ticks.run_available(s, str(tmp_path / "cp"), ticks.settle_batch(spark, base, out)).awaitTermination()
-    batches = sorted(p.name for p in (tmp_path / "snap").iterdir())
-    assert len(batches) == 2
-    assert same(spark.read.parquet(f"{out}/{batches[-1]}"), merge.upsert_daily_close(base, day).rows)
+    base, store = m.prices.select(COLS), ticks.market_store(spark, str(root))
+    store.commit({"prices": (base, None)})
+    ticks.run_available(s, str(tmp_path / "cp"), ticks.settle_batch(store)).awaitTermination()
+    assert store.manifest().batches == {"settlement": 1}
+    assert same(store.read("prices"), merge.upsert_daily_close(base, day).rows)
+
+
+def test_a_batch_rewrites_only_what_it_touches_and_once(spark, m, tmp_path):
+    root = tmp_path / "store"
+    store = ticks.market_store(spark, str(root))
+    base = m.prices.select(COLS)
+    store.commit({"prices": (base, None), "index": (m.index, None)})
+    before, run = files(root), ticks.settle_batch(store)
+    day = m.prices.filter("date = '1996-03-13'").withColumn("close", F.col("close") + 1.0).select(COLS)
+    run(day, 0)
+    new = files(root) - before
+    size = sum(os.path.getsize(f) for f in new)
+    assert new and all("_part=1996-03/" in f for f in new) and size < 0.1 * sum(os.path.getsize(f) for f in before if "/prices/" in f)
+    after = store.manifest()
+    run(day.withColumn("close", F.col("close") + 7.0), 0)
+    assert store.manifest() == after and files(root) - before == new
+    assert same(store.read("prices"), merge.upsert_daily_close(base, day).rows)
+    assert store.read("prices", ["1996-03"]).filter("date not between '1996-03-01' and '1996-03-31'").isEmpty()
+    store.drop_old(keep=1)
+    assert same(store.read("prices"), merge.upsert_daily_close(base, day).rows) and same(store.read("index"), m.index)
+    assert not [f for f in files(root) if "_part=1996-03/" in f and f not in new and "/prices/" in f]
+
+
+def test_a_failed_commit_leaves_every_table_as_it_was(spark, m, tmp_path):
+    store = ticks.market_store(spark, str(tmp_path / "store"))
+    before = store.commit({"prices": (m.prices.select(COLS), None), "index": (m.index, None), "roster": (m.roster, None)})
+    broken = m.roster.withColumn("name", F.raise_error(F.lit("no more")).cast("string"))
+    with pytest.raises(Exception, match="no more"):
+        store.commit({"prices": (m.prices.select(COLS).limit(3), None), "index": (m.index.limit(1), None), "roster": (broken, None)})
+    assert store.manifest() == before and same(store.read("index"), m.index)
+    store.commit({"index": (m.index.limit(0), [])})
+    with pytest.raises(StoreConflict):
+        store.commit({"index": (m.index.limit(1), None)}, base=before)
+    with pytest.raises(ValueError, match="does not name"):
+        store.commit({"index": (m.index, ["1992"])})
+    assert same(store.read("index"), m.index) and same(store.read("roster"), m.roster)
+    assert store.read("index", ["1800"]).isEmpty() and store.read("index", ["1800"]).schema == m.index.schema
 
 
 def test_delta_micro_batch(spark, m, tmp_path):
-    src, out = str(tmp_path / "in"), str(tmp_path / "snap")
+    src = str(tmp_path / "in")
+    store = ticks.market_store(spark, str(tmp_path / "store"))
+    store.commit({"fundamentals": (m.fundamentals, None)})
     m.fundamentals_incoming.coalesce(1).write.parquet(src)
     s = spark.readStream.schema(m.fundamentals_incoming.schema).parquet(src)
-    ticks.run_available(s, str(tmp_path / "cp"), ticks.delta_batch(spark, m.fundamentals, out)).awaitTermination()
-    assert same(spark.read.parquet(f"{out}/batch=000000000000"), merge.fundamentals_delta(m.fundamentals, m.fundamentals_incoming).rows)
+    ticks.run_available(s, str(tmp_path / "cp"), ticks.delta_batch(store)).awaitTermination()
+    assert same(store.read("fundamentals"), merge.fundamentals_delta(m.fundamentals, m.fundamentals_incoming).rows)
