@@ -10,10 +10,10 @@ from bourselake.plans.catalog import query
 from bourselake.plans.oracle import allows, fx, tier
 
 
-def merge_sql(existing: str, incoming: str, keys: list[str], policy: dict[str, str], *, tiered: bool = False, guard: str = "true") -> str:
-    """Reference result of an upsert; ``incoming`` carries ``seq``."""
+def merge_sql(existing: str, incoming: str, keys: list[str], policy: dict[str, str], *, tiered: bool = False, guard: str = "true", plain: bool = False) -> str:
+    """Reference result of an upsert; ``incoming`` carries ``seq``. With ``plain`` keys are never null and compare by equality."""
     k = ", ".join(keys)
-    on = lambda a, b: " AND ".join(f"{a}.{x} IS NOT DISTINCT FROM {b}.{x}" for x in keys)
+    on = lambda a, b: " AND ".join(f"{a}.{x} {'=' if plain else 'IS NOT DISTINCT FROM'} {b}.{x}" for x in keys)
     pick = ", ".join(f"arg_max({c}, seq) AS {c}" if p == "coalesce" else f"last({c} ORDER BY seq) AS {c}" for c, p in policy.items())
     ok = f"WHERE {allows('e.source', 'i.source')}" if tiered else ""
     out = []
@@ -52,28 +52,19 @@ def _(m):
 
 
 _J2 = {c: "replace" for c in ("close", "ycp", "change", "change_percent", "volume", "pe")} | {c: "coalesce" for c in ("high", "low", "value_mn", "source")}
-_J2_BATCH = f"""SELECT symbol, date, seq, close, ycp, coalesce(given, CASE WHEN ycp > 0 THEN {fx("(close - ycp)")} END) AS change,
-  CASE WHEN ycp > 0 THEN {fx("((close - ycp) / ycp * 100.0::DOUBLE)")} END AS change_percent, volume, close / 100.0::DOUBLE AS pe, high, low, value_mn, source
-  FROM (SELECT *, CASE WHEN seq = 1 THEN close - 1.25::DOUBLE END AS ycp, CASE WHEN key % 2 = 0 THEN 0.5::DOUBLE END AS given FROM prices_incoming)"""
-
-
 def _daily_batch(m):
     b = m.prices_incoming.withColumn("ycp", F.when(F.col("seq") == 1, F.col("close") - 1.25))
     b = b.withColumn("change", F.when(F.col("key") % 2 == 0, F.lit(0.5))).withColumn("change_percent", F.lit(None).cast("double"))
     return b.withColumn("pe", F.col("close") / 100.0)
 
 
-@query("j2_upsert_daily_close", "prices prices_incoming", merge_sql("prices", _J2_BATCH, _K, _J2, tiered=True))
+@query("j2_upsert_daily_close", "stored_prices daily_batch", merge_sql("stored_prices", "SELECT * FROM daily_batch", _K, _J2, tiered=True, plain=True))
 def upsert_daily_close(m):
     return _cols(merge.upsert_daily_close(m.prices, _daily_batch(m), seq="seq").rows, _K, _J2)
 
 
 _J3 = {c: "replace" for c in ("open", "high", "low", "close", "ycp", "change", "change_percent", "volume", "value_mn", "pe")} | {"source": "coalesce"}
-_J3_BATCH = """SELECT *, CASE WHEN seq = 1 THEN close - 1.25::DOUBLE END AS ycp, CASE WHEN key % 2 = 0 THEN 0.5::DOUBLE END AS change,
-  CAST(NULL AS DOUBLE) AS change_percent, close / 100.0::DOUBLE AS pe FROM prices_incoming"""
-
-
-@query("j3_upsert_symbol_history", "prices prices_incoming", merge_sql("prices", _J3_BATCH, _K, _J3, tiered=True))
+@query("j3_upsert_symbol_history", "stored_prices history_batch", merge_sql("stored_prices", "SELECT * FROM history_batch", _K, _J3, tiered=True, plain=True))
 def _(m):
     return _cols(merge.upsert_symbol_history(m.prices, _daily_batch(m), seq="seq").rows, _K, _J3)
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from bourselake.operators import merge
 from bourselake.plans.catalog import query
-from bourselake.plans.catalog_merge import _F, _J2, _J2_BATCH, _J7_GUARD, _J8, _J8_CHANGED, _K, _cols, _daily_batch, merge_sql
+from bourselake.plans.catalog_merge import _F, _J2, _J7_GUARD, _J8, _J8_CHANGED, _K, _cols, _daily_batch, merge_sql
 from bourselake.plans.oracle import fx
-from bourselake.streaming import ticks
+from bourselake.session import shared_folder
+from bourselake.sinks.versioned_store import VersionedStore
+from bourselake.streaming import price_gate, ticks
 
 
 def _ticks(m):
@@ -20,6 +24,32 @@ def _(m):
     return _ticks(m).select("symbol", "event_id", "ltp")
 
 
+_TICK_DAYS = """(SELECT *, lag(last_close) OVER (PARTITION BY symbol ORDER BY date) AS prev FROM (
+   SELECT symbol, CAST(ts AS DATE) AS date, arg_min(ltp, (ts, event_id)) AS close, arg_max(ltp, (ts, event_id)) AS last_close, count(*) AS records FROM ticks GROUP BY 1, 2))"""
+_TICK_GATE = f"""SELECT symbol, date, close, prev AS prev_close, records,
+   CASE WHEN coalesce(close, 0) <= 0 THEN 'non_positive_close' ELSE '' END AS errors,
+   concat_ws(',', CASE WHEN records > 1 THEN 'duplicate_day' END, CASE WHEN close > 0 AND prev > 0 AND (close / prev > 3.0 OR close / prev < 0.25) THEN 'price_swing' END) AS warnings FROM {_TICK_DAYS}"""
+
+
+def _listed(gated):
+    return gated.select("symbol", "date", "close", "prev_close", "records", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"))
+
+
+@query("o1_tick_gate_days", "ticks", _TICK_GATE)
+def _(m):
+    return _listed(price_gate.gate_days(m.ticks))
+
+
+@query("o1_tick_gate_stream", "ticks", f"SELECT * FROM ({_TICK_GATE}) WHERE date + 1 <= (SELECT max(ts) FROM ticks) - INTERVAL 1 HOUR")
+def tick_gate_stream(m):
+    """The same gate as a stream over the tick files, until all that has arrived is processed: the days that the watermark has passed."""
+    price_gate.use_keyed_state(m.spark)
+    folder = f"{shared_folder(m.spark)}/gate-{uuid.uuid4().hex}"
+    gated = _listed(price_gate.gate_days(ticks.read_ticks(m.spark, m.path, "events.parquet")))
+    ticks.write_available(gated, f"{folder}/days", f"{folder}/checkpoint").awaitTermination()
+    return m.spark.read.schema(gated.schema).parquet(f"{folder}/days")
+
+
 @query("o2_latest_tick", "ticks", "SELECT symbol, arg_max(ltp, (ts, event_id)) AS ltp FROM ticks WHERE ltp > 0 GROUP BY symbol")
 def _(m):
     return ticks.latest_tick(_ticks(m)).select("symbol", "ltp")
@@ -54,11 +84,31 @@ def _(m):
     return o.select("event_id", "symbol", "ltp", "ycp", "change", "change_percent", "daily_pe")
 
 
-@query("o5_settlement_batch", "prices prices_incoming", merge_sql("prices", _J2_BATCH, _K, _J2, tiered=True))
+@query("o5_settlement_batch", "stored_prices daily_batch", merge_sql("stored_prices", "SELECT * FROM daily_batch", _K, _J2, tiered=True, plain=True))
 def _(m):
     return _cols(merge.upsert_daily_close(m.prices, _daily_batch(m), seq="seq").rows, _K, _J2)
 
 
+def new_store(m) -> VersionedStore:
+    """A store of its own in the folder that the cluster shares."""
+    return ticks.market_store(m.spark, f"{shared_folder(m.spark)}/store-{uuid.uuid4().hex}")
+
+
+_FIRST = "(" + merge_sql("stored_prices", "SELECT * FROM daily_batch WHERE seq = 1", _K, _J2, tiered=True, plain=True) + ")"
+
+
+@query("o5_settlement_writer", "stored_prices daily_batch", merge_sql(_FIRST, "SELECT * FROM daily_batch WHERE seq = 2", _K, _J2, tiered=True, plain=True))
+def settlement_writer(m):
+    """Two batches, the day's records and then the corrections, and the first one again, which must change nothing."""
+    store, batch = new_store(m), _daily_batch(m)
+    store.commit({"prices": (m.prices, None)})
+    run = ticks.settle_batch(store, seq="seq")
+    for number, seq in ((0, 1), (1, 2), (0, 1)):
+        run(batch.filter(F.col("seq") == seq), number)
+        store.drop_old()
+    return _cols(store.read("prices"), _K, _J2)
+
+
 @query("o6_drop_repeats", "ticks", "SELECT DISTINCT symbol, event_id, ltp FROM ticks WHERE ltp > 0")
 def _(m):
     t = _ticks(m)
@@ -68,3 +118,15 @@ def _(m):
 @query("o7_fundamentals_delta_batch", "fundamentals fundamentals_incoming", merge_sql("fundamentals", f"SELECT * REPLACE ('Provisional' AS audit_status), 0 AS seq FROM ({_J8_CHANGED})", _F, _J8, guard=_J7_GUARD))
 def _(m):
     return _cols(merge.fundamentals_delta(m.fundamentals, m.fundamentals_incoming).rows, _F, _J8)
+
+
+@query("o7_delta_writer", "fundamentals fundamentals_incoming", merge_sql("fundamentals", f"SELECT * REPLACE ('Provisional' AS audit_status), 0 AS seq FROM ({_J8_CHANGED})", _F, _J8, guard=_J7_GUARD))
+def delta_writer(m):
+    """The disclosures of the years before 1996 and those from then on, each batch twice; no year is written by both."""
+    store, batch = new_store(m), m.fundamentals_incoming
+    store.commit({"fundamentals": (m.fundamentals, None)})
+    run = ticks.delta_batch(store)
+    for number, part in ((0, F.col("fiscal_year") < 1996), (1, F.col("fiscal_year") >= 1996), (1, F.col("fiscal_year") >= 1996), (0, F.col("fiscal_year") < 1996)):
+        run(batch.filter(part), number)
+    store.drop_old(keep=1)
+    return _cols(store.read("fundamentals"), _F, _J8)

@@ -122,6 +122,18 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
               CASE WHEN seq = 2 THEN close + 1.0::DOUBLE ELSE close END AS close, CASE WHEN seq = 2 THEN NULL ELSE high END AS high)
             FROM (SELECT *, unnest(CASE WHEN day(date) = 17 THEN [1, 2] ELSE [1] END) AS seq FROM ({bars("l_returnflag <> 'N'")}))""",
     ),
+    "stored_prices": (("prices",), "SELECT * FROM prices"),
+    "daily_batch": (
+        ("prices_incoming",),
+        f"""SELECT symbol, date, seq, close, ycp, coalesce(given, CASE WHEN ycp > 0 THEN {fx("(close - ycp)")} END) AS change,
+              CASE WHEN ycp > 0 THEN {fx("((close - ycp) / ycp * 100.0::DOUBLE)")} END AS change_percent, volume, close / 100.0::DOUBLE AS pe, high, low, value_mn, source
+            FROM (SELECT *, CASE WHEN seq = 1 THEN close - 1.25::DOUBLE END AS ycp, CASE WHEN key % 2 = 0 THEN 0.5::DOUBLE END AS given FROM prices_incoming)""",
+    ),
+    "history_batch": (
+        ("prices_incoming",),
+        """SELECT *, CASE WHEN seq = 1 THEN close - 1.25::DOUBLE END AS ycp, CASE WHEN key % 2 = 0 THEN 0.5::DOUBLE END AS change,
+             CAST(NULL AS DOUBLE) AS change_percent, close / 100.0::DOUBLE AS pe FROM prices_incoming""",
+    ),
     "market_index": (("prices",), index_of("true")),
     "ds30": (
         ("prices",),
@@ -263,6 +275,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+#: Views that are computed once and not copied into what reads them.
+MATERIALIZED = ("stored_prices", "daily_batch", "history_batch")
+
+
 def with_views(names: str, body: str) -> str:
     """``body`` under the common table expressions it reads, each with what it depends on."""
     ordered: list[str] = []
@@ -277,7 +293,7 @@ def with_views(names: str, body: str) -> str:
         visit(n)
     if not ordered:
         return body.strip()
-    head = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in ordered)
+    head = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in MATERIALIZED else ''}({VIEWS[n][1]})" for n in ordered)
     text = body.strip()
     if text.upper().startswith("WITH "):
         return f"WITH {head},\n{text[5:]}"
