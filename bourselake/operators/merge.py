@@ -467,6 +467,10 @@ def promote_prices(main: DataFrame, staged: DataFrame) -> DataFrame:
     return prune_orphans(upsert_symbol_history(main, payload).rows, clean_keys(payload, ["symbol", "date"]), ["symbol", "date"], scope=["symbol"])
 
 
+#: The tables that a promotion covers.
+PROMOTED = ("prices", "index", "fundamentals", "roster", "shareholding")
+
+
 def promote(main: dict[str, DataFrame], staged: dict[str, DataFrame], gate: DataFrame, *, as_of) -> dict[str, DataFrame]:
     """Promote staging to main when the audit gate shows no errors; otherwise, or when nothing was audited, main stays as it is.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bourselake.operators import merge
+from bourselake.operators import audits, merge
 from bourselake.operators.lookups import one_row_per_day
 from bourselake.plans.catalog import query
 from bourselake.plans.oracle import allows, fx, tier
@@ -367,6 +367,112 @@ def _(m):
     return _cols(merge.promote_prices(main, staged), _K, _J14)
 
 
+def _promotion_store(m):
+    from bourselake.plans.catalog_streaming import new_store
+
+    store = new_store(m)
+    main = m.prices.withColumn("source", F.when(F.col("key") % 3 == 1, "STAGING_DB").otherwise(F.col("source")))
+    store.commit({name: (rows, None) for name, rows in {"prices": main, "index": m.index, "fundamentals": m.fundamentals, "roster": m.roster, "shareholding": m.shareholding}.items()})
+    return store
+
+
+def _staged(m):
+    """Staged tables that pass their gates: other prices, index levels a point higher, statements of a second source, a new roster, later holdings."""
+    null = F.lit(None).cast("double")
+    return {
+        "prices": m.prices_existing.withColumns({c: null for c in ("ycp", "change", "change_percent", "pe")}).withColumn("seq", F.lit(1)),
+        "index": audits.cleaned(audits.audit_index(m.index.withColumn("index_value", F.col("index_value") + 1.0))),
+        "fundamentals": audits.cleaned(audits.with_checks(m.fundamentals_incoming.withColumn("seq", F.lit(1)), audits.statement_checks()[0])),
+        "roster": m.roster_incoming,
+        "shareholding": audits.cleaned(audits.audit_shareholding(m.shareholding.withColumn("as_of_date", F.date_add("as_of_date", 31)))),
+    }
+
+
+def _promoted(m, staged):
+    """What lies in the five tables after a promotion, in one form: table, key, value, source or state."""
+    from bourselake.sinks.promotion import promote_to_store
+
+    store = _promotion_store(m)
+    gate = audits.staging_audit(staged["prices"], staged["fundamentals"], staged["shareholding"], staged["index"], "seq")
+    promote_to_store(store, staged, gate, as_of=m.as_of)
+    at = store.manifest()
+    form = lambda name, key, value, label: store.read(name, at=at).select(F.lit(name).alias("table"), key.alias("key"), F.col(value).alias("value"), F.col(label).alias("label"))
+    day, year = F.concat_ws("|", "symbol", F.col("date").cast("string")), F.concat_ws("|", "symbol", F.col("fiscal_year").cast("string"))
+    rows = form("prices", day, "close", "source").unionByName(form("index", F.col("date").cast("string"), "index_value", "source"))
+    rows = rows.unionByName(form("fundamentals", year, "eps_basic", "source")).unionByName(form("roster", F.col("symbol"), "face_value", "trading_status"))
+    held = store.read("shareholding", at=at)
+    return rows.unionByName(held.select(F.lit("shareholding").alias("table"), F.col("symbol").alias("key"), F.col("sponsor_pct").alias("value"), F.col("as_of_date").cast("string").alias("label")))
+
+
+def _tables_sql(prices: str, index: str, fundamentals: str, roster: str, shareholding: str) -> str:
+    return f"""SELECT 'prices' AS "table", symbol || '|' || CAST(date AS VARCHAR) AS key, close AS value, source AS label FROM {prices}
+      UNION ALL SELECT 'index', CAST(date AS VARCHAR), index_value, source FROM {index}
+      UNION ALL SELECT 'fundamentals', symbol || '|' || fiscal_year, eps_basic, source FROM {fundamentals}
+      UNION ALL SELECT 'roster', symbol, face_value, trading_status FROM {roster}
+      UNION ALL SELECT 'shareholding', symbol, sponsor_pct, CAST(as_of_date AS VARCHAR) FROM {shareholding}"""
+
+
+_MAIN_PRICES = "(SELECT * REPLACE (CASE WHEN key % 3 = 1 THEN 'STAGING_DB' ELSE source END AS source) FROM stored_prices)"
+_UNCHANGED = _tables_sql(_MAIN_PRICES, "market_index", "fundamentals", "roster", "shareholding")
+_PRICES_AFTER = f"""(SELECT * FROM ({merge_sql(_MAIN_PRICES, "SELECT * REPLACE ('STAGING_DB' AS source), 0 AS seq FROM prices_existing", _K, _J14, tiered=True, plain=True)}) x
+   WHERE source <> 'STAGING_DB' OR EXISTS (SELECT 1 FROM prices_existing p WHERE p.symbol = x.symbol AND p.date = x.date) OR NOT EXISTS (SELECT 1 FROM prices_existing p WHERE p.symbol = x.symbol))"""
+_INDEX_AFTER = merge_sql("market_index", "SELECT * REPLACE (index_value + 1.0::DOUBLE AS index_value, 'STAGING_DB' AS source), 0 AS seq FROM market_index WHERE index_value + 1.0::DOUBLE BETWEEN 500 AND 20000", ["date"], _J4C, tiered=True)
+_ROSTER_AFTER = """(SELECT symbol, coalesce(n.face_value, o.face_value) AS face_value, CASE WHEN n.here THEN 'Active' WHEN o.trading_status = 'Active' THEN 'Delisted' ELSE o.trading_status END AS trading_status
+   FROM (SELECT *, true AS here FROM roster) o FULL JOIN (SELECT *, true AS here FROM roster_incoming) n USING (symbol))"""
+_GOOD_HOLDINGS = "SELECT * REPLACE (as_of_date + 31 AS as_of_date), 0 AS seq FROM shareholding WHERE " + " AND ".join(f"{h}_pct BETWEEN 0 AND 100" for h in ("sponsor", "govt", "institute", "foreign", "public"))
+_GOOD_HOLDINGS += " AND abs(sponsor_pct + govt_pct + institute_pct + foreign_pct + public_pct - 100.0) <= 1.0"
+_GOOD_STATEMENTS = f"""SELECT * REPLACE ('STAGING_DB' AS source, 'Audited' AS audit_status), 0 AS seq FROM fundamentals_incoming WHERE NOT (fiscal_year < 1990 OR fiscal_year > 2050
+   OR coalesce(dps < 0 OR bonus_pct < 0 OR short_term_loan_mn < 0 OR long_term_loan_mn < 0 OR revenue_mn < 0 OR gross_profit_mn > revenue_mn OR total_assets_mn < 0 OR total_liabilities_mn < 0
+     OR abs(free_cash_flow_mn - {fx("(operating_cash_flow_mn - capex_mn)")}) > 0.05, false))"""
+_VIEWS = "stored_prices prices_existing market_index fundamentals fundamentals_incoming roster roster_incoming shareholding"
+
+
+@query(
+    "j14_promotion_passed", _VIEWS,
+    _tables_sql(
+        _PRICES_AFTER, f"({_INDEX_AFTER})", "(" + merge_sql("fundamentals", _GOOD_STATEMENTS, _F, _J7S, guard="e.audit_status IS DISTINCT FROM 'Audited'") + ")",
+        _ROSTER_AFTER, "(" + merge_sql("shareholding", _GOOD_HOLDINGS, ["symbol"], _J6S) + ")",
+    ),
+)
+def promotion_passed(m):
+    return _promoted(m, _staged(m))
+
+
+@query("j14_promotion_failed", _VIEWS, _UNCHANGED)
+def _(m):
+    return _promoted(m, _staged(m) | {"prices": m.prices_dirty})
+
+
+@query("j14_promotion_empty", _VIEWS, _UNCHANGED)
+def _(m):
+    return _promoted(m, {name: rows.limit(0) for name, rows in _staged(m).items()})
+
+
+_STATEMENT_FIELDS = ("eps_basic", "nav_per_share", "dps")
+_STATEMENT_CONFLICTS = " UNION ALL ".join(
+    f"SELECT symbol, fiscal_year, '{f}' AS field, i.{f} AS v, i.source AS s FROM fundamentals e JOIN fundamentals_incoming i USING (symbol, fiscal_year) WHERE i.{f} IS DISTINCT FROM e.{f}" for f in _STATEMENT_FIELDS
+)
+
+
+@query(
+    "j12_resolve_statements", "fundamentals fundamentals_incoming",
+    f"""WITH q AS (SELECT * FROM ({_STATEMENT_CONFLICTS}) WHERE fiscal_year % 3 = 0),
+        p AS (SELECT symbol, fiscal_year, {", ".join(f"max(CASE WHEN field = '{f}' THEN 1 END) AS has_{f}, max(CASE WHEN field = '{f}' THEN v END) AS {f}" for f in _STATEMENT_FIELDS)}, any_value(s) AS s FROM q GROUP BY ALL)
+        SELECT e.symbol, e.fiscal_year, {", ".join(f"CASE WHEN has_{f} = 1 THEN p.{f} ELSE e.{f} END AS {f}" for f in _STATEMENT_FIELDS)}, CASE WHEN p.symbol IS NULL THEN e.source ELSE coalesce(p.s, 'USER_APPROVED_OVERRIDE') END AS source
+        FROM fundamentals e LEFT JOIN p USING (symbol, fiscal_year)""",
+)
+def _(m):
+    keys = ["symbol", "fiscal_year"]
+    old = m.fundamentals.select(*keys, *[F.col(f).alias(f"o_{f}") for f in _STATEMENT_FIELDS])
+    new = m.fundamentals_incoming.select(*keys, F.col("source").alias("incoming_source"), *_STATEMENT_FIELDS).join(old, keys)
+    one = lambda f: F.when(~F.col(f).eqNullSafe(F.col(f"o_{f}")), F.struct(F.lit(f).alias("field_name"), F.col(f).alias("incoming_value")))
+    found = new.select(*keys, "incoming_source", F.explode(F.array_compact(F.array(*[one(f) for f in _STATEMENT_FIELDS]))).alias("c")).select(*keys, "incoming_source", "c.*")
+    found = found.withColumns({"id": F.concat_ws("|", "symbol", "fiscal_year", "field_name"), "target_table": F.lit("fundamentals_history"), "status": F.lit(merge.PENDING)})
+    decided = found.filter(F.col("fiscal_year") % 3 != 2).select("id", F.when(F.col("fiscal_year") % 3 == 0, "ACCEPT_INCOMING").otherwise("KEEP_EXISTING").alias("resolution"), F.lit("reviewed").alias("note"))
+    done = merge.resolve_quarantine(m.fundamentals, found, decided, table="fundamentals_history", keys=tuple(keys), fields=merge.STATEMENT_FIELDS_APPLICABLE)
+    return done.rows.select(*keys, *_STATEMENT_FIELDS, "source")
+
+
 @query(
     "j15_derived_ratios", "statements",
     f"""SELECT symbol, fiscal_year, year_end_close, pe_ratio, pb_ratio, roe, dividend_yield, shares,

@@ -256,7 +256,6 @@ def _(m):
 
 _K11 = domain_sql(audits.STATEMENT_DOMAINS, audits.STATEMENT_ORDER) | _SOURCE
 _K11["free_cash_flow_off"] = "abs(free_cash_flow_mn - (operating_cash_flow_mn - capex_mn)) > 0.05"
-_K11_LATEST = ("pe_ratio_outside", "paid_up_capital_mn_outside", "nav_per_share_outside")
 
 
 @query("k11_statement_table_audit", "fundamentals", counts_sql(f"(SELECT *, CASE WHEN key % 11 = 4 THEN 0.0::DOUBLE END AS pe_ratio FROM {_SD})", _K11))
@@ -265,16 +264,48 @@ def statement_table_audit(m):
     return audits.conditional_counts(d, audits.statement_table_checks())
 
 
+_K11_LATEST = """(SELECT * REPLACE (CASE WHEN key % 10 = 2 THEN 0.0::DOUBLE ELSE paid_up_capital_mn END AS paid_up_capital_mn, CASE WHEN key % 12 = 7 THEN 0.0::DOUBLE ELSE nav_per_share END AS nav_per_share),
+   CASE key % 9 WHEN 4 THEN 0.0::DOUBLE WHEN 5 THEN NULL ELSE 11.5::DOUBLE END AS pe_ratio, CASE WHEN key % 7 = 2 THEN 0.0::DOUBLE END AS pe_diluted,
+   CASE key % 8 WHEN 3 THEN 0.0::DOUBLE WHEN 4 THEN 9.0::DOUBLE END AS pe_trailing
+   FROM fundamentals f WHERE fiscal_year = (SELECT max(fiscal_year) FROM fundamentals x WHERE x.symbol = f.symbol))"""
+
+
 @query(
     "k11_latest_statement_audit", "fundamentals",
-    counts_sql("(SELECT *, CAST(NULL AS DOUBLE) AS pe_ratio FROM fundamentals f WHERE fiscal_year = (SELECT max(fiscal_year) FROM fundamentals x WHERE x.symbol = f.symbol))", {k: _K11[k] for k in _K11_LATEST}),
+    counts_sql(_K11_LATEST, {"zero_pe": "pe_ratio = 0 OR pe_diluted = 0 OR pe_trailing = 0", "zero_paid_up": "paid_up_capital_mn = 0", "bad_nav": "nav_per_share <= 0"}),
 )
 def _(m):
     from bourselake.operators.lookups import latest_by
 
-    c = audits.statement_table_checks()
-    latest = latest_by(m.fundamentals, "symbol", "fiscal_year").withColumn("pe_ratio", F.lit(None).cast("double"))
-    return audits.conditional_counts(latest, {k: c[k] for k in _K11_LATEST})
+    k, zero = F.col("key"), F.lit(0.0)
+    latest = latest_by(m.fundamentals, "symbol", "fiscal_year")
+    latest = latest.withColumn("paid_up_capital_mn", F.when(k % 10 == 2, zero).otherwise(F.col("paid_up_capital_mn"))).withColumn("nav_per_share", F.when(k % 12 == 7, zero).otherwise(F.col("nav_per_share")))
+    latest = latest.withColumn("pe_ratio", F.when(k % 9 == 4, zero).when(k % 9 != 5, 11.5)).withColumn("pe_diluted", F.when(k % 7 == 2, zero)).withColumn("pe_trailing", F.when(k % 8 == 3, zero).when(k % 8 == 4, 9.0))
+    return audits.conditional_counts(latest, audits.latest_statement_checks())
+
+
+def _counts_while_written(m, table, rows, checks):
+    """Writes the rows and returns the counts observed on the way, in the form of conditional_counts."""
+    from bourselake.plans.catalog_streaming import new_store
+
+    counts = new_store(m).commit({table: (rows, None)}, counts={table: checks}).audit[table]
+    return m.spark.createDataFrame([tuple(counts.values())], ", ".join(f"{n} long" for n in counts))
+
+
+@query("k9_price_audit_while_written", "prices_dirty", counts_sql("prices_dirty", _K9))
+def price_audit_while_written(m):
+    return _counts_while_written(m, "prices", m.prices_dirty, audits.price_table_checks())
+
+
+@query("k11_statement_audit_while_written", "fundamentals", counts_sql(f"(SELECT *, CASE WHEN key % 11 = 4 THEN 0.0::DOUBLE END AS pe_ratio FROM {_SD})", _K11))
+def _(m):
+    d = one_row_per_day(_statements_dirty(m), "seq", ("symbol", "fiscal_year")).withColumn("pe_ratio", F.when(F.col("key") % 11 == 4, F.lit(0.0)))
+    return _counts_while_written(m, "fundamentals", d, audits.statement_table_checks())
+
+
+@query("k10_index_audit_while_written", "market_index", counts_sql(_ID, _K10))
+def _(m):
+    return _counts_while_written(m, "index", _index_dirty(m), audits.index_table_checks("index_value", audits.INDEX_RANGE))
 
 
 _SUM = " + ".join(f"coalesce({h}_pct, 0)" for h in _H)

@@ -1,18 +1,21 @@
 """Files read back, and streams against the same transformation on a batch."""
 
+import datetime as dt
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from bourselake.operators import merge
+from bourselake.operators import audits, merge
 from bourselake.plans import pages
 from bourselake.plans.marts import Marts
 from bourselake.sinks import csv_exports, reports
-from bourselake.sinks.versioned_store import StoreConflict
+from bourselake.sinks.promotion import promote_to_store
+from bourselake.sinks.versioned_store import AuditFailed, StoreConflict
 from bourselake.sources import csv_files
-from bourselake.streaming import ticks
+from bourselake.streaming import price_gate, ticks
 
 
 @pytest.fixture(scope="module")
@@ -178,3 +181,57 @@ def test_delta_micro_batch(spark, m, tmp_path):
     s = spark.readStream.schema(m.fundamentals_incoming.schema).parquet(src)
     ticks.run_available(s, str(tmp_path / "cp"), ticks.delta_batch(store)).awaitTermination()
     assert same(store.read("fundamentals"), merge.fundamentals_delta(m.fundamentals, m.fundamentals_incoming).rows)
+
+
+def test_counts_are_observed_while_rows_are_written(spark, m, tmp_path):
+    store = ticks.market_store(spark, str(tmp_path / "store"))
+    checks = audits.index_table_checks("index_value", audits.INDEX_RANGE)
+    done = store.commit({"index": (m.index, None), "roster": (m.roster, None)}, counts={"index": checks})
+    assert done.audit == {"index": audits.conditional_counts(m.index, checks).first().asDict()} == store.manifest().audit
+    with pytest.raises(AuditFailed) as failed:
+        store.commit({"index": (m.index.limit(3), None), "roster": (m.roster, None)}, counts={"roster": {"rows": F.lit(True)}}, forbidden={"index": {"known": F.col("index_value").isNotNull()}})
+    assert failed.value.counts == {"index": {"total": 3, "known": 3}, "roster": {"total": m.roster.count(), "rows": m.roster.count()}}
+    assert store.manifest() == done
+
+
+def test_promotion_is_all_or_nothing(spark, m, tmp_path):
+    store = ticks.market_store(spark, str(tmp_path / "store"))
+    main = {"prices": m.prices, "index": m.index, "fundamentals": m.fundamentals, "roster": m.roster, "shareholding": m.shareholding}
+    before = store.commit({n: (rows, None) for n, rows in main.items()})
+    staged = {"prices": m.prices.limit(50), "index": m.index, "fundamentals": m.fundamentals, "roster": m.roster.limit(2), "shareholding": m.shareholding}
+    gate = lambda n: spark.createDataFrame([("prices", n)], "entity string, errors long")
+    broken = staged | {"roster": staged["roster"].withColumn("name", F.when(F.length("symbol") > 0, F.raise_error(F.lit("torn"))).cast("string"))}
+    with pytest.raises(Exception, match="torn"):
+        promote_to_store(store, broken, gate(0), as_of="2000-01-01")
+    assert promote_to_store(store, staged, gate(1), as_of="2000-01-01") == before == store.manifest()
+    assert promote_to_store(store, {n: rows.limit(0) for n, rows in staged.items()}, gate(0), as_of="2000-01-01") == before
+    with pytest.raises(AuditFailed):
+        promote_to_store(store, staged, gate(0), as_of="2000-01-01", forbidden={"shareholding": {"any": F.lit(True)}})
+    assert same(store.read("roster"), m.roster)
+    after = promote_to_store(store, {"index": m.index}, gate(0), as_of="2000-01-01")
+    assert after.version == before.version + 1 and {n for n in main if after.tables[n] != before.tables[n]} == {"index"}
+    assert store.read("index").filter("source <> 'STAGING_DB'").isEmpty()
+
+
+def test_gate_on_a_stream_equals_the_gate_on_a_batch(spark, tmp_path):
+    rng = random.Random(5)
+    start = dt.datetime(2024, 3, 1)
+    rows, src = [], tmp_path / "in"
+    for i in range(400):
+        at = start + dt.timedelta(minutes=rng.randrange(9 * 1440))
+        rows.append((i, at, rng.choice([1, 1, 1, 2, 3]), "x", rng.choice([None, 0.0, -1.0, 10.0, 11.0, 50.0, 200.0]), None))
+    rows += [(900, start, None, "x", 5.0, None), (901, None, 1, "x", 5.0, None)]
+    rows.sort(key=lambda r: (r[1] or start, r[0]))
+    # arrivals overlap by some hours, in any order inside; the last one moves the watermark past all days before it
+    parts = [rows[:150], rows[150:151] + rows[160:300], rows[151:160] + rows[300:], [(999, start + dt.timedelta(days=20), 9, "x", 1.0, None)]]
+    for i, part in enumerate(parts):
+        rng.shuffle(part)
+        spark.createDataFrame(part, ticks.TICK_SCHEMA).coalesce(1).write.parquet(str(src / f"p{i}"))
+    files = spark.readStream.schema(ticks.TICK_SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(str(src))
+    price_gate.use_keyed_state(spark)
+    gated = price_gate.gate_days(ticks.as_ticks(files), delay="2 days")
+    ticks.write_available(gated, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    want = price_gate.gate_days(ticks.as_ticks(spark.createDataFrame(rows, ticks.TICK_SCHEMA)))
+    got = spark.read.schema(gated.schema).parquet(str(tmp_path / "out"))
+    assert got.count() > 15 and same(got, want)
+    assert {w for r in got.collect() for w in r.warnings} == {"duplicate_day", "price_swing"}
