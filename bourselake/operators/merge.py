@@ -69,14 +69,13 @@ def upsert(
     trust tier than the stored source is left out; the fate of a record then depends on its tier alone, so a key keeps
     one folded offer per tier (at most four) and the stored source is always the one before the batch.
     """
-    incoming = clean_keys(incoming, keys, null_safe)
-    order = record_order(seq, list(policy))
-    folded = []
-    for c, p in policy.items():
-        v = F.struct(order.alias("s"), F.col(c).alias("v"))
-        folded.append(F.max(F.when(F.col(c).isNotNull(), v) if p == COALESCE else v).alias(f"n_{c}"))
+    # the order of a record is worked out once, and columns that take the winner's value travel as one
+    incoming = clean_keys(incoming, keys, null_safe).withColumn("_s", record_order(seq, list(policy)))
+    filled, whole = [c for c, p in policy.items() if p == COALESCE], [c for c, p in policy.items() if p != COALESCE]
+    folded = [F.max(F.when(F.col(c).isNotNull(), F.struct("_s", F.col(c).alias("v")))).alias(f"n_{c}") for c in filled]
+    folded += [F.max(F.struct("_s", F.struct(*whole).alias("v"))).alias("n_whole")] if whole else []
     named = [F.col(k).alias(f"k_{k}") for k in keys]
-    news = [f"n_{c}" for c in policy]
+    news = [f"n_{c}" for c in filled] + (["n_whole"] if whole else [])
     if tiered:
         per_tier = incoming.groupBy(*named, tier_of(F.col("source")).alias("tier")).agg(*folded)
         batch = per_tier.groupBy(*[f"k_{k}" for k in keys]).agg(F.collect_list(F.struct("tier", *news)).alias("offers"))
@@ -104,7 +103,7 @@ def upsert(
         if p is None:
             out.append(old.alias(c))
             continue
-        new = F.col(f"n_{c}.v")
+        new = F.col(f"n_{c}.v" if p == COALESCE else f"n_whole.v.{c}")
         take = F.col("_ok") & F.col("o_here").isNull() if p == INSERT_ONLY else F.col("_ok")
         out.append(F.when(take, F.coalesce(new, old) if p == COALESCE else new).otherwise(old).alias(c))
     return joined.filter(F.col("o_here") | F.col("_ok")).select(*out)

@@ -70,15 +70,15 @@ def _(m):
 
 
 _IDX_BATCH = """SELECT * REPLACE (index_value + 1.0::DOUBLE AS index_value, CASE WHEN day(date) % 3 = 0 THEN NULL ELSE advancing + 1 END AS advancing, total_trades + 5 AS total_trades,
-   CASE WHEN day(date) % 2 = 0 THEN 'LANKABD' ELSE 'DSE_OFFICIAL_GRAPH' END AS source), 0 AS seq FROM market_index WHERE month(date) <> 2"""
+   CASE WHEN day(date) % 2 = 0 THEN 'LANKABD' ELSE 'DSE_OFFICIAL_GRAPH' END AS source), 0 AS seq FROM market_index WHERE date >= DATE '1993-01-01'"""
 
 
 def _index_existing(m):
-    return m.index.filter(F.dayofmonth("date") != 5)
+    return m.index.filter("date < date'1993-01-01' or source <> 'LANKABD'")
 
 
 def _index_batch(m):
-    b = m.index.filter(F.month("date") != 2)
+    b = m.index.filter("date >= date'1993-01-01'")
     day = F.dayofmonth("date")
     return (
         b.withColumn("index_value", F.col("index_value") + 1.0)
@@ -90,7 +90,8 @@ def _index_batch(m):
 
 _J4 = {"index_value": "replace", "source": "replace", "total_trades": "insert_only"} | {c: "coalesce" for c in ("advancing", "declining", "unchanged", "total_volume", "total_value_mn")}
 _J4C = {c: "replace" for c in ("index_value", "advancing", "declining", "unchanged", "total_trades", "total_volume", "total_value_mn")} | {"source": "coalesce"}
-_IDX_OLD = "(SELECT * FROM market_index WHERE day(date) <> 5)"
+#: What is stored and what arrives overlap, and together they hold every day.
+_IDX_OLD = "(SELECT * FROM market_index WHERE date < DATE '1993-01-01' OR source <> 'LANKABD')"
 
 
 @query("j4_upsert_index", "market_index", merge_sql(_IDX_OLD, _IDX_BATCH, ["date"], _J4, tiered=True))
@@ -108,12 +109,12 @@ _J4D = {"ds30_index": "replace", "prev_close": "coalesce", "source": "coalesce"}
 
 @query(
     "j4_upsert_ds30", "ds30",
-    merge_sql("(SELECT * FROM ds30 WHERE day(date) <> 5)", "SELECT * REPLACE (ds30_index + 2.0::DOUBLE AS ds30_index, CASE WHEN day(date) % 2 = 0 THEN NULL ELSE prev_close END AS prev_close, 'LANKABD' AS source), 0 AS seq FROM ds30 WHERE month(date) <> 2", ["date"], _J4D, tiered=True),
+    merge_sql("(SELECT * FROM ds30 WHERE date < DATE '1993-01-01' OR source <> 'LANKABD')", "SELECT * REPLACE (ds30_index + 2.0::DOUBLE AS ds30_index, CASE WHEN day(date) % 2 = 0 THEN NULL ELSE prev_close END AS prev_close, 'LANKABD' AS source), 0 AS seq FROM ds30 WHERE date >= DATE '1993-01-01'", ["date"], _J4D, tiered=True),
 )
 def _(m):
-    b = m.ds30.filter(F.month("date") != 2).withColumn("ds30_index", F.col("ds30_index") + 2.0).withColumn("source", F.lit("LANKABD"))
+    b = m.ds30.filter("date >= date'1993-01-01'").withColumn("ds30_index", F.col("ds30_index") + 2.0).withColumn("source", F.lit("LANKABD"))
     b = b.withColumn("prev_close", F.when(F.dayofmonth("date") % 2 != 0, F.col("prev_close")))
-    return _cols(merge.upsert_ds30(m.ds30.filter(F.dayofmonth("date") != 5), b).rows, ["date"], _J4D)
+    return _cols(merge.upsert_ds30(m.ds30.filter("date < date'1993-01-01' or source <> 'LANKABD'"), b).rows, ["date"], _J4D)
 
 
 _J5 = {c: "coalesce" for c in ("trades", "quantity", "value_mn", "min_price", "max_price")} | {"source": "replace"}
@@ -121,11 +122,11 @@ _J5 = {c: "coalesce" for c in ("trades", "quantity", "value_mn", "min_price", "m
 
 @query(
     "j5_upsert_block_trades", "block_trades",
-    merge_sql("(SELECT * REPLACE (CASE WHEN key % 3 = 0 THEN 'DSE_SCRAPE' ELSE source END AS source) FROM block_trades WHERE day(date) <> 5)", "SELECT * REPLACE (quantity + 1 AS quantity, CASE WHEN day(date) % 2 = 0 THEN NULL ELSE trades END AS trades), 0 AS seq FROM block_trades WHERE month(date) <> 2", _K, _J5, tiered=True),
+    merge_sql("(SELECT * REPLACE (CASE WHEN key % 3 = 0 THEN 'DSE_SCRAPE' ELSE source END AS source) FROM block_trades WHERE date < DATE '1996-01-01')", "SELECT * REPLACE (quantity + 1 AS quantity, CASE WHEN day(date) % 2 = 0 THEN NULL ELSE trades END AS trades), 0 AS seq FROM block_trades WHERE date >= DATE '1994-01-01'", _K, _J5, tiered=True),
 )
 def _(m):
-    old = m.block_trades.filter(F.dayofmonth("date") != 5).withColumn("source", F.when(F.col("key") % 3 == 0, "DSE_SCRAPE").otherwise(F.col("source")))
-    new = m.block_trades.filter(F.month("date") != 2).withColumn("quantity", F.col("quantity") + 1)
+    old = m.block_trades.filter("date < date'1996-01-01'").withColumn("source", F.when(F.col("key") % 3 == 0, "DSE_SCRAPE").otherwise(F.col("source")))
+    new = m.block_trades.filter("date >= date'1994-01-01'").withColumn("quantity", F.col("quantity") + 1)
     new = new.withColumn("trades", F.when(F.dayofmonth("date") % 2 != 0, F.col("trades")))
     return _cols(merge.upsert_block_trades(old, new).rows, _K, _J5)
 
@@ -157,11 +158,11 @@ _J6S = {c: "replace" for c in ("sponsor_pct", "govt_pct", "institute_pct", "fore
 
 @query(
     "j6_upsert_shareholding", "shareholding",
-    merge_sql("(SELECT * FROM shareholding WHERE key % 4 <> 1)", "SELECT * REPLACE (as_of_date + 31 AS as_of_date, NULL::DOUBLE AS prev_sponsor_pct), 0 AS seq FROM shareholding WHERE key % 3 <> 0", ["symbol"], _J6S),
+    merge_sql("(SELECT * FROM shareholding WHERE prev_as_of_date IS NOT NULL)", "SELECT * REPLACE (as_of_date + 31 AS as_of_date, NULL::DOUBLE AS prev_sponsor_pct), 0 AS seq FROM shareholding WHERE prev_as_of_date IS NULL OR public_pct < 50", ["symbol"], _J6S),
 )
 def _(m):
-    new = m.shareholding.filter(F.col("key") % 3 != 0).withColumn("as_of_date", F.date_add("as_of_date", 31)).withColumn("prev_sponsor_pct", F.lit(None).cast("double"))
-    return _cols(merge.upsert_shareholding(m.shareholding.filter(F.col("key") % 4 != 1), new), ["symbol"], _J6S)
+    new = m.shareholding.filter("prev_as_of_date is null or public_pct < 50").withColumn("as_of_date", F.date_add("as_of_date", 31)).withColumn("prev_sponsor_pct", F.lit(None).cast("double"))
+    return _cols(merge.upsert_shareholding(m.shareholding.filter("prev_as_of_date is not null"), new), ["symbol"], _J6S)
 
 
 _J6C = {c: "replace" for c in ("record_date", "agm_date", "bonus_pct", "source")}
@@ -317,16 +318,16 @@ def _(m):
     return quarantine_pending(q, "date").select("symbol", "date", "field_name", "existing_value", "incoming_value", "status")
 
 
-_J13_OLD = "(SELECT date, index_value, CASE WHEN day(date) % 5 = 2 THEN 'MCAP_WEIGHTED_ESTIMATE' ELSE source END AS source FROM market_index WHERE day(date) <> 7)"
-_J13_LIVE = "(SELECT date, CASE WHEN day(date) % 4 = 1 THEN index_value + 0.5::DOUBLE ELSE index_value END AS index_value FROM market_index WHERE month(date) <> 3)"
+_J13_OLD = "(SELECT date, index_value, CASE WHEN day(date) % 5 = 2 THEN 'MCAP_WEIGHTED_ESTIMATE' ELSE source END AS source FROM market_index WHERE date < DATE '1998-01-01')"
+_J13_LIVE = "(SELECT date, CASE WHEN day(date) % 4 = 1 THEN index_value + 0.5::DOUBLE ELSE index_value END AS index_value FROM market_index WHERE date >= DATE '1994-01-01')"
 
 
 def _j13(m):
-    old = m.index.filter(F.dayofmonth("date") != 7).select(
+    old = m.index.filter("date < date'1998-01-01'").select(
         "date", "index_value", F.when(F.dayofmonth("date") % 5 == 2, "MCAP_WEIGHTED_ESTIMATE").otherwise(F.col("source")).alias("source")
     )
     off = F.when(F.dayofmonth("date") % 4 == 1, F.col("index_value") + 0.5).otherwise(F.col("index_value"))
-    live = m.index.filter(F.month("date") != 3).select("date", off.alias("index_value"))
+    live = m.index.filter("date >= date'1994-01-01'").select("date", off.alias("index_value"))
     return merge.upgrade_by_tier(old, live)
 
 

@@ -389,33 +389,34 @@ def _(m):
 @query(
     "k18_stale_symbols", "roster bars asof_day",
     """SELECT r.symbol, r.name, l.d AS last_traded, coalesce(l.n, 0) AS total_sessions, coalesce((SELECT d FROM asof_day) - l.d, 9999) AS days_behind
-       FROM roster r LEFT JOIN (SELECT symbol, max(date) AS d, count(*) AS n FROM bars WHERE key % 13 <> 6 GROUP BY symbol) l USING (symbol)
+       FROM roster r LEFT JOIN (SELECT symbol, max(date) AS d, count(*) AS n FROM bars GROUP BY symbol) l USING (symbol)
        WHERE r.is_active AND r.trading_status = 'Active' AND (l.d IS NULL OR l.d < (SELECT d FROM asof_day) - 3)""",
 )
 def _(m):
-    return audits.stale_symbols(m.roster, m.bars.filter(F.col("key") % 13 != 6), market_day=m.as_of, days=3)
+    return audits.stale_symbols(m.roster, m.bars, market_day=m.as_of, days=3)
 
 
 @query(
     "k18_statement_gaps", "roster fundamentals",
     """SELECT symbol, sector, coalesce(n, 0) AS years_recorded, latest_year, NOT (a IS NULL AND b IS NULL AND c IS NULL) AS balance_sheet_present, d IS NOT NULL AS dps_present FROM roster r LEFT JOIN (
          SELECT symbol, count(*) AS n, max(fiscal_year) AS latest_year, max(CASE WHEN key % 5 <> 2 THEN reserve_surplus_mn END) AS a, max(CASE WHEN key % 5 <> 2 THEN short_term_loan_mn END) AS b,
-           max(CASE WHEN key % 5 <> 2 THEN long_term_loan_mn END) AS c, max(dps) AS d FROM fundamentals WHERE key % 13 <> 6 GROUP BY symbol) f USING (symbol)
+           max(CASE WHEN key % 5 <> 2 THEN long_term_loan_mn END) AS c, max(dps) AS d FROM fundamentals GROUP BY symbol) f USING (symbol)
        WHERE r.is_active AND r.sector IS NOT NULL AND (coalesce(n, 0) = 0 OR (a IS NULL AND b IS NULL AND c IS NULL))""",
 )
 def _(m):
-    f = m.fundamentals.filter(F.col("key") % 13 != 6)
+    f = m.fundamentals
     for c in ("reserve_surplus_mn", "short_term_loan_mn", "long_term_loan_mn"):
         f = f.withColumn(c, F.when(F.col("key") % 5 != 2, F.col(c)))
     return audits.statement_gaps(m.roster, f)
 
 
-_HAVE = "SELECT date FROM market_index WHERE day(date) % 7 <> 0"
+#: The stored index holds the days on which the market did not fall; the others are the gaps to find.
+_HAVE = "SELECT date FROM market_index WHERE advancing >= declining"
 
 
 @query("k18_index_date_gaps", "bars market_index", f"SELECT DISTINCT date FROM bars WHERE date >= DATE '1997-01-01' AND date NOT IN ({_HAVE})")
 def _(m):
-    return audits.index_date_gaps(m.bars, m.index.filter(F.dayofmonth("date") % 7 != 0), since="1997-01-01")
+    return audits.index_date_gaps(m.bars, m.index.filter("advancing >= declining"), since="1997-01-01")
 
 
 @query("k18_metadata_gaps", "roster", "SELECT symbol, category IS NULL AS missing_category, NOT coalesce(face_value > 0, false) AS invalid_face_value FROM roster WHERE is_active AND sector IS NOT NULL AND (category IS NULL OR NOT coalesce(face_value > 0, false))")
@@ -594,7 +595,7 @@ def _(m):
     return reconcile.statement_coverage(m.fundamentals, m.fundamentals_incoming)
 
 
-_LIVE = "(SELECT date, CASE WHEN day(date) = 12 THEN index_value + 1.0::DOUBLE ELSE index_value END AS live_value FROM market_index WHERE date >= DATE '1997-03-01' AND day(date) <> 20)"
+_LIVE = "(SELECT date, CASE WHEN day(date) = 12 THEN index_value + 1.0::DOUBLE ELSE index_value END AS live_value FROM market_index WHERE date >= DATE '1997-03-01' AND advancing >= declining)"
 
 
 @query(
@@ -604,18 +605,18 @@ _LIVE = "(SELECT date, CASE WHEN day(date) = 12 THEN index_value + 1.0::DOUBLE E
         FROM market_index i LEFT JOIN {_LIVE} l USING (date) WHERE i.source LIKE 'DSE_OFFICIAL_%'""",
 )
 def _(m):
-    live = m.index.filter((F.col("date") >= F.lit("1997-03-01").cast("date")) & (F.dayofmonth("date") != 20))
+    live = m.index.filter("date >= date'1997-03-01' and advancing >= declining")
     live = live.select("date", F.when(F.dayofmonth("date") == 12, F.col("index_value") + 1.0).otherwise(F.col("index_value")).alias("index_value"))
     return reconcile.index_check(m.index, live)
 
 
 @query(
     "l5_roster_check", "bars roster asof_day",
-    """WITH live AS (SELECT DISTINCT symbol FROM bars WHERE date >= (SELECT d FROM asof_day) - 30 AND key % 9 <> 4), act AS (SELECT symbol FROM roster WHERE is_active)
+    """WITH live AS (SELECT DISTINCT symbol FROM bars WHERE date >= (SELECT d FROM asof_day) - 30), act AS (SELECT symbol FROM roster WHERE is_active)
        SELECT symbol, 'not_traded' AS side FROM act WHERE symbol NOT IN (SELECT symbol FROM live) UNION ALL SELECT symbol, 'missing_from_roster' FROM live WHERE symbol NOT IN (SELECT symbol FROM act)""",
 )
 def _(m):
     from bourselake.operators.sets import symbol_difference
 
-    live = m.bars.filter((F.col("date") >= F.date_sub(F.lit(m.as_of), 30)) & (F.col("key") % 9 != 4))
+    live = m.bars.filter(F.col("date") >= F.date_sub(F.lit(m.as_of), 30))
     return symbol_difference(live, m.roster.filter("is_active"))

@@ -213,9 +213,9 @@ def _(m):
     return m.prices.select("symbol", "date", "close").join(m.roster.filter("is_active").select("symbol"), "symbol", "left_semi")
 
 
-@query("e9_dates_without_index", "bars market_index", "SELECT DISTINCT date FROM bars WHERE date NOT IN (SELECT date FROM market_index WHERE day(date) % 7 <> 0)")
+@query("e9_dates_without_index", "bars market_index", "SELECT DISTINCT date FROM bars WHERE date NOT IN (SELECT date FROM market_index WHERE advancing >= declining)")
 def _(m):
-    have = m.index.filter(F.dayofmonth("date") % 7 != 0).select("date")
+    have = m.index.filter("advancing >= declining").select("date")
     return m.bars.select("date").distinct().join(have, "date", "left_anti")
 
 

@@ -319,9 +319,9 @@ def _(m):
     return sets.newest_rows(m.users.select("user_id", "email", "name", "created_at"), "created_at", "user_id", 500)
 
 
-@query("h1_newest_gap_dates", "bars market_index", "SELECT DISTINCT date FROM bars WHERE date NOT IN (SELECT date FROM market_index WHERE day(date) % 7 <> 0) ORDER BY date DESC LIMIT 30")
+@query("h1_newest_gap_dates", "bars market_index", "SELECT DISTINCT date FROM bars WHERE date NOT IN (SELECT date FROM market_index WHERE advancing >= declining) ORDER BY date DESC LIMIT 30")
 def _(m):
-    have = m.index.filter(F.dayofmonth("date") % 7 != 0).select("date")
+    have = m.index.filter("advancing >= declining").select("date")
     return m.bars.select("date").distinct().join(have, "date", "left_anti").orderBy(F.desc("date")).limit(30)
 
 
@@ -349,13 +349,13 @@ def _(m):
 
 @query(
     "i1_symbol_difference", "bars roster asof_day",
-    """WITH live AS (SELECT DISTINCT symbol FROM bars WHERE date >= (SELECT d FROM asof_day) - 30 AND key % 9 <> 4)
-       SELECT symbol, 'missing_from_roster' AS side FROM live WHERE symbol NOT IN (SELECT symbol FROM roster WHERE key % 10 <> 1)
-       UNION ALL SELECT symbol, 'not_traded' FROM roster WHERE key % 10 <> 1 AND symbol NOT IN (SELECT symbol FROM live)""",
+    """WITH live AS (SELECT DISTINCT symbol FROM bars WHERE date >= (SELECT d FROM asof_day) - 30)
+       SELECT symbol, 'missing_from_roster' AS side FROM live WHERE symbol NOT IN (SELECT symbol FROM roster WHERE is_active)
+       UNION ALL SELECT symbol, 'not_traded' FROM roster WHERE is_active AND symbol NOT IN (SELECT symbol FROM live)""",
 )
 def _(m):
-    live = m.bars.filter((F.col("date") >= F.date_sub(F.lit(m.as_of), 30)) & (F.col("key") % 9 != 4)).select("symbol")
-    return sets.symbol_difference(live, m.roster.filter(F.col("key") % 10 != 1).select("symbol"))
+    live = m.bars.filter(F.col("date") >= F.date_sub(F.lit(m.as_of), 30)).select("symbol")
+    return sets.symbol_difference(live, m.roster.filter("is_active").select("symbol"))
 
 
 @query("i2_union_pe_samples", "prices_dirty statements", "SELECT symbol, pe FROM (SELECT symbol, pe FROM prices_dirty UNION ALL SELECT symbol, pe_ratio FROM statements) WHERE pe > 0 AND pe < 120")
@@ -366,11 +366,11 @@ def _(m):
 @query(
     "i3_priority_union", "market_index ds30",
     """SELECT date, value, origin FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY pr) AS k FROM (
-         SELECT date, index_value AS value, 'table' AS origin, 1 AS pr FROM market_index WHERE day(date) % 3 = 0
+         SELECT date, index_value AS value, 'table' AS origin, 1 AS pr FROM market_index WHERE advancing >= declining
          UNION ALL SELECT date, ds30_index, 'graph', 2 FROM ds30)) WHERE k = 1""",
 )
 def _(m):
-    table = m.index.filter(F.dayofmonth("date") % 3 == 0).select("date", F.col("index_value").alias("value"), F.lit("table").alias("origin"))
+    table = m.index.filter("advancing >= declining").select("date", F.col("index_value").alias("value"), F.lit("table").alias("origin"))
     graph = m.ds30.select("date", F.col("ds30_index").alias("value"), F.lit("graph").alias("origin"))
     return sets.priority_union([table, graph], ["date"])
 
