@@ -1,7 +1,9 @@
 """As-of joins: the last value on or before a day, and the first value on or after it.
 
-The answer depends on (symbol, day) alone, so targets first collapse to their distinct days: however many targets a
-symbol has, the window over its days and sessions is bounded by the calendar. The answers join back on (symbol, day).
+The answer depends on (symbol, day) alone, so targets first collapse to their distinct days. Days and sessions meet in windows of
+one symbol and one calendar year; what the years before (or after) end (or begin) with is carried into a year by a window
+over one row for each of its symbol's years. So a symbol with a third of all days is spread over as many tasks as it has
+years. The answers join back on (symbol, day).
 """
 
 from __future__ import annotations
@@ -21,6 +23,24 @@ def _days_and_sessions(targets: DataFrame, prices: DataFrame, by: str, target_da
     return sessions.unionByName(wanted)
 
 
+def _nearest(both: DataFrame, backward: bool) -> DataFrame:
+    """The rows with ``_seen``: the nearest known value at or before (after) each row of its symbol."""
+    known = F.when(F.col("_val").isNotNull(), F.col("_day"))
+    both = both.withColumn("_year", F.year("_day"))
+    inside = W.partitionBy("_by", "_year").orderBy("_day", "_kind")
+    years = W.partitionBy("_by").orderBy("_year")
+    if backward:
+        here = F.last("_val", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0))
+        ends = both.groupBy("_by", "_year").agg(F.max_by("_val", known).alias("_end"))
+        carried = F.last("_end", ignorenulls=True).over(years.rowsBetween(W.unboundedPreceding, -1))
+    else:
+        here = F.first("_val", ignorenulls=True).over(inside.rowsBetween(0, W.unboundedFollowing))
+        ends = both.groupBy("_by", "_year").agg(F.min_by("_val", known).alias("_end"))
+        carried = F.first("_end", ignorenulls=True).over(years.rowsBetween(1, W.unboundedFollowing))
+    ends = ends.select("_by", "_year", carried.alias("_carried"))
+    return both.withColumn("_here", here).join(ends, ["_by", "_year"]).withColumn("_seen", F.coalesce("_here", "_carried"))
+
+
 def _join_back(targets: DataFrame, answers: DataFrame, by: str, target_date: str) -> DataFrame:
     same = (F.col(by) == F.col("_by")) & (F.col(target_date) == F.col("_day"))
     return targets.join(answers, same, "left").drop("_by", "_day")
@@ -31,9 +51,8 @@ def asof_backward(
 ) -> DataFrame:
     """``targets`` plus the last ``value`` of ``prices`` dated on or before ``target_date``; null where there is none."""
     both = _days_and_sessions(targets, prices, by, target_date, F.col(value), True)
-    w = W.partitionBy("_by").orderBy("_day", "_kind").rowsBetween(W.unboundedPreceding, 0)
-    seen = both.withColumn(out, F.last("_val", ignorenulls=True).over(w))
-    return _join_back(targets, seen.filter(F.col("_kind") == 1).select("_by", "_day", out), by, target_date)
+    seen = _nearest(both, backward=True).filter(F.col("_kind") == 1)
+    return _join_back(targets, seen.select("_by", "_day", F.col("_seen").alias(out)), by, target_date)
 
 
 def closes_at(prices: DataFrame, days: dict[str, object], *, by: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -50,8 +69,7 @@ def asof_forward(
 ) -> DataFrame:
     """Per target row, the first price row dated on or after it, kept only within ``max_gap_days``."""
     both = _days_and_sessions(targets, prices, by, target_date, F.struct("date", "close"), False)
-    w = W.partitionBy("_by").orderBy("_day", "_kind").rowsBetween(0, W.unboundedFollowing)
-    seen = both.withColumn("_next", F.first("_val", ignorenulls=True).over(w)).filter(F.col("_kind") == 0)
+    seen = _nearest(both, backward=False).filter(F.col("_kind") == 0).withColumnRenamed("_seen", "_next")
     near = F.datediff(F.col("_next.date"), "_day") <= max_gap_days
     answers = seen.select("_by", "_day", F.when(near, F.col("_next.date")).alias("start_date"), F.when(near, F.col("_next.close")).alias("start_close"))
     return _join_back(targets, answers, by, target_date)

@@ -1,10 +1,11 @@
 """Indicators and gates on small hand-made series."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
-from bourselake.operators import audits, indicators, market, recursions, returns, skew
+from bourselake.operators import asof, audits, indicators, market, recursions, returns, skew
 
 DAY0 = dt.date(2026, 1, 1)
 
@@ -98,3 +99,66 @@ def test_snapshot_gates(spark):
     assert [bool(r.errors) for r in audits.audit_shareholding(sh).collect()] == [False, False, True, True]
     ro = spark.createDataFrame([("BRACBANK", 10.0, 1e6), ("NEWCO", None, None), ("BADCO", -5.0, None), (None, 10.0, None)], "symbol string, face_value double, total_shares double")
     assert [bool(r.errors) for r in audits.audit_roster(ro).collect()] == [False, False, True, True]
+
+
+def test_asof_joins_of_a_hot_symbol_against_loops(spark):
+    """One symbol has half of all rows, over thirty years with gaps of several of them; targets before, between and after."""
+    rng = random.Random(3)
+    start = dt.date(1990, 1, 1)
+    day = lambda: start + dt.timedelta(days=rng.randrange(30 * 365))
+    sessions = {("HOT", d): float(i) for i, d in enumerate({day() for _ in range(2000)}) if not 1995 <= d.year <= 1999}
+    sessions |= {(f"S{i % 40}", day()): float(i) for i in range(1500)}
+    targets = [("HOT", day(), i) for i in range(800)] + [(f"S{i % 45}", day(), i) for i in range(600)] + [("HOT", None, -1), (None, start, -2), ("HOT", start - dt.timedelta(days=9), -3)]
+    px = spark.createDataFrame([(s, d, None if c % 97 == 0 else c) for (s, d), c in sessions.items()], "symbol string, date date, close double")
+    t = spark.createDataFrame(targets, "symbol string, at date, n int").repartition(3)
+    by_symbol = {}
+    for (s, d), c in sorted(sessions.items()):
+        by_symbol.setdefault(s, []).append((d, None if c % 97 == 0 else c))
+    every = asof.asof_backward(t, px, target_date="at")
+    assert every.count() == len(targets) and {r.n: r.asof_value for r in every.filter("n < 0").collect()} == {-1: None, -2: None, -3: None}
+    seen = {}
+    for s, d, n in targets:
+        if n < 0:
+            continue
+        own = by_symbol.get(s, [])
+        earlier = [c for x, c in own if x <= d and c is not None]
+        later = [(x, c) for x, c in own if x >= d][:1]
+        seen.setdefault((s, n), (earlier[-1] if earlier else None, later[0] if later and (later[0][0] - d).days <= 45 else (None, None)))
+    pairs = {(r.symbol, r.n): r.asof_value for r in every.collect() if r.n >= 0}
+    assert pairs == {k: v[0] for k, v in seen.items()}
+    forward = {(r.symbol, r.n): (r.start_date, r.start_close) for r in asof.asof_forward(px, t, target_date="at", max_gap_days=45).collect() if r.n >= 0}
+    assert forward == {k: v[1] for k, v in seen.items()}
+
+
+def test_means_of_a_long_series_against_a_loop(spark):
+    """Years with few and with many sessions, a first year shorter than every seed, and highs that are not known."""
+    rng = random.Random(11)
+    days = [dt.date(1999, 12, 25) + dt.timedelta(days=i) for i in range(7)] + [dt.date(2001, 1, 1) + dt.timedelta(days=i) for i in range(900) if i % 3]
+    closes = [round(50 + 10 * rng.random(), 2) for _ in days]
+    rows = [("A", d, None if i % 11 == 0 else c + 1, float("nan") if i % 13 == 0 else c - 1, c) for i, (d, c) in enumerate(zip(days, closes, strict=True))]
+    rows += [("B", d, None, None, 5.0) for d in days[:19]]
+    px = spark.createDataFrame(rows, "symbol string, date date, high double, low double, close double")
+    got = {r.date: r for r in recursions.recursive_indicators(px.repartition(4)).collect()}
+    assert len(got) == len(days)
+
+    def mean(values, first, period, alpha):
+        out, x = [None] * len(values), None
+        for i in range(first + period - 1, len(values)):
+            x = sum(values[first : i + 1]) / period if x is None else alpha * values[i] + (1 - alpha) * x
+            out[i] = x
+        return out
+
+    fast, slow = mean(closes, 0, 12, 2 / 13), mean(closes, 0, 26, 2 / 27)
+    macd = [None if b is None else a - b for a, b in zip(fast, slow, strict=True)]
+    signal = mean(macd, 25, 9, 2 / 10)
+    moves = [0.0] + [b - a for a, b in zip(closes, closes[1:], strict=False)]
+    gain, loss = mean([max(x, 0.0) for x in moves], 1, 14, 1 / 14), mean([max(-x, 0.0) for x in moves], 1, 14, 1 / 14)
+    spread = [(r[4] if r[2] is None else r[2], r[4] if r[3] is None or r[3] != r[3] else r[3]) for r in rows[: len(days)]]
+    reach = [0.0] + [max(h - lo, abs(h - p), abs(lo - p)) for (h, lo), p in zip(spread[1:], closes, strict=False)]
+    ranges = mean(reach, 1, 14, 1 / 14)
+    for i, d in enumerate(days):
+        rsi = None if i < 15 else 100 - 100 / (1 + (100.0 if loss[i] == 0 else gain[i] / loss[i]))
+        want = (fast[i], slow[i], macd[i], signal[i], None if signal[i] is None else macd[i] - signal[i], ranges[i], rsi)
+        r = got[d]
+        for a, b, tolerance in zip((r.ema_12, r.ema_26, r.macd, r.macd_signal, r.macd_hist, r.atr_14, r.rsi_14), want, [6e-5] * 6 + [6e-3], strict=True):
+            assert (a is None) == (b is None) and (a is None or abs(a - b) < tolerance), (i, a, b)
