@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bourselake.operators import indicators, lookups, market, recursions, returns, sets
 from bourselake.plans.catalog import query
 from bourselake.plans.oracle import fx
+from bourselake.session import shared_folder
+from bourselake.sinks import paging
 
 _W = "(PARTITION BY symbol ORDER BY date ROWS BETWEEN {n} PRECEDING AND CURRENT ROW)"
 
@@ -330,6 +336,20 @@ def _(m):
     return lookups.newest_per_key(m.bars.select("symbol", "date", "close", "volume"), "symbol", "date", 90)
 
 
+@query(
+    "h3_pages", "prices",
+    """WITH r AS (SELECT symbol, date, close, volume, row_number() OVER (ORDER BY symbol, date) - 1 AS position, count(*) OVER () AS n FROM prices)
+       SELECT position // 1000 AS page, position, symbol, date, close, volume FROM r WHERE position // 1000 IN (0, (n - 1) // 2000, (n - 1) // 1000)""",
+)
+def price_pages(m):
+    """The first, middle and last page of 1,000 rows of the ordered price table, each read by its page alone."""
+    path = f"{shared_folder(m.spark)}/pages-{uuid.uuid4().hex}"
+    paging.write_paged(m.prices.select("symbol", "date", "close", "volume"), path, "symbol", "date")
+    last = (paging.row_count(m.spark, path) - 1) // 1000
+    found = [paging.read_page(m.spark, path, page, 1000).withColumn("page", F.lit(page).cast("long")) for page in sorted({0, last // 2, last})]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("h3_ordered_export_rows", "prices", "SELECT symbol, date, open, high, low, close, ycp, change, change_percent, volume, value_mn, pe FROM prices")
 def _(m):
     from bourselake.sinks.csv_exports import price_export_rows

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from bourselake.operators.lookups import one_row_per_day
 from bourselake.plans import pages
 from bourselake.plans.catalog import query
 from bourselake.plans.oracle import fx
+from bourselake.session import shared_folder
 from bourselake.sinks import csv_exports, reports
 from bourselake.sources import csv_files, page_tables, text_lines
 
@@ -24,6 +27,23 @@ def _(m):
     return csv_files.price_rows(raw, csv_files.active_symbols(m.roster), start="1996-01-01")
 
 
+@query(
+    "a1_price_csv_rejects", "prices",
+    """SELECT CASE WHEN day(date) IN (9, 10) THEN 'malformed' WHEN date < DATE '1996-01-01' THEN 'before_start' WHEN day(date) = 8 THEN 'no_close' ELSE 'row' END AS outcome,
+         count(*) AS lines, min(date) FILTER (day(date) NOT IN (9, 10) AND date >= DATE '1996-01-01' AND day(date) <> 8) AS first_day FROM prices GROUP BY 1""",
+)
+def csv_rejects(m):
+    """Price files with lines cut short on each 9th and an open quote on each 10th: every line is a row or a reject."""
+    raw, day = pages.price_csv_rows(m), F.dayofmonth(F.coalesce(F.try_to_date("Date"), F.try_to_date("Date", "MMM d, yyyy")))
+    cells = [F.coalesce(F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"')), F.lit("")) for c in raw.columns]
+    line = F.when(day == 9, F.concat_ws(",", *cells[:-2])).when(day == 10, F.concat(F.lit('"'), F.col("Trading Code"), F.lit(","), F.concat_ws(",", *cells[1:]))).otherwise(F.concat_ws(",", *cells))
+    path = f"{shared_folder(m.spark)}/prices-{uuid.uuid4().hex}"
+    raw.select(line.alias(",".join(raw.columns))).write.option("header", True).option("quote", "").option("sep", "\t").csv(path)
+    rows, rejects = csv_files.read_prices_with_rejects(m.spark, path, start="1996-01-01")
+    kept = rows.agg(F.lit("row").alias("outcome"), F.count(F.lit(1)).alias("lines"), F.min("date").alias("first_day"))
+    return rejects.groupBy(F.col("reason").alias("outcome")).agg(F.count(F.lit(1)).alias("lines")).withColumn("first_day", F.lit(None).cast("date")).unionByName(kept)
+
+
 @query(
     "a2_index_csv_rows", "market_index",
     """SELECT date, 'DSEX' AS index_label, index_value, CAST(NULL AS DOUBLE) AS index_open, index_value AS index_high, CAST(NULL AS DOUBLE) AS index_low, total_volume, 'MENDELEY' AS source FROM market_index WHERE date >= DATE '1996-01-01'""",

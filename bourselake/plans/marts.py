@@ -7,6 +7,7 @@ so a supplier with a third of all lines costs one row per day after it, and per-
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from bourselake.functions import numbers as num
 from bourselake.operators import ratios as ratio_ops
+from bourselake.session import shared_folder
 
 NUM = "double"
 
@@ -69,6 +71,17 @@ class Marts:
             self._tables[name] = self.spark.read.parquet(f"{self.path}/{name}.parquet")
         return self._tables[name]
 
+    def settle(self, *names: str) -> Marts:
+        """These tables computed once, for queries that read them in several places: Parquet in the folder that the cluster shares.
+
+        What derives from a settled table reads it too, so tables are named from the ground up.
+        """
+        for name in names:
+            rows, path = getattr(self, name), f"{shared_folder(self.spark)}/mart-{name}-{uuid.uuid4().hex}"
+            rows.write.parquet(path)
+            self.__dict__[name] = self.spark.read.schema(rows.schema).parquet(path)
+        return self
+
     # -- prices ---------------------------------------------------------------------------------------------------
 
     @cached_property

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from bourselake.functions import numbers as num
 from bourselake.functions.dates import normalize_date
@@ -65,6 +66,43 @@ def read_index_csv(spark: SparkSession, path: str, label: str, **options) -> Dat
     return index_rows(read_text_csv(spark, path), label, **options)
 
 
+#: Why a line is no price row, in the order in which it is looked for.
+MALFORMED, NO_SYMBOL, NO_DAY, BEFORE_START, NO_CLOSE = "malformed", "no_symbol", "no_day", "before_start", "no_close"
+
+
+def read_lines_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of CSV files but their headers: the text columns of read_text_csv, with ``_file``, ``_line`` and ``_torn``.
+
+    A line with another number of cells than the header, or with a quote that never ends, is torn; nothing is dropped. Cells do not
+    reach across lines. Of several files all have the header of the first.
+    """
+    columns = spark.read.option("header", True).csv(path).columns
+    schema = StructType([StructField(f"c{i}", StringType()) for i in range(len(columns))] + [StructField("_torn", StringType())])
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.regexp_replace("value", "^\ufeff", "").alias("_line"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_torn", "escape": '"'}
+    cells = F.from_csv("_line", ", ".join(f"{f.name} string" for f in schema), options)
+    plain = normalize_headers(spark.createDataFrame([], StructType([StructField(c, StringType()) for c in columns]))).columns
+    header = F.transform(F.array(*[F.col(f"cells.c{i}") for i in range(len(columns))]), lambda c: F.coalesce(c, F.lit("")))
+    named = lines.select("_file", "_line", cells.alias("cells")).filter((F.trim("_line") != "") & (header != F.array(*[F.lit(c.lstrip("\ufeff")) for c in columns])))
+    return named.select(*[F.col(f"cells.c{i}").alias(n) for i, n in enumerate(plain)], "_file", "_line", F.col("cells._torn").isNotNull().alias("_torn"))
+
+
+def read_prices_with_rejects(spark: SparkSession, path: str, active: DataFrame | None = None, *, start: str = ARCHIVE_START, **options) -> tuple[DataFrame, DataFrame]:
+    """(price rows, rejects): each line of the files is a row of read_prices_csv, or a reject (file, line, reason), or of a symbol that is not active."""
+    lines = read_lines_csv(spark, path)
+    close, day = num.clean_num(_first(lines, "close")), normalize_date(_first(lines, "date"))
+    reason = (
+        F.when(F.col("_torn"), MALFORMED)
+        .when(F.coalesce(resolve_alias(clean_symbol(_first(lines, "trading_code", "symbol"))), F.lit("")) == "", NO_SYMBOL)
+        .when(day.isNull(), NO_DAY)
+        .when(day < F.lit(start).cast("date"), BEFORE_START)
+        .when(~F.coalesce(close > 0, F.lit(False)), NO_CLOSE)
+    )
+    lines = lines.withColumn("_reason", reason)
+    rejects = lines.filter("_reason is not null").select(F.col("_file").alias("file"), F.col("_line").alias("line"), F.col("_reason").alias("reason"))
+    return price_rows(lines.filter("_reason is null"), active, start=start, **options), rejects
+
+
 def read_symbol_list(spark: SparkSession, path: str) -> DataFrame:
     """Symbols of a JSON list file ``{"symbols": [...]}``."""
     return spark.read.option("multiLine", True).json(path).select(F.explode("symbols").alias("symbol"))

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from bourselake.operators import audits, merge
 from bourselake.plans import pages
 from bourselake.plans.marts import Marts
-from bourselake.sinks import csv_exports, reports
+from bourselake.sinks import csv_exports, paging, reports
 from bourselake.sinks.promotion import promote_to_store
 from bourselake.sinks.versioned_store import AuditFailed, StoreConflict
 from bourselake.sources import csv_files
@@ -235,3 +236,46 @@ def test_gate_on_a_stream_equals_the_gate_on_a_batch(spark, tmp_path):
     got = spark.read.schema(gated.schema).parquet(str(tmp_path / "out"))
     assert got.count() > 15 and same(got, want)
     assert {w for r in got.collect() for w in r.warnings} == {"duplicate_day", "price_swing"}
+
+
+def test_pages_are_read_by_their_ranges_alone(spark, tmp_path):
+    rows = spark.range(5000).select((F.col("id") * 7 % 5000).alias("k"), (F.col("id") % 3).alias("v"), F.lit("x").alias("position_of"))
+    path = str(tmp_path / "paged")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    paging.write_paged(rows.repartition(7), path, "k")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "paged" / "rows").glob("_range=*"))) > 2
+    assert paging.row_count(spark, path) == 5000
+    for page, size in ((0, 100), (24, 100), (49, 100), (3, 1333), (0, 6000)):
+        got = [(r.position, r.k) for r in paging.read_page(spark, path, page, size).collect()]
+        assert got == [(i, i) for i in range(page * size, min((page + 1) * size, 5000))]
+    assert paging.read_page(spark, path, 50, 100).isEmpty()
+    plan = paging.read_page(spark, path, 24, 100)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: .[^]]*_range#[0-9]+ (=|IN)", plan), plan
+    paging.write_paged(rows.limit(0), str(tmp_path / "none"), "k")
+    assert paging.row_count(spark, str(tmp_path / "none")) == 0 and paging.read_page(spark, str(tmp_path / "none"), 0, 10).isEmpty()
+
+
+def test_every_line_of_a_price_file_is_a_row_or_a_reject(spark, tmp_path):
+    header = "Trading Code,Date,Open,High,Low,Close,Volume"
+    good = ['abc,2020-01-02,1,2,1,"1,234.5",10', " Def ,2020-01-03,,,,5,", '"x""y",2020-01-04,1,1,1,7,1']
+    bad = {
+        "malformed": ["abc,2020-01-02,1,2", "abc,2020-01-02,1,2,1,1,10,99", '"abc,2020-01-02,1,2,1,1,10', "nonsense"],
+        "no_symbol": [",2020-01-02,1,2,1,1,10"], "no_day": ["abc,someday,1,2,1,1,10", "abc,,1,2,1,1,10"],
+        "before_start": ["abc,2012-12-31,1,2,1,1,10"], "no_close": ["abc,2020-01-05,1,2,1,0,10", "abc,2020-01-05,1,2,1,-,10"],
+    }
+    lines = good + [x for v in bad.values() for x in v]
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("﻿" + "\n".join([header, *lines[:6], ""]), encoding="utf-8")
+    (folder / "b.csv").write_text("\n".join([header, *lines[6:]]), encoding="utf-8")
+    rows, rejects = csv_files.read_prices_with_rejects(spark, str(folder))
+    assert sorted((r.symbol, str(r.date), r.close) for r in rows.collect()) == [("ABC", "2020-01-02", 1234.5), ("DEF", "2020-01-03", 5.0), ('X"Y', "2020-01-04", 7.0)]
+    got = {}
+    for r in rejects.collect():
+        got.setdefault(r.reason, []).append(r.line)
+        assert r.file.endswith("a.csv" if lines.index(r.line) < 6 else "b.csv")
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in bad.items()}
+    assert rows.count() + rejects.count() == len(lines)
+    active = spark.createDataFrame([("DEF",)], "symbol string")
+    assert [r.symbol for r in csv_files.read_prices_with_rejects(spark, str(folder), active)[0].collect()] == ["DEF"]
