@@ -308,6 +308,7 @@ _SNAP = f"""SELECT m.symbol, m.ltp AS close, l.market_cap_mn, m.graham_number, m
 
 
 def _snapshot(m):
+    m.settle("bars", "statements", "index")
     return valuation.valuation_snapshot(m.statements, m.roster, m.bars, m.index, as_of=m.as_of)
 
 
@@ -348,6 +349,7 @@ def _(m):
 
 
 def deep_dive(m):
+    m.settle("bars", "statements", "index")
     return valuation.deep_dive(m.statements, m.roster, m.bars, m.index, m.shareholding, m.prices_dirty)
 
 
