@@ -9,7 +9,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: White space between words; every other byte belongs to a word.
@@ -99,10 +99,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         small = small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct()
+        # rows are distinct, so equal counts and 128 bits of hashes mean equal stars; they are counted while they are written
+        watched = Observation()
+        small = small.observe(watched, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "v", "u")).alias("y"))
         older, stars = stars, stored(small)
         discard(older)
-        # rows are distinct, so equal counts and 128 bits of hashes mean equal stars
-        now = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64(F.lit(1), "v", "u"))).first()
+        now = watched.get
         if now == before:
             break
         before = now
