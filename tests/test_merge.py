@@ -2,10 +2,12 @@
 
 import datetime as dt
 import random
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
 from bourselake.operators import access, merge
+from bourselake.plans import catalog
 from bourselake.plans.marts import Marts
 
 D = dt.date(2026, 8, 20)
@@ -195,3 +197,13 @@ def test_tier_upgrade_keeps_other_columns(spark):
     live = spark.createDataFrame([(D, 5001.0, 1), (day, 5002.0, 2)], "date date, index_value double, advancing int")
     got = sorted(map(tuple, merge.upgrade_by_tier(old, live).rows.collect()))
     assert got == [(D, 5001.0, 7, "DSE_OFFICIAL_GRAPH"), (day, 5002.0, 2, "DSE_OFFICIAL_GRAPH")]
+
+
+def test_ds30_upsert_meets_every_stored_day(spark):
+    """All days are stored and all days arrive, whatever their date and source."""
+    days = [(dt.date(1990, 1, 5), "DSE_SCRAPE"), (dt.date(1990, 1, 6), "LANKABD"), (dt.date(1999, 1, 5), "DSE_SCRAPE"), (dt.date(1999, 1, 6), "LANKABD"), (dt.date(1999, 1, 7), "MADE_UP")]
+    rows = spark.createDataFrame([(d, 2000.0, s, 1900.0) for d, s in days], "date date, ds30_index double, source string, prev_close double")
+    catalog.load()
+    got = {(r.date, r.source): (r.ds30_index, r.prev_close) for r in catalog.QUERIES["j4_upsert_ds30"](SimpleNamespace(ds30=rows)).collect()}
+    kept, updated = (2000.0, 1900.0), (2002.0, 1900.0)  # a day that arrives without its previous level keeps the stored one
+    assert got == {(d, "LANKABD" if s != "DSE_SCRAPE" else s): kept if s == "DSE_SCRAPE" else updated for d, s in days}
