@@ -207,3 +207,13 @@ def test_ds30_upsert_meets_every_stored_day(spark):
     got = {(r.date, r.source): (r.ds30_index, r.prev_close) for r in catalog.QUERIES["j4_upsert_ds30"](SimpleNamespace(ds30=rows)).collect()}
     kept, updated = (2000.0, 1900.0), (2002.0, 1900.0)  # a day that arrives without its previous level keeps the stored one
     assert got == {(d, "LANKABD" if s != "DSE_SCRAPE" else s): kept if s == "DSE_SCRAPE" else updated for d, s in days}
+
+
+def test_block_trade_upsert_meets_every_stored_trade(spark):
+    """All trades are stored and all arrive, whatever their date."""
+    days = [dt.date(1990, 1, 5), dt.date(1995, 1, 5), dt.date(1995, 1, 6), dt.date(1999, 1, 5), dt.date(1999, 1, 6)]
+    schema = "symbol string, key long, date date, quantity long, value_mn double, trades long, min_price double, max_price double, source string"
+    rows = spark.createDataFrame([(f"S{k}", k, d, 10, 1.0, 3, 4.0, 5.0, "LANKABD") for k in (1, 3) for d in days], schema)
+    catalog.load()
+    got = sorted((r.symbol, r.date, r.quantity, r.trades, r.source) for r in catalog.QUERIES["j5_upsert_block_trades"](SimpleNamespace(block_trades=rows)).collect())
+    assert got == [("S1", d, 11, 3, "LANKABD") for d in days] + [("S3", d, 10, 3, "DSE_SCRAPE") for d in days]
