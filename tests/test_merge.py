@@ -217,3 +217,12 @@ def test_block_trade_upsert_meets_every_stored_trade(spark):
     catalog.load()
     got = sorted((r.symbol, r.date, r.quantity, r.trades, r.source) for r in catalog.QUERIES["j5_upsert_block_trades"](SimpleNamespace(block_trades=rows)).collect())
     assert got == [("S1", d, 11, 3, "LANKABD") for d in days] + [("S3", d, 10, 3, "DSE_SCRAPE") for d in days]
+
+
+def test_tier1_mismatches_meet_every_stored_day(spark):
+    """Days of any year are compared; the official level differs on the days 1, 5, 9, ... of a month."""
+    days = [dt.date(y, 1, d) for y in (1990, 1995, 1999) for d in (5, 6, 7)]
+    rows = spark.createDataFrame([(d, 2000.0, "DSE_OFFICIAL") for d in days] + [(dt.date(1999, 2, 9), 2000.0, "LANKABD")], "date date, index_value double, source string")
+    catalog.load()
+    got = sorted((r.date, r.stored, r.live, r.source) for r in catalog.QUERIES["j13_tier1_mismatches"](SimpleNamespace(index=rows)).collect())
+    assert got == [(dt.date(y, 1, 5), 2000.0, 2000.5, "DSE_OFFICIAL") for y in (1990, 1995, 1999)]
