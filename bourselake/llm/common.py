@@ -61,7 +61,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage; the rows lie in the shared checkpoint folder, so a lost executor costs nothing."""
     shared_checkpoints(df.sparkSession)
     with freed_shuffles(df.sparkSession):
-        return df.checkpoint()
+        return df.select("*").checkpoint()  # a query takes the setting when it is made, not when it runs
 
 
 def stored(df: DataFrame) -> DataFrame:

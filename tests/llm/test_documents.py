@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import numpy as np
 
@@ -493,3 +494,19 @@ def test_repeated_passages_of_the_given_documents(spark, sf_dir):
         left += sum(not all(gone[x:y]) for x, y in stretches(want))
         assert all(all(gone[x:y]) for x, y in stretches(want) if y - x >= 2 * whole)
     assert passages > 20 and left <= 0.15 * passages  # 20 to 35 words without an anchor
+
+
+def test_cut_frees_the_shuffle_files_of_its_query(spark):
+    def shuffled():
+        blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks()
+        return {str(blocks.apply(i).name()) for i in range(blocks.size()) if blocks.apply(i).isShuffle()}
+
+    before = shuffled()
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    kept = common.cut(rows)
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffled() <= before
+    assert kept.count() == 7 and rows.count() == 7
