@@ -42,6 +42,14 @@ def shared_checkpoints(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session hands texts to Python some 8 MB at a time.
+
+    Ten thousand rows, the usual batch, may be any size, and an executor holds several batches in its JVM and its workers.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 @contextmanager
 def freed_shuffles(spark: SparkSession) -> Iterator[None]:
     """While it lasts, the shuffle files of a query go when it has ended, not when the driver happens to collect garbage."""
@@ -114,7 +122,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return nodes.unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def text_slices(column: pa.Array, most_bytes: int = 1_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, most_bytes: int = 250_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of consecutive rows of a string column; a null row has no bytes. No row is cut."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

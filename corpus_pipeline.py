@@ -2,7 +2,7 @@
 
 Every stage is a function (spark, docs, sf_dir) -> DataFrame. Between stages the rows are written as Parquet to the folder
 in spark.checkpoint.dir and read again, so a lost executor repeats at most one stage. All stages but the last return the
-columns of ``documents``.
+columns of ``documents``. The stages set the session's bytes per Arrow batch (see ``small_batches``).
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bourselake.llm.common import shared_checkpoints
+from bourselake.llm.common import shared_checkpoints, small_batches
 from bourselake.llm.language_id import UNKNOWN, predict, train
 from bourselake.llm.near_dedup import near_duplicates
 from bourselake.llm.packing import best_fit
@@ -28,12 +28,14 @@ LEAST_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts in no learned language: null, without a letter, or undecided between several."""
+    small_batches(spark)
     named = predict(docs, train(learnable(docs)), keep=COLUMNS)
     return named.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that importance resampling leaves out."""
+    small_batches(spark)
     ratio = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return resample(docs, ratio, keep=COLUMNS).filter("kept").select(*COLUMNS)
 
@@ -43,6 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Groups are of rows: a number of the whole row stands for the doc_id, and of equal rows one stays.
     """
+    small_batches(spark)
     keyed = docs.withColumn("_row", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in COLUMNS]))
     groups = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
     owners = keyed.select("_row", F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("doc_id"), "_row").alias("at"))
@@ -53,6 +56,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated paragraphs out of all documents but the first; a document of which nothing is left goes."""
+    small_batches(spark)
     cleaned = remove_repeats(docs, keep=COLUMNS)
     cleaned = cleaned.filter((F.size("removed") == 0) | (F.trim("cleaned") != ""))
     return cleaned.select("doc_id", F.col("cleaned").alias("text"), "lang", "source", F.length("cleaned").cast("long").alias("n_chars"))
@@ -60,6 +64,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places every document in training sequences; after the dedup stages equal texts are the only clusters left."""
+    small_batches(spark)
     return best_fit(docs)
 
 

@@ -8,7 +8,9 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
@@ -510,3 +512,22 @@ def test_cut_frees_the_shuffle_files_of_its_query(spark):
         time.sleep(0.2)
     assert shuffled() <= before
     assert kept.count() == 7 and rows.count() == 7
+
+
+def test_pipeline_stages_hand_texts_over_in_small_batches(spark):
+    """40 texts of 1 MB in one partition, which one batch of ten thousand rows would hold."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    docs = documents(spark, [(i, "tree ", "en") for i in range(40)]).coalesce(1).withColumn("text", F.repeat("text", 200_000))
+    spark.conf.unset(name)
+    try:
+        corpus_pipeline.language(spark, docs.limit(2), "")
+        got = [r.n for r in docs.select("doc_id", "text").mapInArrow(sizes, "n long").collect()]
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    assert sum(got) >= 40_000_000 and max(got) < 12_000_000
