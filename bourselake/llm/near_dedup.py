@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bourselake.llm.cells import meeting_again, mixed, text_sets, verify_cells
-from bourselake.llm.common import components, cut, mix, shingle_sets
+from bourselake.llm.cells import marks_of, may_link, meeting_again, mixed, text_sets, verify_cells, with_partners
+from bourselake.llm.common import components, cut, discard, mix, shingle_sets, stored
 
 #: Retained values per document.
 SKETCH = 48
@@ -91,8 +91,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     texts. A null doc_id is no node: it takes the component of an equal text, else null, and kept is then null.
 
     Equal sets fold first, so copies never meet as pairs. In each inverted list every member meets the list's smallest
-    document. Only where members then lie in different components are they compared further, on their full sets, in blocks
-    of bounded size that give back no more than a link for each two components.
+    document. Only where members then lie in different components are they compared further, in blocks of bounded size: on
+    their sketches, and those that have a likely partner on their full sets, which gives back no more than a link for each two components.
     Only the rarest values of a sketch are listed: two sketches that share enough values share one of those.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -113,21 +113,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     lists = cut(shared.select("rep", "n", F.explode(F.slice("listed", F.lit(1), F.least(F.col("most"), F.size("listed")))).alias("x")).select("rep", "n", F.col("x.value").alias("value")))
 
     fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    a = reps.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a"))
-    b = reps.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b"))
-    links_of = lambda pairs: _links(cut(_estimated(pairs.join(a, "a").join(b, "b"), k).select("a", "b")), docs, size, percent)
+    marks = reps.select("rep", marks_of("sketch").alias("marks"))
+    sided = lambda pairs, values, c: pairs.join(values.toDF("a", f"{c}_a"), "a").join(values.toDF("b", f"{c}_b"), "b")
+    # most pairs share one value and little else, so whole sketches move only for those whose marks are alike
+    likely = lambda pairs: sided(pairs, marks, "marks").filter(may_link("marks_a", "marks_b", k)).select("a", "b")
+    links_of = lambda pairs: _links(cut(_estimated(sided(likely(pairs), reps.select("rep", "sketch"), "sketch"), k).select("a", "b")), docs, size, percent)
     hubs = lists.groupBy("value").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
     spokes = lists.join(hubs, "value").select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("hub.n").alias("n"), F.col("n").alias("m"))
     several = members.filter("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b")
     several = members.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b"))
     links = cut(several.unionByName(links_of(spokes.filter(fits & (F.col("a") < F.col("b"))).select("a", "b").distinct())))
 
-    again = meeting_again(mixed(lists, links), percent)
+    again = stored(with_partners(meeting_again(mixed(lists, links), percent), marks, k))
     texts = docs.filter("text is not null").join(again.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     cells = again.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
     cells = cells.repartition("cell").sortWithinPartitions("cell")
     rest = cells.mapInArrow(partial(verify_cells, sets=partial(text_sets, size=size), percent=percent), "a long, b long")
     links = links.unionByName(cut(rest.distinct()))
+    discard(again)
 
     found = components(links).withColumnRenamed("node", "rep")
     out = members.join(found, "rep", "left").withColumn("component_id", F.coalesce("component", "rep", "doc_id"))

@@ -3,6 +3,7 @@
 
 import itertools
 import math
+import os
 import random
 import re
 import time
@@ -94,6 +95,38 @@ def test_near_duplicates_equal_brute_force(spark, mixed, size):
     assert sum(r.component_id is not None for r in nameless) == 1
 
 
+def test_texts_that_share_common_values_alone_do_not_move_to_cells(spark, monkeypatch, tmp_path):
+    """Every pair of words stands in many texts, so all lists are mixed; only the likely members of a cell are sent with their texts."""
+    rng = random.Random(11)
+    words = [sentence(rng, 1) + str(i) for i in range(20)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(45))) for i in range(250)]
+    base = " ".join(rng.choice(words) for _ in range(60)).split()
+    for i in range(250, 262):
+        copy = list(base)
+        for p in rng.sample(range(60), 2):
+            copy[p] = rng.choice(words)
+        rows.append((i, " ".join(copy)))
+    rng.shuffle(rows)
+    whole = near_dedup.verify_cells
+
+    def counted(batches, sets, percent):
+        def seen():
+            for batch in batches:
+                with open(f"{tmp_path}/{os.getpid()}", "a") as f:
+                    f.write("x" * len(batch))
+                yield batch
+
+        return whole(seen(), sets, percent)
+
+    monkeypatch.setattr(near_dedup, "verify_cells", counted)
+    got = near_dedup.near_duplicates(documents(spark, rows).repartition(3), size=2).collect()
+    sets = {i: shingles(t, 2) for i, t in rows}
+    links = [(i, j) for i, j in itertools.combinations(sorted(sets), 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    groups = closed(set(sets), links)
+    assert len(links) > 10 and {r.doc_id: r.component_id for r in got} == groups
+    assert sum(p.stat().st_size for p in tmp_path.iterdir()) < 1000
+
+
 def test_near_duplicates_of_a_large_loose_group(spark, monkeypatch):
     """Members that the list's first one is not linked with are compared in cells."""
     monkeypatch.setattr(cells, "BLOCK", 4)
