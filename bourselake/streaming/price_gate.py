@@ -1,14 +1,15 @@
-"""The row gate of prices on a stream of ticks, with keyed state and event-time timers.
+"""The row gate of prices on a stream of ticks: days as event-time windows, and keyed state that carries the last price on.
 
-A symbol's open days are kept, each as its first and last record and a count, with the last price of the day closed before
-them. When the watermark passes the end of a day, a timer closes it: its first record is checked against the last price
-of the day before, as the batch gate does. State is one price a symbol and one entry for each day the watermark has not
-passed, however many ticks a day has.
+Ticks fold to one row a symbol and open day in Spark's own aggregation, which gives a day out once, when the watermark has
+passed its end. Only then a symbol's closed days, one row each however many ticks they have, reach the stateful processor:
+it holds each against the last price of the day before, as the batch gate does. State is one entry for each symbol and
+day the watermark has not passed, and one price a symbol.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,63 +19,40 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from bourselake.operators import audits
 
-_DAY_MS = 86_400_000
 DAY_SCHEMA = "symbol string, day int, close double, prev_close double, records long"
 
 
-class DayGate(StatefulProcessor):
-    """Per symbol: rows (day, at in microseconds, event_id, ltp) to one row for each day that has ended."""
+#: Symbols are dealt into so many groups: calls into Python, and data frames, are made for a group and not for each symbol.
+GROUPS = 1024
+
+
+class LastClose(StatefulProcessor):
+    """Per group of symbols: closed days (symbol, day, close, last_close, records) to the same with the last price of the day closed before.
+
+    Days closed by a later batch are later ones. Unknown prices are NaN, which pandas cannot tell from null.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open_days = handle.getMapState("open_days", "day int", "first_at long, first_id long, first double, last_at long, last_id long, last double, records long")
-        self.last_close = handle.getValueState("last_close", "close double")
+        self.last_close = handle.getMapState("last_close", "symbol string", "close double")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found: dict[int, list] = {}
-        for frame in rows:
-            # null prices are records too; a float column carries them as NaN
-            for day, at, event, ltp in zip(frame["day"].tolist(), frame["at"].tolist(), frame["event_id"].tolist(), frame["ltp"].tolist(), strict=True):
-                own = found.get(day)
-                if own is None:
-                    found[day] = [at, event, ltp, at, event, ltp, 1]
-                    continue
-                if (at, event) < (own[0], own[1]):
-                    own[:3] = at, event, ltp
-                if (at, event) >= (own[3], own[4]):
-                    own[3:6] = at, event, ltp
-                own[6] += 1
-        for day, own in found.items():
-            if self.open_days.containsKey((day,)):
-                old = list(self.open_days.getValue((day,)))
-                if (old[0], old[1]) < (own[0], own[1]):
-                    own[:3] = old[:3]
-                if (old[3], old[4]) > (own[3], own[4]):
-                    own[3:6] = old[3:6]
-                own[6] += old[6]
-            else:
-                self.handle.registerTimer((day + 1) * _DAY_MS)
-            self.open_days.updateValue((day,), tuple(own))
-        yield from ()
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ended = expiredTimerInfo.getExpiryTimeInMs() // _DAY_MS
+        days = sorted(d for frame in rows for d in zip(*(frame[c].tolist() for c in ("symbol", "day", "close", "last_close", "records")), strict=True))
         out = []
-        for day in sorted(d[0] for d in self.open_days.keys() if d[0] < ended):
-            _, _, first, _, _, last, records = self.open_days.getValue((day,))
-            before = self.last_close.get()[0] if self.last_close.exists() else None
-            out.append((key[0], day, first, before, records))
-            self.last_close.update((last,))
-            self.open_days.removeKey((day,))
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in DAY_SCHEMA.split(", ")])
+        for symbol, own in groupby(days, key=lambda d: d[0]):
+            known = self.last_close.getValue((symbol,))
+            before = float("nan") if known is None else known[0]
+            for _, day, close, last, records in own:
+                out.append((symbol, day, close, before, records))
+                before = last
+            self.last_close.updateValue((symbol,), (before,))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in DAY_SCHEMA.split(", ")])
 
     def close(self) -> None:
         pass
 
 
 def use_keyed_state(spark: SparkSession) -> None:
-    """Keyed state with timers needs the state store on disk."""
+    """Keyed state of a processor needs the state store on disk."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
@@ -85,16 +63,19 @@ def gate_days(ticks: DataFrame, delay: str = "1 hour") -> DataFrame:
     when the watermark has passed its end; ticks later than that are dropped. Ticks without symbol or time belong to no day.
     """
     usable = ticks.filter(F.col("symbol").isNotNull() & F.col("ts").isNotNull() & F.col("event_id").isNotNull())
+    order, price = F.struct("ts", "event_id"), F.nanvl("ltp", F.lit(None).cast("double"))
+    folded = [F.min_by(price, order).alias("close"), F.max_by(price, order).alias("last_close"), F.count(F.lit(1)).alias("records")]
     if ticks.isStreaming:
-        usable = usable.withWatermark("ts", delay).select("symbol", "ts", F.unix_date(F.col("ts").cast("date")).alias("day"), F.unix_micros("ts").alias("at"), "event_id", F.coalesce("ltp", F.lit(float("nan"))).alias("ltp"))
-        days = usable.groupBy("symbol").transformWithStateInPandas(statefulProcessor=DayGate(), outputStructType=DAY_SCHEMA, outputMode="append", timeMode="EventTime")
+        # windows begin at midnight UTC, days at midnight of the session's zone
+        wall = F.from_utc_timestamp("ts", F.lit(ticks.sparkSession.conf.get("spark.sql.session.timeZone")))
+        held = usable.withColumn("wall", wall).withWatermark("wall", delay).groupBy("symbol", F.window("wall", "1 day").alias("w")).agg(*folded)
+        known = [F.coalesce(c, F.lit(float("nan"))).alias(c) for c in ("close", "last_close")]
+        group = F.pmod(F.hash("symbol"), F.lit(GROUPS)).alias("group")
+        held = held.select(group, "symbol", F.floor(F.unix_seconds("w.start") / 86400).cast("int").alias("day"), *known, "records")
+        days = held.groupBy("group").transformWithStateInPandas(statefulProcessor=LastClose(), outputStructType=DAY_SCHEMA, outputMode="append", timeMode="None")
         days = days.withColumn("date", F.date_from_unix_date("day")).withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("close", "prev_close")})
     else:
-        order = F.struct("ts", "event_id")
-        price = F.nanvl("ltp", F.lit(None).cast("double"))
-        held = usable.groupBy("symbol", F.col("ts").cast("date").alias("date")).agg(
-            F.min_by(price, order).alias("close"), F.max_by(price, order).alias("last_close"), F.count(F.lit(1)).alias("records")
-        )
+        held = usable.groupBy("symbol", F.col("ts").cast("date").alias("date")).agg(*folded)
         days = held.withColumn("prev_close", F.lag("last_close").over(W.partitionBy("symbol").orderBy("date")))
     unknown = F.lit(None).cast("double")
     days = days.select("symbol", "date", "close", unknown.alias("ycp"), F.lit(None).cast("long").alias("volume"), unknown.alias("pe"), "records", "prev_close")

@@ -238,6 +238,15 @@ def test_gate_on_a_stream_equals_the_gate_on_a_batch(spark, tmp_path):
     assert {w for r in got.collect() for w in r.warnings} == {"duplicate_day", "price_swing"}
 
 
+def test_the_gate_hands_python_closed_days_of_groups_of_symbols(spark, sf_dir):
+    """Ticks fold before the stateful processor, which is called for each group and not for each symbol and day."""
+    gated = price_gate.gate_days(ticks.read_ticks(spark, sf_dir, "events.parquet"))
+    plan = gated._jdf.queryExecution().analyzed().toString()
+    stateful = plan.index("TransformWithStateInPySpark")
+    assert re.search(r"Aggregate \[symbol#\d+, window#\d+", plan[stateful:]), plan
+    assert re.search(r"pmod\(hash\(symbol#\d+, 42\), 1024\) AS group#", plan[stateful:]), plan
+
+
 def test_pages_are_read_by_their_ranges_alone(spark, tmp_path):
     rows = spark.range(5000).select((F.col("id") * 7 % 5000).alias("k"), (F.col("id") % 3).alias("v"), F.lit("x").alias("position_of"))
     path = str(tmp_path / "paged")
