@@ -5,13 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from bourselake.session import freed_shuffles
+
 #: White space between words; every other byte belongs to a word.
 SPACES = (0x20, *range(0x09, 0x0E))
 
@@ -50,21 +51,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
-@contextmanager
-def freed_shuffles(spark: SparkSession) -> Iterator[None]:
-    """While it lasts, the shuffle files of a query go when it has ended, not when the driver happens to collect garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage; the rows lie in the shared checkpoint folder, so a lost executor costs nothing."""
     shared_checkpoints(df.sparkSession)
