@@ -244,3 +244,23 @@ def test_an_upsert_in_slices_of_symbols_equals_the_whole(spark, tmp_path, monkey
     assert 2 <= m.slice_count <= 3
     for name in names:
         assert len(whole[name]) > 100 and as_set(catalog.QUERIES[name](m)) == whole[name]
+
+
+def test_a_commit_in_pieces_equals_the_whole_and_frees_its_shuffles(spark, sf_dir, tmp_path, monkeypatch):
+    from bourselake.sinks import versioned_store
+    from bourselake.streaming import ticks
+
+    m, found = Marts(spark, sf_dir), []
+    blocks = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    for pieces in (1, 3):
+        store = ticks.market_store(spark, str(tmp_path / f"store{pieces}"))
+        before = blocks()
+        store.commit({"prices": (m.prices, None), "index": (m.index, None), "fundamentals": (m.fundamentals, None), "roster": (m.roster, None), "shareholding": (m.shareholding, None)})
+        sizes = store.stored_bytes("prices")
+        monkeypatch.setattr(versioned_store, "PIECE_BYTES", sum(sizes.values()) // pieces + 1)
+        assert (len(versioned_store._pieces(sorted(sizes), sizes)) >= 3) == (pieces == 3)
+        ticks.settle_batch(store)(m.prices.filter("key % 3 <> 0").withColumn("close", F.col("close") + 1.0), 0)
+        first = as_set(store.read("prices"))
+        found.append(first)
+        assert blocks() <= before + 4
+    assert found[0] == found[1]
