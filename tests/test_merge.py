@@ -248,9 +248,11 @@ def test_an_upsert_in_slices_of_symbols_equals_the_whole(spark, tmp_path, monkey
 
 def test_a_commit_in_pieces_equals_the_whole_and_frees_its_shuffles(spark, sf_dir, tmp_path, monkeypatch):
     from bourselake.sinks import versioned_store
+    from bourselake.sinks.promotion import promote_to_store
     from bourselake.streaming import ticks
 
     m, found = Marts(spark, sf_dir), []
+    gate = spark.createDataFrame([("prices", 0)], "entity string, errors long")
     blocks = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
     for pieces in (1, 3):
         store = ticks.market_store(spark, str(tmp_path / f"store{pieces}"))
@@ -261,6 +263,7 @@ def test_a_commit_in_pieces_equals_the_whole_and_frees_its_shuffles(spark, sf_di
         assert (len(versioned_store._pieces(sorted(sizes), sizes)) >= 3) == (pieces == 3)
         ticks.settle_batch(store)(m.prices.filter("key % 3 <> 0").withColumn("close", F.col("close") + 1.0), 0)
         first = as_set(store.read("prices"))
-        found.append(first)
+        promote_to_store(store, {"prices": m.prices_existing.withColumns({c: F.lit(None).cast("double") for c in ("ycp", "change", "change_percent")})}, gate, as_of=D)
+        found.append((first, as_set(store.read("prices"))))
         assert blocks() <= before + 4
-    assert found[0] == found[1]
+    assert found[0] == found[1] and found[0][0] != found[0][1]
